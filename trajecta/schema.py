@@ -1,0 +1,100 @@
+"""Declared schemas of the canonical tables."""
+
+from pyspark.sql import types as T
+
+MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
+
+PROMPTS = T.StructType(
+    [
+        T.StructField("uid", T.StringType()),
+        T.StructField("data_source", T.StringType()),
+        T.StructField("messages", T.ArrayType(MESSAGE)),
+        T.StructField(
+            "reward_model",
+            T.StructType([T.StructField("style", T.StringType()), T.StructField("ground_truth", T.StringType())]),
+        ),
+        T.StructField("ability", T.StringType()),
+        T.StructField("extra_info", T.MapType(T.StringType(), T.StringType())),
+    ]
+)
+
+_DOUBLES = T.ArrayType(T.DoubleType())
+
+TRAJECTORIES = T.StructType(
+    [
+        T.StructField("step", T.LongType()),
+        T.StructField("data_source", T.StringType()),
+        T.StructField("uid", T.LongType()),
+        T.StructField("sample_id", T.LongType()),
+        T.StructField("prompt_len", T.IntegerType()),
+        T.StructField("max_prompt_len", T.IntegerType()),
+        T.StructField("max_response_len", T.IntegerType()),
+        T.StructField("response_mask", T.ArrayType(T.IntegerType())),
+        *[
+            T.StructField(name, _DOUBLES)
+            for name in (
+                "token_level_scores",
+                "old_log_probs",
+                "rollout_log_probs",
+                "ref_log_prob",
+                "log_probs",
+                "values",
+                "entropys",
+                "sum_pi_squared",
+            )
+        ],
+        T.StructField("reward_baseline", T.DoubleType()),
+        T.StructField("num_turns", T.LongType()),
+        T.StructField("tool_call_counts", T.LongType()),
+        T.StructField("param_version_start", T.LongType()),
+        T.StructField("param_version_end", T.LongType()),
+    ]
+)
+
+ROLLOUTS_TEXT = T.StructType(
+    [
+        T.StructField("step", T.LongType()),
+        T.StructField("uid", T.StringType()),
+        T.StructField("sample_id", T.StringType()),
+        T.StructField("data_source", T.StringType()),
+        T.StructField("input", T.StringType()),
+        T.StructField("output", T.StringType()),
+        T.StructField("gts", T.StringType()),
+        T.StructField("score", T.DoubleType()),
+    ]
+)
+
+TOKEN_DISTS = T.StructType(
+    [
+        T.StructField("sample_id", T.LongType()),
+        T.StructField("condition", T.StringType()),
+        T.StructField("pos", T.IntegerType()),
+        T.StructField("token_id", T.IntegerType()),
+        T.StructField("logprob", T.DoubleType()),
+        T.StructField("label_id", T.IntegerType()),
+        T.StructField("is_answer", T.BooleanType()),
+    ]
+)
+
+METRICS_LOG = T.StructType(
+    [
+        T.StructField("step", T.LongType()),
+        T.StructField("key", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("sample_count", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
+    ]
+)
+
+ROLLOUT_STREAM = T.StructType(
+    [
+        T.StructField("queue", T.StringType()),
+        T.StructField("sample_id", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("processing_time", T.DoubleType()),
+        T.StructField("tool_call_time", T.DoubleType()),
+        T.StructField("param_version", T.LongType()),
+        T.StructField("param_version_start", T.LongType()),
+        T.StructField("param_version_end", T.LongType()),
+    ]
+)
