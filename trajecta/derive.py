@@ -89,3 +89,87 @@ smp AS (
   SELECT step, data_source, uid, sample_id, score, acc, base, prompt_len, num_turns, tool_calls, v_start, v_end,
     CAST(len AS BIGINT) AS len, CAST(sum(m) AS BIGINT) AS n_valid
   FROM t GROUP BY ALL)"""
+
+
+# --- event-based tables ----------------------------------------------------------------------------------
+
+# Metric names given to events by `event_id % 12`.
+METRIC_NAMES = [
+    "timing_s/gen",
+    "timing_s/step",
+    "global_seqlen/min",
+    "global_seqlen/max",
+    "global_seqlen/minmax_diff",
+    "perf/throughput",
+    "perf/total_num_tokens",
+    "perf/time_per_step",
+    "critic/score/mean",
+    "fully_async/count/current_param_version",
+    "timing_s/agent_loop/tool_calls/max",
+    "reward/terminal_total",
+]
+
+
+def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric log: the user is the step, twenty steps make an interval."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts")
+    names = F.array(*[F.lit(n) for n in METRIC_NAMES])
+    return ev.select(
+        F.col("user_id").alias("step"),
+        F.floor(F.col("user_id") / 20).alias("interval"),
+        F.get(names, (F.col("event_id") % 12).cast("int")).alias("key"),
+        "value",
+        "ts",
+        "event_id",
+    )
+
+
+METRICS_SQL = f"""log AS (SELECT user_id AS step, user_id // 20 AS "interval",
+  {METRIC_NAMES!r}[event_id % 12 + 1] AS key, value, ts, event_id FROM events)"""
+
+
+def rollout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed samples: event type is the queue, `props.k` the tool time and version lag."""
+    ev = table(spark, sf_dir, "events")
+    return stream_columns(ev)
+
+
+def stream_columns(ev: DataFrame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    version = F.floor(F.col("event_id") / 500)
+    return ev.select(
+        F.col("event_type").alias("queue"),
+        F.col("event_id").alias("sample_id"),
+        "ts",
+        F.col("value").alias("processing_time"),
+        (k / F.lit(10.0)).alias("tool_call_time"),
+        version.alias("param_version"),
+        (version - k % 3).alias("param_version_start"),
+        version.alias("param_version_end"),
+        (F.col("user_id") % 8).alias("batch"),
+    )
+
+
+STREAM_SQL = """st AS (SELECT event_type AS queue, event_id AS sample_id, ts, value AS processing_time,
+  CAST(json_extract_string(props, '$.k') AS BIGINT)/10.0::DOUBLE AS tool_call_time, event_id // 500 AS param_version,
+  event_id // 500 - CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS param_version_start,
+  event_id // 500 AS param_version_end, user_id % 8 AS batch FROM events)"""
+
+
+def validation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated responses per prompt: one order is one response to its customer's prompt."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.concat(F.lit("src"), F.col("o_custkey") % 5).alias("data_source"),
+        F.col("o_custkey").alias("uid"),
+        F.col("o_orderkey").alias("sample_id"),
+        (F.sqrt("o_totalprice") / F.lit(100.0)).alias("reward"),
+        F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("acc"),
+        F.col("o_orderstatus").alias("pred"),
+        (F.col("o_orderkey") % 5 + 1).alias("num_turns"),
+    )
+
+
+VALIDATION_SQL = """val AS (SELECT 'src' || (o_custkey % 5) AS data_source, o_custkey AS uid, o_orderkey AS pos,
+    o_orderstatus AS pred, v.var, v.value FROM orders,
+    LATERAL (VALUES ('reward', sqrt(o_totalprice)/100.0::DOUBLE), ('acc', CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) v(var, value))"""

@@ -56,9 +56,7 @@ def masked_var(x: Column | str, mask: Column | str) -> Column:
 
 def masked_extreme(x: Column | str, mask: Column | str, largest: bool) -> Column:
     """Largest or smallest valid element; NULL when nothing is valid."""
-    kept = F.transform(
-        F.filter(F.arrays_zip(_c(x).alias("v"), _c(mask).alias("m")), lambda t: t[1] > 0), lambda t: t[0]
-    )
+    kept = F.zip_with(_c(x), _c(mask), lambda v, m: F.when(m > 0, v))
     return F.array_max(kept) if largest else F.array_min(kept)
 
 

@@ -197,6 +197,11 @@ def _kept(stat: Column, th: Threshold) -> Column:
     return keep if low is None else keep & (stat >= low)
 
 
+def _keep_flags(stat: Column | None, source: str, th: Threshold) -> Column:
+    """0/1 per token: from the token's own statistic, or from one value shared by the row."""
+    return F.transform(source, lambda x: _kept(x if stat is None else stat, th).cast("int"))
+
+
 def with_rejection_stats(df: DataFrame, thresholds: list[Threshold]) -> DataFrame:
     """Per option: `<opt>__seq` (sequence statistic), `<opt>__tok` (token statistic), `<opt>__keep` (0/1 array)."""
     for th in thresholds:
@@ -204,8 +209,7 @@ def with_rejection_stats(df: DataFrame, thresholds: list[Threshold]) -> DataFram
         tok, seq, keep = f"{th.option}__tok", f"{th.option}__seq", f"{th.option}__keep"
         df = df.withColumn(tok, _token_stat(kind))
         if level == "token":
-            df = df.withColumn(seq, masked_mean(tok, "response_mask"))
-            df = df.withColumn(keep, F.transform(tok, lambda x, th=th: _kept(x, th).cast("int")))
+            df = df.withColumn(seq, masked_mean(tok, "response_mask")).withColumn(keep, _keep_flags(None, tok, th))
             continue
         if level == "seq_sum":
             value = masked_sum(tok, "response_mask")
@@ -214,11 +218,14 @@ def with_rejection_stats(df: DataFrame, thresholds: list[Threshold]) -> DataFram
         else:
             value = F.coalesce(masked_extreme(tok, "response_mask", True), F.lit(0.0))
         df = df.withColumn(seq, value)
-        df = df.withColumn(tok, F.transform("response_mask", lambda _, s=seq: F.col(s)))
-        df = df.withColumn(keep, F.transform("response_mask", lambda _, s=seq, th=th: _kept(F.col(s), th).cast("int")))
+        df = df.withColumn(tok, spread_value(F.col(seq))).withColumn(keep, _keep_flags(F.col(seq), "response_mask", th))
     return df
 
 
+def spread_value(value: Column) -> Column:
+    return F.transform("response_mask", lambda _: value)
+
+
 def rejection_mask(df: DataFrame, thresholds: list[Threshold]) -> DataFrame:
     """Adds `modified_response_mask`: the mask times every option's keep flag."""
     rows = with_rejection_stats(df, thresholds)
@@ -233,6 +240,11 @@ def rejection_mask(df: DataFrame, thresholds: list[Threshold]) -> DataFrame:
     return rows.withColumn("modified_response_mask", zmap(names, both))
 
 
+def _over(name: str, fn) -> Column:
+    """Masked sum of a function of one token array."""
+    return asum(zmap([name, "response_mask"], lambda t: fn(t[name]) * t["response_mask"]))
+
+
 def rejection_metrics(df: DataFrame, thresholds: list[Threshold], keys: list[str] | None = None) -> DataFrame:
     """Per-step statistics of every option and of the combined mask; input from `rejection_mask`."""
     keys = keys or ["step"]
@@ -244,16 +256,14 @@ def rejection_metrics(df: DataFrame, thresholds: list[Threshold], keys: list[str
         tok, keep = f"{o}__tok", f"{o}__keep"
         cols += [
             masked_sum(tok, m).alias(f"{o}_s"),
-            asum(zmap([tok, m], lambda t, tok=tok, a=floor, b=up: clamp(t[tok], a, b) * t[m])).alias(f"{o}_c"),
-            asum(zmap([tok, m], lambda t, tok=tok, a=floor, b=up: F.pow(clamp(t[tok], a, b), F.lit(2)) * t[m])).alias(
-                f"{o}_cc"
-            ),
-            asum(zmap([tok, m], lambda t, tok=tok, b=up: (t[tok] > b).cast("int") * t[m])).alias(f"{o}_hi"),
-            asum(zmap([tok, m], lambda t, tok=tok, a=floor: (t[tok] < a).cast("int") * t[m])).alias(f"{o}_lo"),
+            _over(tok, lambda x, a=floor, b=up: clamp(x, a, b)).alias(f"{o}_c"),
+            _over(tok, lambda x, a=floor, b=up: clamp(x, a, b) * clamp(x, a, b)).alias(f"{o}_cc"),
+            _over(tok, lambda x, b=up: (x > b).cast("int")).alias(f"{o}_hi"),
+            _over(tok, lambda x, a=floor: (x < a).cast("int")).alias(f"{o}_lo"),
             masked_extreme(tok, m, True).alias(f"{o}_max"),
             masked_extreme(tok, m, False).alias(f"{o}_min"),
             F.when(mask_count(m) > 0, F.col(f"{o}__seq")).alias(f"{o}_q"),
-            asum(zmap([keep, m], lambda t, keep=keep: t[keep] * t[m])).alias(f"{o}_kept"),
+            masked_sum(keep, m).alias(f"{o}_kept"),
         ]
     rows = df.select(*keys, *cols)
     n = F.sum("n")

@@ -103,37 +103,77 @@ def sample_std(name: str) -> Column:
     return F.when(F.col(f"{name}_n") > 1, F.sqrt(F.col(f"{name}_m2") / (F.col(f"{name}_n") - 1)))
 
 
-def with_rank(
+def with_prefix_sum(
     df: DataFrame,
     bucket: Column,
     order: list[Column],
-    name: str = "row_idx",
+    weight: Column,
+    name: str,
     keys: list[str] | None = None,
 ) -> DataFrame:
-    """Zero-based position of every row under `order`, exact, without sorting a whole group in one task.
+    """Sum of `weight` over the rows that come earlier under `order`, without one task per group.
 
     `bucket` must be a non-decreasing function of `order` (a coarse quotient of the leading sort key).
-    Rows are ranked inside their bucket and shifted by the number of rows in the earlier buckets, which
-    a window over one small row per bucket supplies.
+    Rows are summed inside their bucket and shifted by the totals of the earlier buckets, which a window
+    over one small row per bucket supplies.
     """
     keys = keys or []
-    rows = df.withColumn("__rank_bucket", bucket)
-    counts = rows.groupBy(*keys, "__rank_bucket").agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.withColumn("__rank_bucket", bucket).withColumn("__weight", weight)
+    totals = rows.groupBy(*keys, "__rank_bucket").agg(F.sum("__weight").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__rank_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
+    offsets = totals.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col("__rank_bucket").alias("__b"),
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
     )
-    inside = Window.partitionBy(*keys, "__rank_bucket").orderBy(*order)
-    ranked = rows.withColumn("__inside", F.row_number().over(inside))
+    inside = Window.partitionBy(*keys, "__rank_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
     match = F.col("__rank_bucket").eqNullSafe(F.col("__b"))
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     return (
-        ranked.join(offsets, match)
-        .withColumn(name, F.col("__before") + F.col("__inside") - 1)
-        .drop("__rank_bucket", "__b", "__before", "__inside", *[f"__k_{k}" for k in keys])
+        summed.join(offsets, match)
+        .withColumn(name, F.col("__before") + F.col("__inside"))
+        .drop("__rank_bucket", "__weight", "__b", "__before", "__inside", *[f"__k_{k}" for k in keys])
+    )
+
+
+def with_rank(
+    df: DataFrame, bucket: Column, order: list[Column], name: str = "row_idx", keys: list[str] | None = None
+) -> DataFrame:
+    """Zero-based position of every row under the total order `order`, exact and computed in two levels."""
+    return with_prefix_sum(df, bucket, order, F.lit(1).cast("long"), name, keys)
+
+
+def exact_percentiles(
+    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], slices: float = 64.0
+) -> DataFrame:
+    """Linearly interpolated percentiles per group, from value counts ranked in two levels."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    bucket = F.floor(F.col(value) * F.lit(slices))
+    ranked = with_prefix_sum(counts, bucket, [F.col(value)], F.col("__c"), "__start", keys)
+    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__total"))
+    ranked = join_group_table(ranked, sizes, keys, value)
+
+    def at(index: Column) -> Column:
+        inside = (index >= F.col("__start")) & (index < F.col("__start") + F.col("__c"))
+        return F.max(F.when(inside, F.col(value)))
+
+    parts = []
+    for name, fraction in fractions.items():
+        target = (F.col("__total") - 1) * F.lit(fraction)
+        parts += [
+            at(F.floor(target)).alias(f"__lo_{name}"),
+            at(F.ceil(target)).alias(f"__hi_{name}"),
+            F.max(target - F.floor(target)).alias(f"__w_{name}"),
+        ]
+    out = ranked.groupBy(*keys).agg(*parts)
+    return out.select(
+        *keys,
+        *[
+            (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__w_{n}")).alias(n)
+            for n in fractions
+        ],
     )
 
 

@@ -225,6 +225,7 @@ def _token_table(df: DataFrame) -> DataFrame:
         "__n",
         "__sa",
         "__sl",
+        F.col("max_response_len").alias("width"),
         F.posexplode(F.arrays_zip(*BASE)).alias("pos", "t"),
     ).filter(f"t.{M} > 0")
 
@@ -234,10 +235,32 @@ def _top(df: DataFrame, bucket: Column, order: list[Column], limit: Column) -> D
     return with_rank(df, bucket, order, "__rank", ["step"]).withColumn("chosen", F.col("__rank") < limit).drop("__rank")
 
 
-def _token_loss(tokens: DataFrame, loss: Column, mode: str) -> tuple[DataFrame, Column]:
-    if mode != "token-mean":
-        raise ValueError("token selection losses are aggregated by token-mean here")
-    return tokens.withColumn("loss", loss), F.sum("loss") / F.count(F.lit(1))
+def _token_loss(tokens: DataFrame, loss: Column, kept: Column, mode: str, scale: float | None, **metrics: Column):
+    """Aggregate single-token losses: per sequence first, then per step, so every mode is available.
+
+    `kept` counts the tokens to report as clipped; `metrics` are per-token values averaged over the step.
+    """
+    per_seq = tokens.groupBy("step", "sample_id").agg(
+        F.sum(loss).alias("loss"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(kept.cast("int")).alias("kept"),
+        F.max("width").alias("width"),
+        *[F.sum(c).alias(k) for k, c in metrics.items()],
+    )
+    total = {
+        "token-mean": F.sum("loss") / F.sum("n"),
+        "seq-mean-token-sum": F.avg("loss"),
+        "seq-mean-token-mean": F.avg(F.col("loss") / (F.col("n") + F.lit(EPS))),
+        "seq-mean-token-sum-norm": F.sum("loss") / (F.max("width") if scale is None else F.lit(scale)),
+    }
+    if mode not in total:
+        raise ValueError(f"unknown loss aggregation: {mode}")
+    n = F.sum("n") + F.lit(EPS)
+    return per_seq.groupBy("step").agg(
+        total[mode].alias("pg_loss"),
+        (F.sum("kept") / n).alias("pg_clipfrac"),
+        *[(F.sum(k) / n).alias(k) for k in metrics],
+    )
 
 
 def covariance_clip(
@@ -249,6 +272,7 @@ def covariance_clip(
     high: float = 0.2,
     seed: int = 0,
     mode: str = "token-mean",
+    scale: float | None = None,
 ) -> DataFrame:
     """Drops a few randomly chosen tokens whose covariance lies in a band; choice by seeded hash."""
     tokens = _token_table(df)
@@ -262,6 +286,7 @@ def covariance_clip(
         "step",
         "sample_id",
         "pos",
+        "width",
         "__n",
         F.greatest(plain, clipped).alias("raw"),
         (-lr).alias("kl"),
@@ -270,19 +295,16 @@ def covariance_clip(
     limit = F.greatest(F.floor(F.col("__n") * F.lit(ratio)), F.lit(1))
     picked = tokens.filter("candidate").withColumn("__h", seeded_hash(seed, "sample_id", "pos"))
     picked = _top(picked, F.shiftright("__h", 52), [F.col("__h"), F.col("sample_id"), F.col("pos")], limit)
-    tokens = tokens.filter("NOT candidate").select("step", "raw", "kl", F.lit(False).alias("chosen")).unionByName(
-        picked.select("step", "raw", "kl", "chosen")
-    )
-    tokens, total = _token_loss(tokens, F.when(F.col("chosen"), 0.0).otherwise(F.col("raw")), mode)
-    return tokens.groupBy("step").agg(
-        total.alias("pg_loss"),
-        (F.sum(F.col("chosen").cast("int")) / (F.count(F.lit(1)) + F.lit(EPS))).alias("pg_clipfrac"),
-        (F.sum("kl") / (F.count(F.lit(1)) + F.lit(EPS))).alias("ppo_kl"),
+    columns = ["step", "sample_id", "width", "raw", "kl"]
+    tokens = tokens.filter("NOT candidate").select(*columns, F.lit(False).alias("chosen")).unionByName(
+        picked.select(*columns, "chosen")
     )
+    loss = F.when(F.col("chosen"), 0.0).otherwise(F.col("raw"))
+    return _token_loss(tokens, loss, F.col("chosen"), mode, scale, ppo_kl=F.col("kl"))
 
 
 def covariance_penalty(
-    df: DataFrame, ratio: float = 0.0002, coef: float = 1.0, mode: str = "token-mean", slices: float = 1024.0
+    df: DataFrame, ratio: float = 0.0002, coef: float = 1.0, mode: str = "token-mean", scale: float | None = None
 ) -> DataFrame:
     """Adds an absolute-divergence term to the tokens of highest covariance in each step."""
     tokens = _token_table(df)
@@ -293,6 +315,7 @@ def covariance_penalty(
         "step",
         "sample_id",
         "pos",
+        "width",
         "__n",
         cov.alias("cov"),
         (-t["advantages"] * F.exp(lr)).alias("plain"),
@@ -300,13 +323,10 @@ def covariance_penalty(
     )
     limit = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(ratio)))
     tokens = _top(
-        tokens, -F.floor(F.col("cov") * F.lit(slices)), [F.col("cov").desc(), F.col("sample_id"), F.col("pos")], limit
+        tokens, -F.floor(F.col("cov") * F.lit(1024.0)), [F.col("cov").desc(), F.col("sample_id"), F.col("pos")], limit
     )
     loss = F.col("plain") + F.when(F.col("chosen"), F.col("abs_kl") * coef).otherwise(0.0)
-    tokens, total = _token_loss(tokens, loss, mode)
-    return tokens.groupBy("step").agg(
-        total.alias("pg_loss"), (F.sum("abs_kl") / (F.count(F.lit(1)) + F.lit(EPS))).alias("ppo_kl")
-    )
+    return _token_loss(tokens, loss, F.col("chosen"), mode, scale, ppo_kl=F.col("abs_kl")).drop("pg_clipfrac")
 
 
 def value_loss(df: DataFrame, clip: float = 0.5, mode: str = "token-mean", pred: str = "vpreds") -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["q_advantages"]
+MODULES = ["q_advantages", "q_correction", "q_losses", "q_metrics"]
 
 
 def load_all():
