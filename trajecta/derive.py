@@ -173,3 +173,48 @@ def validation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 VALIDATION_SQL = """val AS (SELECT 'src' || (o_custkey % 5) AS data_source, o_custkey AS uid, o_orderkey AS pos,
     o_orderstatus AS pred, v.var, v.value FROM orders,
     LATERAL (VALUES ('reward', sqrt(o_totalprice)/100.0::DOUBLE), ('acc', CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) v(var, value))"""
+
+
+# --- text tables -------------------------------------------------------------------------------------------
+
+ANSWER_FORMS = 10
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response per document: its text as the reasoning, closed by an answer in one of ten layouts."""
+    d = table(spark, sf_dir, "documents")
+    gold = F.col("n_chars") % 97
+    p = F.when(F.col("doc_id") % 3 == 0, gold + 1).otherwise(gold).cast("string")
+    text, src = F.col("text"), F.col("source")
+    forms = [
+        F.concat(F.lit("<think>"), text, F.lit("</think>\nFinal answer: "), p),
+        F.concat(text, F.lit(" The answer is "), p, F.lit(".")),
+        F.concat(F.lit("<think>"), text, F.lit("</think>Answer: "), p, F.lit("/1")),
+        F.concat(F.lit("Final answer: <think>"), text, F.lit("</think> Final answer: \\frac{"), p, F.lit("}{1}<end_of_turn>")),
+        F.concat(text, F.lit("\n#### 1,"), p),
+        F.concat(text, F.lit("\nAnswer: $\\boxed{"), p, F.lit("}$ units")),
+        F.concat(F.lit("<answer>the "), src, F.lit("</answer>"), text, F.lit("<answer>A "), src, F.lit(", "), p, F.lit(".</answer>")),
+        text,
+        F.concat(F.lit("<think>"), text, F.lit("</think> so \\boxed{\\frac{"), p, F.lit("}2}")),
+        F.concat(text, F.lit(" Final answer: "), p, F.lit("</think>\nAnswer: x = 0.5")),
+    ]
+    which = (F.col("doc_id") % ANSWER_FORMS).cast("int")
+    output = F.when(which == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        output = output.when(which == i, form)
+    return d.select("doc_id", "source", "lang", gold.cast("string").alias("gold"), output.alias("output"))
+
+
+RESPONSES_SQL = """res0 AS (SELECT doc_id, source, lang, text, CAST(n_chars % 97 AS VARCHAR) AS gold,
+    CAST(CASE WHEN doc_id % 3 = 0 THEN n_chars % 97 + 1 ELSE n_chars % 97 END AS VARCHAR) AS p FROM documents),
+  res AS (SELECT doc_id, source, lang, gold, CASE doc_id % 10
+    WHEN 0 THEN '<think>' || text || '</think>' || chr(10) || 'Final answer: ' || p
+    WHEN 1 THEN text || ' The answer is ' || p || '.'
+    WHEN 2 THEN '<think>' || text || '</think>Answer: ' || p || '/1'
+    WHEN 3 THEN 'Final answer: <think>' || text || '</think> Final answer: \\frac{' || p || '}{1}<end_of_turn>'
+    WHEN 4 THEN text || chr(10) || '#### 1,' || p
+    WHEN 5 THEN text || chr(10) || 'Answer: $\\boxed{' || p || '}$ units'
+    WHEN 6 THEN '<answer>the ' || source || '</answer>' || text || '<answer>A ' || source || ', ' || p || '.</answer>'
+    WHEN 7 THEN text
+    WHEN 8 THEN '<think>' || text || '</think> so \\boxed{\\frac{' || p || '}2}'
+    ELSE text || ' Final answer: ' || p || '</think>' || chr(10) || 'Answer: x = 0.5' END AS output FROM res0)"""

@@ -124,7 +124,7 @@ def with_prefix_sum(
     offsets = totals.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col("__rank_bucket").alias("__b"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__prefix_before"),
     )
     inside = Window.partitionBy(*keys, "__rank_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
@@ -133,8 +133,8 @@ def with_prefix_sum(
         match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     return (
         summed.join(offsets, match)
-        .withColumn(name, F.col("__before") + F.col("__inside"))
-        .drop("__rank_bucket", "__weight", "__b", "__before", "__inside", *[f"__k_{k}" for k in keys])
+        .withColumn(name, F.col("__prefix_before") + F.col("__inside"))
+        .drop("__rank_bucket", "__weight", "__b", "__prefix_before", "__inside", *[f"__k_{k}" for k in keys])
     )
 
 
