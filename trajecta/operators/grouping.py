@@ -146,9 +146,9 @@ def with_rank(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], slices: float = 64.0
+    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], slices: float = 64.0, lower: bool = False
 ) -> DataFrame:
-    """Linearly interpolated percentiles per group, from value counts ranked in two levels."""
+    """Linearly interpolated (or lower) percentiles per group, from value counts ranked in two levels."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     bucket = F.floor(F.col(value) * F.lit(slices))
     ranked = with_prefix_sum(counts, bucket, [F.col(value)], F.col("__c"), "__start", keys)
@@ -165,7 +165,7 @@ def exact_percentiles(
         parts += [
             at(F.floor(target)).alias(f"__lo_{name}"),
             at(F.ceil(target)).alias(f"__hi_{name}"),
-            F.max(target - F.floor(target)).alias(f"__w_{name}"),
+            (F.lit(0.0) if lower else F.max(target - F.floor(target))).alias(f"__w_{name}"),
         ]
     out = ranked.groupBy(*keys).agg(*parts)
     return out.select(

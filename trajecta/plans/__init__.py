@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["q_advantages", "q_correction", "q_losses", "q_metrics", "q_batches", "q_rewards"]
+MODULES = ["q_advantages", "q_correction", "q_losses", "q_metrics", "q_batches", "q_rewards", "q_behaviour"]
 
 
 def load_all():
