@@ -225,7 +225,10 @@ REFERENCE_CODE = "def solve(lines):\n    return int(lines[0])"
 
 def code_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One code-repair response per order: three doubling tests and one of eight kinds of answer."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # Two numbers per row are spread before the text is built, so that parsing it uses every core even
+    # when the input is a single row group.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(tasks, "o_orderkey")
     k = [(F.col("o_orderkey") + i).cast("string") for i in range(3)]
     twice = [((F.col("o_orderkey") + i) * 2).cast("string") for i in range(3)]
 

@@ -149,9 +149,11 @@ def resampled_metrics(long: DataFrame, rounds: int = 1000, seed: int = 42, with_
     sizes = long.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     rows = join_group_table(long, sizes, KEY, "pos")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.schema if f.name in KEY)
+    tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = (
         rows.filter(F.col("n") <= SMALL_GROUP)
         .drop("n")
+        .repartition(tasks, *KEY)
         .groupBy(*KEY)
         .applyInPandas(_resampler(rounds, seed, with_majority), f"{schema}, metric string, value double")
     )
