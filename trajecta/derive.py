@@ -19,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with at least one line; its lines are the response tokens.
 
-    Only the lines' sort and value columns are read.  Lines meet by order key once; the orders side
-    joins on the same key, so the grouped lines are not shuffled a second time.
+    Only the lines' sort and value columns are read.  Lines meet by order key once, before grouping
+    (collecting them first on the map side would shrink nothing); the orders side joins on the same key,
+    so the grouped lines are not shuffled a second time.  A response is bounded by the token budget of
+    its run, so one row per response is the unit everywhere.
     """
     lines = (
         table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", *LINE_ORDER)
+        .repartition("l_orderkey")
         .groupBy("l_orderkey")
         .agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER))).alias("tok"))
     )

@@ -83,7 +83,8 @@ def with_group_stats(
     match = F.col(_BUCKET) == F.col("__k_bucket")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return rows.join(renamed, match).drop(_BUCKET, "__k_bucket", *[f"__k_{k}" for k in keys])
+    # A left join: only the small side may be broadcast, whatever the optimiser guesses about the rows.
+    return rows.join(renamed, match, "left").drop(_BUCKET, "__k_bucket", *[f"__k_{k}" for k in keys])
 
 
 def join_group_table(df: DataFrame, table: DataFrame, keys: list[str], row_id: str | list[str], buckets: int = BUCKETS):
@@ -132,7 +133,7 @@ def with_prefix_sum(
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     return (
-        summed.join(offsets, match)
+        summed.join(offsets, match, "left")
         .withColumn(name, F.col("__prefix_before") + F.col("__inside"))
         .drop("__rank_bucket", "__weight", "__b", "__prefix_before", "__inside", *[f"__k_{k}" for k in keys])
     )

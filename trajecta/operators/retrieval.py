@@ -93,14 +93,15 @@ def lexical_top_k(
     wanted = q.select(F.explode("t").alias("term")).distinct()
     found = d.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    size = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("one", F.lit(1))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.withColumn("one", F.lit(1)).join(size, "one").select("term", idf.alias("idf"), "avgdl")
+    n = d.select(F.count(F.lit(1)).alias("n")).scalar()
+    avgdl = d.select(F.avg("dl").alias("a")).scalar()
+    weighted = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     q = (
         q.select("query_id", F.explode("t").alias("term"))
         .join(weighted, "term")
         .groupBy("query_id")
-        .agg(F.collect_list(F.struct("term", "idf")).alias("w"), F.max("avgdl").alias("avgdl"))
+        .agg(F.collect_list(F.struct("term", "idf")).alias("w"))
+        .withColumn("avgdl", avgdl)
     )
 
     def score(key, dd: pd.DataFrame, qq: pd.DataFrame) -> pd.DataFrame:

@@ -220,11 +220,11 @@ def offpolicy_metrics(spark, sf):
 
 
 @query(
-    "rollout_correction_pipeline",
+    "rollout_correction_rows",
     f"""WITH {TOKENS_SQL}, {LR}, x AS (SELECT *, least(exp(lrc)*m, 2) AS w, ({_keep("-lrc", *_rs_parts("token_k1")[2:])})::INT*m AS m2 FROM lr)
     SELECT sample_id, {sq("sum(w)")} AS weight_sum, CAST(sum(m2) AS INTEGER) AS kept FROM x GROUP BY sample_id""",
 )
-def rollout_correction_pipeline(spark, sf):
+def rollout_correction_rows(spark, sf):
     rows, _ = C.rollout_correction(
         trajectories(spark, sf), "token", 2.0, rejection="token_k1", rejection_threshold=SPECS["token_k1"]
     )
