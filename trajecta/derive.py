@@ -56,7 +56,8 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokens(lambda t: -(t["l_discount"] * 8 + t["l_tax"] * 2 + 0.05)).alias("log_probs"),
         tokens(lambda t: t["l_quantity"] / 50).alias("values"),
         tokens(lambda t: t["l_quantity"] / 100).alias("entropys"),
-        tokens(lambda t: t["l_tax"] * 5).alias("sum_pi_squared"),
+        # At least the square of the sampled token's probability, as a sum of squares must be.
+        tokens(lambda t: F.exp(-(t["l_discount"] * 10 + 0.05) * 2) + t["l_tax"]).alias("sum_pi_squared"),
         score.alias("score"),
         F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("acc"),
         (F.col("o_custkey") % 100 / F.lit(50.0)).alias("reward_baseline"),
@@ -79,7 +80,7 @@ tok AS (
     -(l_tax*10 + 0.05::DOUBLE) AS roll_lp,
     -(l_discount + l_tax) * 5 AS ref_lp,
     -(l_discount*8 + l_tax*2 + 0.05::DOUBLE) AS lp,
-    l_quantity/50 AS val, l_quantity/100 AS ent, l_tax*5 AS sp2,
+    l_quantity/50 AS val, l_quantity/100 AS ent, exp(-(l_discount*10 + 0.05::DOUBLE)*2) + l_tax AS sp2,
     sqrt(o_totalprice)/100.0::DOUBLE AS score,
     CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS acc,
     o_custkey % 100 / 50.0::DOUBLE AS base,

@@ -7,7 +7,6 @@ function parses each code block once and never runs it.
 from __future__ import annotations
 
 import ast
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,9 +98,7 @@ def _asserts(tree):
     return [n for n in tree.body if isinstance(n, ast.Assert)] if tree is not None else []
 
 
-@lru_cache(maxsize=4096)
 def _solve_dump(code: str) -> str | None:
-    """Dump of a reference solution; many responses share one."""
     node = _solve(_parsed(code))
     return None if node is None else ast.dump(node)
 
@@ -176,7 +173,8 @@ def _lookup(solve, min_cases: int = 3) -> tuple[str, int]:
     return kind, hits
 
 
-def describe(code: str, inputs: list[str], outputs: list[str], reference: str | None) -> dict:
+def describe(code: str, inputs: list[str], outputs: list[str], old: str | None) -> dict:
+    """Features of one block; `old` is the syntax dump of the reference solution."""
     tree = _parsed(code)
     asserts, solve = _asserts(tree), _solve(tree)
     validity = "neither"
@@ -193,7 +191,6 @@ def describe(code: str, inputs: list[str], outputs: list[str], reference: str |
             shown = _asserts(_parsed("\n".join(assertion_lines(inputs, outputs))))
             if [ast.dump(a) for a in shown] == [ast.dump(a) for a in asserts]:
                 status = "unaltered"
-    old = _solve_dump(reference) if reference else None
     calls = (n for a in asserts for n in ast.walk(a.test) if isinstance(n, ast.Call))
     lookup, cases = _lookup(solve)
     return {
@@ -213,8 +210,9 @@ def describe(code: str, inputs: list[str], outputs: list[str], reference: str |
 
 @F.pandas_udf(TREE)
 def tree_features(code: pd.Series, inputs: pd.Series, outputs: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    dumps = {r: _solve_dump(r) for r in reference.dropna().unique() if r}
     rows = [
-        dict.fromkeys(TREE.names) if c is None else describe(c, list(i), list(o), r)
+        dict.fromkeys(TREE.names) if c is None else describe(c, list(i), list(o), dumps.get(r))
         for c, i, o, r in zip(code, inputs, outputs, reference)
     ]
     return pd.DataFrame(rows, columns=TREE.names)

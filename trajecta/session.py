@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold at any size; partition counts stay with the cluster (AQE coalesces).
@@ -27,6 +28,13 @@ def build_session(app: str = "trajecta", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+def ship_code() -> None:
+    """Send the package's functions to Python workers by value, so they need no installed copy of it."""
+    import trajecta
+
+    cloudpickle.register_pickle_by_value(trajecta)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster; a private one only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
