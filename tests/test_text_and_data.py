@@ -94,7 +94,7 @@ def test_code_features_by_hand():
     ins, outs = ["1"], ["2"]
     ok = "def solve(lines):\n    return 2\nassert str(solve(['1'])).strip() == '2'"
     assert K.describe(ok, ins, outs, None)["asserts"] == "unaltered"
-    assert K.describe(ok.replace("'2'", "'3'"), ins, outs, K._solve_dump(ok))["asserts"] == "changed"
+    assert K.describe(ok.replace("'2'", "'3'"), ins, outs, K._reference(ok))["asserts"] == "changed"
     assert K.describe("def solve(:", ins, outs, None)["validity"] == "neither"
     assert K.describe("return 1", ins, outs, None)["validity"] == "ast"
     pure = "def solve(lines):\n    if lines[0] == '1': return 'a'\n    elif lines[0] == '2': return 'b'\n    elif lines == ['3']: return 'c'"
@@ -104,6 +104,10 @@ def test_code_features_by_hand():
     two = "\n".join(pure.split("\n")[:3])
     assert K.describe(two, ins, outs, None)["lookup"] == "none"
     assert K.describe("import sys\nsys.exit()\nassert 1", ins, outs, None)["has_early_exit"]
+    assert K.describe("x = 1", None, None, K._reference("y = 2"))["asserts"] == "unaltered"
+    assert K.describe("assert 1", None, None, K._reference("y = 2"))["asserts"] == "changed"
+    assert K.describe("x = 1", None, None, K._reference("assert 1"))["asserts"] == "omitted"
+    assert K.describe("x = (", None, None, K._reference("assert 1"))["asserts"] is None
     assert not K.describe("assert 1\nexit()", ins, outs, None)["has_early_exit"]
 
 

@@ -6,6 +6,7 @@ from ..derive import SAMPLES_SQL, TOKENS_SQL, trajectories
 from ..functions.arrays import asum, mask_count, masked_mean, masked_sum
 from ..functions.kl import kl_token
 from ..operators import advantages as A
+from ..operators.correction import importance_weights, with_log_ratio
 from .registry import query, rnd, sq
 
 
@@ -198,6 +199,23 @@ def adv_tir_otb(spark, sf):
     return _per_token(A.tir_optimal_token_baseline(rewarded(spark, sf)))
 
 
+@query(
+    "adv_optimal_token_baseline_weighted",
+    f"""WITH {TOKENS_SQL}, {SAMPLES_SQL},
+    c AS (SELECT step, uid, sample_id, pos, m, sum(r*m) OVER (PARTITION BY sample_id ORDER BY pos DESC) AS g,
+            sum((1 - 2*exp(old_lp) + sp2)*pow(least(exp(greatest(least(old_lp-roll_lp, 20), -20))*m, 2), 2)*m) OVER (PARTITION BY sample_id ORDER BY pos) AS w FROM t),
+    b AS (SELECT step, uid, pos, sum(g*w*m)/(sum(w*m)+1e-8) AS b FROM c GROUP BY ALL),
+    n AS (SELECT step, uid, sample_id, n_valid, count(*) OVER w AS n, max(n_valid) OVER w AS mx,
+            row_number() OVER (PARTITION BY step, uid ORDER BY n_valid DESC) AS rk FROM smp WINDOW w AS (PARTITION BY step, uid)),
+    sec AS (SELECT step, uid, n_valid AS second FROM n WHERE rk = 2)
+    SELECT c.sample_id, c.pos, {sq("(g - CASE WHEN n.n = 1 OR (n_valid = mx AND mx > second AND c.pos >= second) THEN 0 ELSE b END)*m")} AS advantage, {sq("g")} AS ret
+    FROM c JOIN b USING (step, uid, pos) JOIN n ON n.sample_id = c.sample_id LEFT JOIN sec ON sec.step = c.step AND sec.uid = c.uid""",
+)
+def adv_otb_weighted(spark, sf):
+    rows = importance_weights(with_log_ratio(rewarded(spark, sf)), "token", 2.0)
+    return _per_token(A.optimal_token_baseline(rows, is_weights="rollout_is_weights", zero_tail=True))
+
+
 @query(
     "rewards_with_kl",
     f"""WITH {TOKENS_SQL} SELECT sample_id, {sq("sum(r - (old_lp - ref_lp)*0.1)")} AS reward FROM t GROUP BY sample_id""",

@@ -17,6 +17,7 @@ from ..operators import codefeatures as K
 from ..operators import faithfulness as A
 from ..operators import segments as G
 from ..operators import sequences as X
+from ..session import staged
 from .q_correction import rounded
 from .q_rewards import NUM_SQL, lit, num_sql, q_strip
 from .registry import query, rnd, sq
@@ -92,10 +93,10 @@ for _v in (1, 2, 3):
 
 @query(
     "reward_code_standard",
-    f"""WITH {CODE} SELECT uid, {sq(f"CASE WHEN k = 6 THEN -1.3 ELSE {case([3, 0, 0, 0, 3, 0, 0, 0])} + {FORMAT} + {case([0.4] * 5 + [0, 0, 0])} + {case([0.4] * 6 + [0, 0.4])} END")} AS score FROM c""",
+    f"""WITH {CODE} SELECT uid, {sq(f"CASE WHEN k = 6 THEN -1.3 ELSE {case([3, 0, 3, 0, 3, 0, 0, 0])} + {FORMAT} + {case([0.4] * 5 + [0, 0, 0.4])} + {case([0.4] * 6 + [0, 0.4])} END")} AS score FROM c""",
 )
 def reward_code_standard(spark, sf):
-    return K.code_reward(K.hacking_features(code_rollouts(spark, sf))).select("uid", rnd("score").alias("score"))
+    return K.code_reward(K.standard_features(code_rollouts(spark, sf))).select("uid", rnd("score").alias("score"))
 
 
 @query(
@@ -350,7 +351,7 @@ def intervention_sets(spark, sf):
 
 @query("intervention_aligned", f"WITH {INTERVENED} SELECT uid, true AS prompt_same, false AS cot_same FROM q")
 def intervention_aligned(spark, sf):
-    sets = G.intervention_sets(code_rollouts(spark, sf).select("uid", "prompt", "output"), "prompt", "output")
+    sets = staged(G.intervention_sets(code_rollouts(spark, sf).select("uid", "prompt", "output"), "prompt", "output"))
     one = [sets.filter(F.col("intervention_type") == k).select("uid", "generated") for k in ("original", "prompt", "cot")]
     out = G.aligned_triples(*one)
     return out.select(

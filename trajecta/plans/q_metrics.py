@@ -209,6 +209,21 @@ def step_variance_proxies(spark, sf):
     return rounded(S.variance_proxies(credited(spark, sf), F.lit(0.5)))
 
 
+@query(
+    "step_variance_proxies_weighted",
+    f"""{TA}, w AS (SELECT *, least(exp(greatest(least(old_lp-roll_lp, 20), -20))*m, 2) AS w FROM ta),
+    s AS (SELECT step, sample_id, sum(a*m)/(sum(m)+{E8}) AS a, sum(w*m)/(sum(m)+{E8}) AS rho, sum((1-2*exp(old_lp)+sp2)*w*w*m) AS ww,
+      greatest(sum((1-2*exp(old_lp)+sp2)*w*w/greatest(w*w, 1e-10)*m), 0) AS w0 FROM w GROUP BY ALL)
+    SELECT step, {sq("avg(rho*rho*a*a*w0)")} AS proxy2_total_power, {sq("avg(ww)")} AS expected_w FROM s GROUP BY step""",
+)
+def step_variance_proxies_weighted(spark, sf):
+    from ..operators.correction import importance_weights, with_log_ratio
+
+    rows = importance_weights(with_log_ratio(credited(spark, sf)), "token", 2.0)
+    out = S.variance_proxies(rows, is_weights="rollout_is_weights")
+    return rounded(out.select("step", "proxy2_total_power", "expected_w"))
+
+
 # --- metric logs ------------------------------------------------------------------------------------------------
 
 
