@@ -44,7 +44,7 @@ def corpus(spark, sf):
 
 SPLIT = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 LEXICAL = f"""dt AS (SELECT doc_id, text, {SPLIT} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM dt),
-    tf AS (SELECT doc_id, len(any_value(t)) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM dt) GROUP BY doc_id, term),
+    tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY doc_id, dl, term),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     qt AS (SELECT item_id AS query_id, unnest(list_distinct({SPLIT})) AS term FROM benchmark),
     s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5)/(df + 0.5)) * tf*1.9/(tf + 0.9*(0.6 + 0.4*dl/avgdl))) AS s FROM qt JOIN df USING (term) JOIN tf USING (term), n GROUP BY ALL),
