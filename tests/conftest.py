@@ -18,7 +18,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
-            "spark.trajecta.localCheckpointRoot": str(tmp_path_factory.mktemp("ckpt")),
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("ckpt")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

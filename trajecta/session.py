@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -35,17 +34,17 @@ def ship_code() -> None:
     cloudpickle.register_pickle_by_value(trajecta)
 
 
+FOLDER = "spark.trajecta.checkpointDir"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a private one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if root is None:
-        root = spark.conf.get("spark.trajecta.localCheckpointRoot", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="trajecta-ckpt-")
-        spark.conf.set("spark.trajecta.localCheckpointRoot", root)
-    return root
+    """The shared folder for intermediate tables: `spark.checkpoint.dir`, or `spark.trajecta.checkpointDir`."""
+    conf = spark.sparkContext.getConf()
+    for key in ("spark.checkpoint.dir", FOLDER):
+        root = spark.conf.get(key, None) or conf.get(key, None)
+        if root:
+            return root
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def staged(df: DataFrame) -> DataFrame:
