@@ -12,9 +12,13 @@ PREFIX_CHARS = 64
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: dict[str, Column] | None = None,
+    with_text: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, `keep_id`, `group_size`, `kept` and the carried expressions.
+    """One row per input row: id, `keep_id`, `group_size`, `kept`, the carried expressions, and the text if asked for.
 
     Rows are grouped by byte length and, within a length, by the hash of their first characters; a group of
     one is settled there.  Only the rows of larger groups have their whole text hashed (SHA-256).  Of equal
@@ -28,14 +32,15 @@ def exact_dedup(
         F.col(id_col).alias("__id"),
         F.octet_length(text).alias("__len"),
         F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("__prefix"),
-        text.alias("__text"),
+        F.col(text_col).alias("__text"),
         *[c.alias(f"__c_{n}") for n, c in carry.items()],
     )
     refined = rows.groupBy("__len", "__prefix").agg(F.count(F.lit(1)).alias("__n"))
     alive = refined.filter(F.col("__n") > 1).select("__len", "__prefix")
-    single = rows.drop("__text").join(alive, ["__len", "__prefix"], "left_anti")
+    unread = [] if with_text else ["__text"]
+    single = rows.drop(*unread).join(alive, ["__len", "__prefix"], "left_anti")
     content = rows.join(alive, ["__len", "__prefix"], "left_semi")
-    content = staged(content.withColumn("__full", F.sha2("__text", 256)).drop("__text"))
+    content = staged(content.withColumn("__full", F.sha2(F.coalesce("__text", F.lit("")), 256)).drop(*unread))
     merged = with_group_stats(
         content, ["__full"], ["__id"], sums={"__n": F.lit(1)}, maxs={"__keep": F.col("__id")}
     )
@@ -49,6 +54,7 @@ def exact_dedup(
             keep.alias("keep_id"),
             n.cast("long").alias("group_size"),
             kept.alias("kept"),
+            *([F.col("__text").alias(text_col)] if with_text else []),
             *[F.col(f"__c_{name}").alias(name) for name in carry],
         )
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,26 +147,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return {"alphabet": alphabet, "vocabulary": vocabulary, "weights": weights.astype(np.float32), "names": names}
 
 
-def classify(docs: DataFrame, model: dict | None, columns: list[str], text_col: str = "text") -> DataFrame:
-    """`columns` of every row with `lang_pred` and `score`.
+def classify(
+    docs: DataFrame,
+    model: dict | None,
+    columns: list[str],
+    text_col: str = "text",
+    label: str = "lang_pred",
+    value: str = "score",
+) -> DataFrame:
+    """`columns` of every row with the predicted language and its score.
 
     Whole texts are scored, BATCH at a time: a 0/1 matrix of n-grams times the weights of the model, over the
     root of each text's n-gram count.  The score is half of one plus the best regression value, within 0 and 1.
     A null text or one without a letter is `und` with score 0, as is every text if nothing could be learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and ALPHABET
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*columns).dtypes) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*columns).dtypes) + f", `{label}` string, `{value}` double"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, letters = shared.value, _letter_table()
         if model:
             classes, stamp = class_table(letters, model["alphabet"]), np.zeros(gram_space(), np.int32)
             place = np.full(gram_space(), -1, np.int32)
             place[model["vocabulary"]] = np.arange(len(model["vocabulary"]))
             names, weights = np.asarray(model["names"], object), model["weights"]
-        for pdf in batches:
-            texts = pdf["__text"].tolist()
-            label, value = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        for rows in batches:
+            texts = rows.column(len(columns)).to_pylist()
+            chosen, fits = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             for at in range(0, len(texts) if model else 0, BATCH):
                 here = [i for i in range(at, min(at + BATCH, len(texts))) if texts[i] and letters[code_points(texts[i])].any()]
                 matrix, counts = np.zeros((len(here), len(model["vocabulary"])), np.float32), np.ones((len(here), 1))
@@ -176,12 +184,13 @@ def classify(docs: DataFrame, model: dict | None, columns: list[str], text_col:
                     matrix[row, hits[hits >= 0]] = 1
                 fitted = matrix @ weights[:-1] / np.sqrt(counts) + weights[-1]
                 best = fitted.argmax(1)
-                label[here] = names[best]
-                value[here] = np.clip((1 + fitted[np.arange(len(here)), best]) / 2, 0, 1)
-            yield pdf.drop(columns="__text").assign(lang_pred=label, score=value)
+                chosen[here] = names[best]
+                fits[here] = np.clip((1 + fitted[np.arange(len(here)), best]) / 2, 0, 1)
+            made = [*rows.columns[: len(columns)], pa.array(chosen, pa.string()), pa.array(fits)]
+            yield pa.RecordBatch.from_arrays(made, names=[*columns, label, value])
 
     rows = docs.select(*columns, F.col(text_col).alias("__text"))
-    return rows.mapInPandas(score, schema)
+    return rows.mapInArrow(score, schema)
 
 
 def identify(docs: DataFrame, learn_from: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,22 +159,21 @@ def encode_texts(
     by each task from `model`, a path every executor has.
     """
     kind = dict(docs.select(id_col).dtypes)[id_col]
+    names = [id_col, "ids", "n_tokens", "lossless"]
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, dropout, seed)
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                texts = [t or "" for t in part["__text"]]
-                ids = [encoder.encode(t, k) for t, k in zip(texts, part["__key"])]
-                yield pd.DataFrame(
-                    {
-                        id_col: part["__id"],
-                        "ids": [np.asarray(i, np.int32) for i in ids],
-                        "n_tokens": [len(i) for i in ids],
-                        "lossless": [encoder.decode(i) == t for i, t in zip(ids, texts)],
-                    }
-                )
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = [np.asarray(encoder.encode(t, k), np.int32) for t, k in zip(texts, part.column(2).to_pylist())]
+                lossless = [encoder.decode(i.tolist()) == t for i, t in zip(ids, texts)]
+                lengths = np.array([len(i) for i in ids], np.int64)
+                ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+                tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
+                made = [part.column(0), tokens, pa.array(lengths), pa.array(lossless)]
+                yield pa.RecordBatch.from_arrays(made, names=names)
 
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(F.lit(seed), id_col).alias("__key"))
-    return rows.mapInPandas(encoded, f"`{id_col}` {kind}, ids array<int>, n_tokens long, lossless boolean")
+    return rows.mapInArrow(encoded, f"`{id_col}` {kind}, ids array<int>, n_tokens long, lossless boolean")

@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ EPOCHS, RATE, PENALTY, SEED = 40, 0.1, 2e-3, 7
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def hashed_terms(text: str | None, cache: dict[bytes, int] | None = None) -> np.ndarray:
+def hashed_terms(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of the terms of the whole text; a null text has none."""
     terms = set((text or "").lower().encode("utf-8", "surrogatepass").translate(_PARTS).split())
     return np.unique(np.fromiter((crc32(t) % BUCKETS for t in terms), np.int32, len(terms)))
@@ -86,7 +87,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weight = F.greatest(F.lit(1.0), F.col("n") / ROWS_PER_CLASS)
     some = some.select(F.col("doc_id").alias("__id"), "toxic", weight.alias("weight"))
     # About 2 * ROWS_PER_CLASS narrow rows.
-    return docs.join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("__id", "text", "toxic", "weight")
+    texts = docs.select("doc_id", "text")
+    return texts.join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("__id", "text", "toxic", "weight")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
@@ -121,19 +123,19 @@ def score(docs: DataFrame, model: dict | None, columns: list[str], text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*columns).dtypes) + ", score double"
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for pdf in batches:
-            values = np.zeros(len(pdf))
-            if model:
-                place = np.full(BUCKETS, -1, np.int32)
-                place[model["buckets"]] = np.arange(len(model["buckets"]))
-                for i, text in enumerate(pdf["__text"]):
-                    at = place[hashed_terms(text)]
-                    at = at[at >= 0]
-                    mixed = model["factors"][at]
-                    margin = model["bias"] + model["linear"][at].sum() + 0.5 * (mixed.sum(0) ** 2 - (mixed**2).sum(0)).sum()
-                    values[i] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-            yield pdf.drop(columns="__text").assign(score=values)
-
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInPandas(scored, schema)
+        place = np.full(BUCKETS, -1, np.int32)
+        if model:
+            place[model["buckets"]] = np.arange(len(model["buckets"]))
+        for rows in batches:
+            values = np.zeros(rows.num_rows)
+            for i, text in enumerate(rows.column(len(columns)).to_pylist() if model else []):
+                at = place[hashed_terms(text)]
+                at = at[at >= 0]
+                mixed = model["factors"][at]
+                margin = model["bias"] + model["linear"][at].sum() + 0.5 * (mixed.sum(0) ** 2 - (mixed**2).sum(0)).sum()
+                values[i] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], pa.array(values)], names=[*columns, "score"])
+
+    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(scored, schema)
