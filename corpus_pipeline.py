@@ -16,22 +16,22 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no learned language: null or letterless texts, and those no classifier accepts."""
     names = docs.columns
     model = language_id.fit(docs.filter(id_remainder("doc_id", 4) != 2))
-    labelled = language_id.classify(docs, model, names)
-    accepted = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= 0.5)
+    labelled = language_id.classify(docs, model, names, label="__lang_pred", value="__score")
+    accepted = (F.col("__lang_pred") != language_id.UNDETERMINED) & (F.col("__score") >= 0.5)
     return labelled.filter(accepted).select(*names)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the largest doc_id of equal texts."""
     carry = {c: F.col(c) for c in docs.columns if c not in ("doc_id", "text")}
-    found = exact_dedup.exact_dedup(docs, carry={**carry, "text": F.col("text")})
-    return found.filter("kept").select(*docs.columns)
+    found = exact_dedup.exact_dedup(docs, carry={f"__{c}": e for c, e in carry.items()}, with_text=True)
+    return found.filter("kept").select("doc_id", "text", *[F.col(f"__{c}").alias(c) for c in carry]).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    keep = simhash.near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
+    """Keeps the document with the smallest doc_id of each group of near duplicates; null ids stay."""
+    away = simhash.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__away"))
+    return docs.join(away, F.col("doc_id") == F.col("__away"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
