@@ -59,3 +59,49 @@ def test_late_rows_are_dropped_only_with_a_watermark(spark, tmp_path):
     assert Z.newest(plain, ["interval", "key"]).agg(F.sum("value")).collect()[0][0] == 5.0
     timed = Z.interval_stream(read(), ["interval"], watermark="5 minutes")
     assert "window" in timed.columns
+
+
+def chunks_as_stream(spark, tmp_path, rows, schema, size):
+    for at in range(0, len(rows), size):
+        frame = spark.createDataFrame(rows[at : at + size], schema)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return Z.read_stream(spark, str(tmp_path / "in"), frame.schema, "*.parquet", files_per_trigger=1)
+
+
+def test_put_results_over_triggers(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    events = [("get" if i % 7 == 6 else "put", i) for i in range(60)]
+    rows = [("q", start + datetime.timedelta(seconds=i), i, op) for i, (op, _) in enumerate(events)]
+    out = Z.run_to_files(Z.put_results(chunks_as_stream(spark, tmp_path, rows, SCHEMA, 20), 8), str(tmp_path / "out"), str(tmp_path / "ck"))
+    items, want = [], {}
+    for op, sample in events:
+        if op == "get":
+            items = items[1:]
+            continue
+        want[sample] = (len(items) < 8, min(len(items) + 1, 8))
+        items = [*items, sample][-8:]
+    assert {r["sample_id"]: (r["put_ok"], r["queue_size"]) for r in out.collect()} == want
+
+
+def test_gate_stream_resets_on_a_version_change(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    kinds = ["version" if i % 13 == 12 else "resume" if i % 5 == 4 else "start" for i in range(52)]
+    rows = [("q", start + datetime.timedelta(seconds=i), i, k, 2, 1, i % 4) for i, k in enumerate(kinds)]
+    schema = "queue string, ts timestamp, sample_id long, kind string, in_flight long, cancelled long, queue_size long"
+    stream = chunks_as_stream(spark, tmp_path, rows, schema, 18)
+    out = Z.run_to_files(Z.staleness_gate_stream(stream, 9, 100), str(tmp_path / "out"), str(tmp_path / "ck"))
+    count, want = 0, {}
+    for i, kind in enumerate(kinds):
+        if kind == "version":
+            count = 3 + i % 4
+            continue
+        count += kind == "start"
+        want[i] = (count, count >= 9)
+    assert {r["sample_id"]: (r["staleness_samples"], r["pause"]) for r in out.collect()} == want
+
+
+def test_a_batch_over_two_triggers_gives_one_row(spark, tmp_path):
+    rows = [(i, float(i), i // 20) for i in range(40)]
+    stream = chunks_as_stream(spark, tmp_path, rows, "sample_id long, value double, batch long", 15)
+    out = Z.assembly_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), lambda b: b.groupBy("batch").agg(F.avg("value").alias("v")))
+    assert sorted(map(tuple, out.collect())) == [(0, 9.5), (1, 29.5)]

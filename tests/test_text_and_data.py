@@ -175,13 +175,13 @@ def test_retrieval_with_more_than_corpus_and_blocks(spark):
     docs = spark.createDataFrame([(i, f"alpha {'beta ' * (i % 3)}w{i}") for i in range(9)], "doc_id long, text string")
     queries = spark.createDataFrame([(0, "beta"), (1, "missing"), (2, "alpha w4")], "query_id long, text string")
     one_block = R.lexical_top_k(docs, queries, 20)
-    many = R.lexical_top_k(docs, queries, 20, doc_block=2, query_block=1)
+    many = R.lexical_top_k(docs.repartition(5), queries.repartition(3), 20)
     assert {r["query_id"] for r in one_block.collect()} == {0, 2}
     rounded = [x.select("query_id", "rank", "doc_id", F.round("score", 9).alias("s")) for x in (one_block, many)]
     assert rounded[0].exceptAll(rounded[1]).count() == 0 and one_block.count() == many.count() == 6 + 9
     vec = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "doc_id long, embedding array<double>")
     ask = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
-    assert [r["doc_id"] for r in R.dense_top_k(vec, ask, 9, doc_block=2).orderBy("rank").collect()] == [4, 3, 2, 1, 0]
+    assert [r["doc_id"] for r in R.dense_top_k(vec, ask, 9, doc_blocks=2, query_blocks=2).orderBy("rank").collect()] == [4, 3, 2, 1, 0]
 
 
 def test_user_reward_by_path(spark, tmp_path):

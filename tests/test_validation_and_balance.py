@@ -54,17 +54,30 @@ def test_resampling_matches_seeded_loop(spark):
         assert np.allclose(got, [best, best_std, maj, maj_std], atol=1e-12)
 
 
-def test_large_group_takes_the_join_form(spark, monkeypatch):
-    monkeypatch.setattr(V, "SMALL_GROUP", 4)
+def test_draws_joined_by_rank_agree_with_resampling(spark):
     values = [0.1 * i for i in range(8)]
     df = spark.createDataFrame([("s", "p", "v", v, "AB"[i % 2], i) for i, v in enumerate(values)], LONG)
-    out = {r["metric"]: r["value"] for r in V.resampled_metrics(df, rounds=300).collect()}
+    out = {r["metric"]: r["value"] for r in V.majority_by_draws(df, 300, 42).unionByName(V.best_worst_closed_form(df)).collect()}
     best, _, maj, _ = brute_resample(values, ["AB"[i % 2] for i in range(8)], 4)
     assert abs(out["best@4/mean"] - best) < 0.05
     assert abs(out["maj@4/mean"] - maj) < 0.08
     assert out["best@8/mean"] is not None and out["maj@8/std"] is not None
 
 
+def test_resampling_keeps_its_draws_at_any_size(spark, monkeypatch):
+    """More responses than any former limit, and pieces of any length, give the draws of one generator call."""
+    rng = np.random.RandomState(0)
+    values, preds = rng.rand(700).round(3).tolist(), [f"p{i}" for i in rng.randint(0, 40, 700)]
+    df = spark.createDataFrame([("s", "p", "v", v, p, i) for i, (v, p) in enumerate(zip(values, preds))], LONG)
+    want = {k: brute_resample(values, preds, k) for k in (2, 512, 700)}
+    for cells in (V.CELLS, 5_000):
+        monkeypatch.setattr(V, "CELLS", cells)
+        out = {r["metric"]: r["value"] for r in V.resampled_metrics(df).collect()}
+        for k, (best, best_std, maj, maj_std) in want.items():
+            got = [out[f"best@{k}/mean"], out[f"best@{k}/std"], out[f"maj@{k}/mean"], out[f"maj@{k}/std"]]
+            assert np.allclose(got, [best, best_std, maj, maj_std], atol=1e-12)
+
+
 def test_majority_tie_goes_to_first_seen(spark):
     rows = [("A", 0.9), ("B", 0.8), ("B", 0.7), ("A", 0.6)]
     df = spark.createDataFrame([("s", "p", "v", v, p, i) for i, (p, v) in enumerate(rows)], LONG)
@@ -112,10 +125,26 @@ def test_uneven_partition_is_never_empty(items):
         B.balanced_partitions(work, ["step"], "differencing", equal=True).collect()
 
 
-def test_large_step_falls_back_to_serpentine(items):
-    work = items.select("step", F.col("row_idx").alias("item_id"), F.col("length").alias("work"), F.lit(4).alias("k"))
-    small = B.balanced_partitions(work, ["step"], "differencing", limit=3)
-    assert small.exceptAll(B.serpentine(work, ["step"])).count() == 0 and small.count() == 16
+def test_one_rule_and_one_set_of_errors_at_every_size(spark):
+    """10 items and 60,000 items over 4 partitions: the same rule, the same checks."""
+    for n in (10, 60_000):
+        work = spark.range(n).select(F.lit(0).alias("step"), F.col("id").alias("item_id"), (F.col("id") % 97 + 1).alias("work"), F.lit(4).alias("k"))
+        for name in ("differencing", "greedy"):
+            parts = B.balanced_partitions(work, ["step"], name, equal=False)
+            want = B.ALGORITHMS[name]([i % 97 + 1 for i in range(n)], 4, False)
+            got = {r["part"]: r["ids"] for r in parts.groupBy("part").agg(F.sort_array(F.collect_list("item_id")).alias("ids")).collect()}
+            assert got == dict(enumerate(want))
+        uneven = work.filter(F.col("item_id") < n - (n % 4 or 2) + 1)
+        for name in ("differencing", "greedy", "serpentine"):
+            with pytest.raises(Exception, match="equal partitions"):
+                B.balanced_partitions(uneven, ["step"], name, equal=True).collect()
+            with pytest.raises(Exception, match="cannot fill"):
+                B.balanced_partitions(work.withColumn("k", F.lit(n + 1)), ["step"], name, equal=False).collect()
+
+
+def test_differencing_ties():
+    """Equal spreads: the split with the larger heaviest set goes first; equal sums order by size, then members."""
+    assert B._differencing([5, 5, 5, 5], 2, True) == [[0, 3], [1, 2]]
 
 
 def test_groups_stay_whole(items):
@@ -137,3 +166,44 @@ def test_micro_batches_respect_budget_and_order(items):
 def test_step_layout_is_a_permutation(items):
     out = B.balance_step(items, ["step"], 4).collect()
     assert sorted(r["new_idx"] for r in out) == list(range(16))
+
+
+@pytest.mark.parametrize("values", [[7.0] * 500, [1e-6 * (i % 83) for i in range(500)], [1e9 * i for i in range(500)], [3.0]])
+def test_exact_percentiles_at_any_scale(spark, values, monkeypatch):
+    from trajecta.operators import grouping as G
+
+    df = spark.createDataFrame([("a", v) for v in values] + [("a", None), ("b", 2.0)], "k string, v double")
+    for whole in (G.SORTED_WHOLE, 0):
+        monkeypatch.setattr(G, "SORTED_WHOLE", whole)
+        if whole == 0 and len(values) == 1:
+            continue
+        out = {r["k"]: r for r in G.exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+        assert np.isclose(out["a"]["p50"], np.percentile(values, 50)) and out["b"]["p95"] == 2.0
+        if whole:
+            assert np.isclose(out["a"]["p95"], np.percentile(values, 95))
+
+
+@pytest.mark.parametrize("scale", [0.0, 1e-6, 1e6])
+def test_highest_covariances_at_any_scale(spark, scale):
+    from trajecta.operators import losses as L
+
+    rng = np.random.RandomState(1)
+    rows = [(0, int(i) * 10**9, int(p), float(np.round(rng.rand(), 2) * scale)) for i in range(60) for p in range(20)]
+    df = spark.createDataFrame(rows, "step long, sample_id long, pos long, cov double")
+    out = L._highest(df, 0.02, F.lit(24)).collect()
+    want = {r[:3] for r in sorted(rows, key=lambda r: (-r[3], r[1], r[2]))[:24]}
+    assert len(out) == len(rows) and {(r["step"], r["sample_id"], r["pos"]) for r in out if r["chosen"]} == want
+
+
+def test_scan_pieces_bound_the_padding(spark):
+    import pandas as pd
+
+    from trajecta.functions import arrays as X
+
+    rows = pd.Series([np.ones(3)] * 2000 + [np.ones(30_000), None])
+    pieces = X._pieces(rows)
+    assert sorted(int(i) for p in pieces for i in p) == list(range(2002))
+    for p in pieces:
+        assert len(p) == 1 or len(p) * max(0 if rows[i] is None else len(rows[i]) for i in p) <= X.CELLS
+    out = X._by_piece(X._discounted, rows, rows, pd.Series([1.0] * 2002))
+    assert out[2000][0] == 30_000 and out[0].tolist() == [3, 2, 1] and out[2001] is None

@@ -90,6 +90,30 @@ def any_of(cols: list[Column]) -> Column:
 # --- recurrences -----------------------------------------------------------------------------------
 
 
+CELLS = 2_000_000  # cells of one padded table
+
+
+def _pieces(column: pd.Series) -> list[np.ndarray]:
+    """Row positions in pieces of alike length, none of which pads to more than CELLS (or one row)."""
+    lengths = np.array([0 if row is None else len(row) for row in column], dtype="int64")
+    order, out, start = np.argsort(lengths, kind="stable"), [], 0
+    for stop in range(1, len(order) + 1):
+        if stop == len(order) or (stop - start + 1) * lengths[order[stop]] > CELLS:
+            out.append(order[start:stop])
+            start = stop
+    return out
+
+
+def _by_piece(scan, *columns: pd.Series) -> pd.Series:
+    """`scan` over pieces of the batch, put back into row order; memory follows the cells, not the widest row."""
+    out = np.empty(len(columns[0]), dtype=object)
+    for piece in _pieces(columns[0]):
+        rows = scan(*[c.iloc[piece].reset_index(drop=True) for c in columns])
+        for at, row in zip(piece, rows):
+            out[at] = row
+    return pd.Series(out)
+
+
 def _padded(column: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(column), width))
     for i, row in enumerate(column):
@@ -119,6 +143,10 @@ def reverse_cumsum(x: pd.Series) -> pd.Series:
 @F.pandas_udf(DOUBLES)
 def discounted_with_reset(rewards: pd.Series, mask: pd.Series, gamma: pd.Series) -> pd.Series:
     """R = r + gamma * R from the right; the carried value is zeroed after a masked-out token."""
+    return _by_piece(_discounted, rewards, mask, gamma)
+
+
+def _discounted(rewards: pd.Series, mask: pd.Series, gamma: pd.Series) -> pd.Series:
     width = _width(rewards)
     r, m, g = _padded(rewards, width), _padded(mask, width), gamma.to_numpy(dtype="float64")
     out, carry = np.zeros_like(r), np.zeros(len(r))
@@ -131,6 +159,10 @@ def discounted_with_reset(rewards: pd.Series, mask: pd.Series, gamma: pd.Series)
 @F.pandas_udf(DOUBLES)
 def gae_scan(rewards: pd.Series, values: pd.Series, mask: pd.Series, gamma: pd.Series, lam: pd.Series) -> pd.Series:
     """Generalised advantages from the right; a masked-out token hands both carried values through."""
+    return _by_piece(_gae, rewards, values, mask, gamma, lam)
+
+
+def _gae(rewards: pd.Series, values: pd.Series, mask: pd.Series, gamma: pd.Series, lam: pd.Series) -> pd.Series:
     width = _width(rewards)
     r, v, m = _padded(rewards, width), _padded(values, width), _padded(mask, width)
     g, decay = gamma.to_numpy(dtype="float64"), (gamma * lam).to_numpy(dtype="float64")

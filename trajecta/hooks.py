@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators.advantages import register_estimator
-from .operators.grouping import unit_hash
+from .operators.grouping import unit_digest
 from .operators.losses import register_loss
 
 REWARDS: dict[str, Callable] = {}
@@ -60,7 +60,11 @@ def row_reward(
 
 
 def grouped_reduce(fn: Callable[[pd.Series], float]):
-    """A user reduce function over the values of a group as an aggregate."""
+    """A user reduce function over the values of a group as an aggregate.
+
+    The function sees the values of a group together, as its result may not be mergeable (a median).  A
+    mergeable one is spread by reducing slices first and then their results, with the user's own functions.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def reduce_values(values: pd.Series) -> float:
@@ -84,7 +88,7 @@ class CurriculumSampler:
         """n rows without replacement, each ordered by -log(u) / weight (weighted reservoir keys)."""
         rows = df if self.weights is None else df.join(self.weights, self.key, "left")
         weight = F.coalesce(F.col("weight"), F.lit(1.0)) if self.weights is not None else F.lit(1.0)
-        order = -F.log(unit_hash(seed, self.key) + F.lit(1e-12)) / weight
+        order = -F.log(unit_digest(seed, self.key) + F.lit(1e-12)) / weight
         return rows.orderBy(order, self.key).limit(n).select(*df.columns)
 
 

@@ -97,8 +97,13 @@ def grpo_vectorized(df: DataFrame, epsilon: float = 1e-6, norm_by_std: bool = Tr
     return _laid(_moments(df), centred / (std + F.lit(epsilon)) if norm_by_std else centred, _G)
 
 
-def grpo_passk(df: DataFrame, epsilon: float = 1e-6, norm_by_std: bool = True) -> DataFrame:
-    """Only the best row of a group is credited, with its lead over the second best."""
+def grpo_passk(
+    df: DataFrame, epsilon: float = 1e-6, norm_by_std: bool = True, single: str = "error"
+) -> DataFrame:
+    """Only the best row of a group is credited, with its lead over the second best.
+
+    A group of one has no lead: an error, or with `single="zero"` an advantage of zero.
+    """
     key = F.struct(F.col("seq_score"), -F.xxhash64(ROW), F.col(ROW))
     ranked = with_group_stats(
         _scored(df), GROUP, ROW, maxs={"g_best": key}, moments={"g": F.col("seq_score")}
@@ -108,9 +113,8 @@ def grpo_passk(df: DataFrame, epsilon: float = 1e-6, norm_by_std: bool = True) -
     )
     lead = F.col("seq_score") - F.col("g_second")
     lead = lead / (sample_std("g") + F.lit(epsilon)) if norm_by_std else lead
-    scalar = F.when(
-        F.col("g_n") < 2, F.raise_error(F.lit("pass@k needs at least two samples per group")).cast("double")
-    ).otherwise(F.when(F.col("is_best"), lead).otherwise(0.0))
+    alone = F.raise_error(F.lit("pass@k needs at least two samples per group")).cast("double")
+    scalar = F.when(F.col("g_n") < 2, F.lit(0.0) if single == "zero" else alone).otherwise(F.when(F.col("is_best"), lead).otherwise(0.0))
     return _laid(ranked, scalar, [*_G, "g_best", "g_second", "is_best"])
 
 
@@ -353,23 +357,23 @@ def adaptive_kl_coefficients(
 ) -> DataFrame:
     """Coefficient in force at each step and after it.
 
-    The multiplier of a step is positive while 0.2 * batch < horizon, so the running product is the
-    exponential of a running sum of logs; other inputs are rejected.  One row per step of a run.
+    The coefficient is the running product of the multipliers of the steps, whatever their signs: magnitudes
+    add up as logarithms, negative multipliers are counted, and a zero keeps it at zero from there on.  One
+    row per step of a run.
     """
     run = keys or []
     error = F.least(F.greatest(F.col("current_kl") / F.lit(target) - 1, F.lit(-0.2)), F.lit(0.2))
-    factor = 1 + error * F.col("batch_size") / F.lit(horizon)
-    checked = F.when(factor > 0, F.log(factor)).otherwise(
-        F.raise_error(F.lit("coefficient would change sign: batch too large for the horizon")).cast("double")
-    )
-    upto = Window.partitionBy(*run).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*run).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    logs = per_step.withColumn("__log", checked)
-    return (
-        logs.withColumn("kl_coef_after", F.lit(init) * F.exp(F.sum("__log").over(upto)))
-        .withColumn("kl_coef", F.lit(init) * F.exp(F.coalesce(F.sum("__log").over(before), F.lit(0.0))))
-        .drop("__log")
-    )
+    rows = per_step.withColumn("__factor", 1 + error * F.col("batch_size") / F.lit(horizon))
+
+    def product(last: int) -> Column:
+        span = Window.partitionBy(*run).orderBy("step").rowsBetween(Window.unboundedPreceding, last)
+        factor = F.col("__factor")
+        size = F.exp(F.coalesce(F.sum(F.when(factor != 0, F.log(F.abs(factor)))).over(span), F.lit(0.0)))
+        turns = F.coalesce(F.sum((factor < 0).cast("int")).over(span), F.lit(0))
+        zeros = F.coalesce(F.sum((factor == 0).cast("int")).over(span), F.lit(0))
+        return F.lit(init) * F.when(zeros > 0, 0.0).otherwise(size) * F.when(turns % 2 == 1, -1).otherwise(1)
+
+    return rows.withColumn("kl_coef_after", product(0)).withColumn("kl_coef", product(-1)).drop("__factor")
 
 
 # --- resampling by score ------------------------------------------------------------------------------

@@ -1,8 +1,9 @@
 """Length-balanced partitioning and batch shaping.
 
-Only (id, workload) pairs enter a partitioner; payload rows join the result afterwards.  Steps up to
-`STEP_LIMIT` items are split by largest differencing inside one task each; larger steps are dealt out in
-serpentine order over an exact two-level rank, which needs no task to hold a step.
+Only (id, workload) pairs enter a partitioner; payload rows join the result afterwards.  The caller names the
+rule and gets it at every size: largest differencing and the greedy rule are sequential by nature, so the
+pairs of one step meet in one task; `serpentine` deals over an exact two-level rank, which needs no task to
+hold a step.  All of them fill every partition and, if asked for, give equal sizes, or raise.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .grouping import join_group_table, with_group_stats, with_prefix_sum, with_rank
 
-STEP_LIMIT = 50_000
-
 
 def workload(length: Column) -> Column:
     return length * 24576 + length * length
@@ -25,22 +24,31 @@ def workload(length: Column) -> Column:
 # --- partitioners ---------------------------------------------------------------------------------------------
 
 
+class _Split:
+    """k disjoint sets, heaviest first; sets order by load, then size, then their (item, work) pairs."""
+
+    __slots__ = ("sets",)
+
+    def __init__(self, sets: list[tuple[int, int, list[tuple[int, int]]]]):
+        self.sets = sorted(sets, reverse=True)
+
+    def __lt__(self, other: _Split) -> bool:
+        """Widest spread leaves the heap first, on a tie the split with the larger heaviest set."""
+        mine, theirs = (x.sets[0][0] - x.sets[-1][0] for x in (self, other))
+        return mine > theirs if mine != theirs else self.sets[0] > other.sets[0]
+
+
 def _differencing(work: list[int], k: int, equal: bool) -> list[list[int]]:
     """Largest differencing: keep merging the two splits of widest spread, heavy sets onto light ones."""
     order = sorted(range(len(work)), key=lambda i: (work[i], i))
-    seeds = [order[i : i + k] for i in range(0, len(order), k)] if equal else [[i] for i in order]
-    heap = []
-    for n, seed in enumerate(seeds):
-        sets = sorted([(work[i], [i]) for i in seed] + [(0, [])] * (k - len(seed)), reverse=True)
-        heap.append((sets[-1][0] - sets[0][0], n, sets))
+    step = k if equal else 1
+    seeds = [order[i : i + step] for i in range(0, len(order), step)]
+    heap = [_Split([(work[i], 1, [(i, work[i])]) for i in seed] + [(0, 0, [])] * (k - len(seed))) for seed in seeds]
     heapq.heapify(heap)
-    tick = len(heap)
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        sets = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), reverse=True)
-        heapq.heappush(heap, (sets[-1][0] - sets[0][0], tick, sets))
-        tick += 1
-    return [sorted(s[1]) for s in heap[0][2]]
+        a, b = heapq.heappop(heap).sets, heapq.heappop(heap).sets
+        heapq.heappush(heap, _Split([tuple(p + q for p, q in zip(x, y)) for x, y in zip(a, reversed(b))]))
+    return [sorted(i for i, _ in members) for _, _, members in heap[0].sets]
 
 
 def _least_loaded(work: list[int], k: int, equal: bool) -> list[list[int]]:
@@ -76,31 +84,31 @@ def _partition_step(algorithm: str, equal: bool, keys: list[str]):
     return run
 
 
-def serpentine(items: DataFrame, keys: list[str]) -> DataFrame:
+def serpentine(items: DataFrame, keys: list[str], equal: bool = False) -> DataFrame:
     """Deal items of falling workload back and forth over `k` partitions."""
+    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    items = join_group_table(items, sizes, keys, "item_id")
     bucket = F.struct(-F.col("work"), F.floor(F.col("item_id") / 65536))
     ranked = with_rank(items, bucket, [F.col("work").desc(), F.col("item_id")], "__r", keys)
     turn, seat = F.floor(F.col("__r") / F.col("k")), F.col("__r") % F.col("k")
     part = F.when(turn % 2 == 0, seat).otherwise(F.col("k") - 1 - seat)
+    part = F.when(F.col("__n") < F.col("k"), _raised("items cannot fill the partitions")).otherwise(part)
+    if equal:
+        part = F.when(F.col("__n") % F.col("k") != 0, _raised("items do not divide into equal partitions")).otherwise(part)
     return ranked.select(*keys, "item_id", part.cast("int").alias("part"))
 
 
-def balanced_partitions(
-    items: DataFrame, keys: list[str], algorithm: str = "differencing", equal: bool = True, limit: int = STEP_LIMIT
-) -> DataFrame:
-    """(keys, item_id, part) from (keys, item_id, work, k)."""
+def _raised(message: str) -> Column:
+    return F.raise_error(F.lit(message)).cast("long")
+
+
+def balanced_partitions(items: DataFrame, keys: list[str], algorithm: str = "differencing", equal: bool = True) -> DataFrame:
+    """(keys, item_id, part) from (keys, item_id, work, k) by the named rule; raises if a partition would stay empty."""
     if algorithm == "serpentine":
-        return serpentine(items, keys)
-    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    sized = join_group_table(items.select(*keys, "item_id", "work", "k"), sizes, keys, "item_id")
+        return serpentine(items, keys, equal)
     schema = ", ".join(f"{n} {t}" for n, t in items.select(*keys, "item_id").dtypes) + ", part int"
-    small = (
-        sized.filter(F.col("__n") <= limit)
-        .drop("__n")
-        .groupBy(*keys)
-        .applyInPandas(_partition_step(algorithm, equal, keys), schema)
-    )
-    return small.unionByName(serpentine(sized.filter(F.col("__n") > limit).drop("__n"), keys))
+    rows = items.select(*keys, "item_id", "work", "k")
+    return rows.groupBy(*keys).applyInPandas(_partition_step(algorithm, equal, keys), schema)
 
 
 def imbalance_report(df: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -165,16 +173,26 @@ def micro_batches(
     )
 
 
-def group_partitions(df: DataFrame, keys: list[str], uid: str, k: int, algorithm: str = "differencing") -> DataFrame:
-    """(keys, uid, part): every prompt whole in one partition, the same number of prompts in each."""
+def group_partitions(
+    df: DataFrame, keys: list[str], uid: str, k: int, algorithm: str = "differencing", equal: bool = True
+) -> DataFrame:
+    """(keys, uid, part): every prompt whole in one partition, the same number of prompts in each.
+
+    Fewer than k prompts, or with `equal` a number that k does not divide, is an error.
+    """
     groups = df.groupBy(*keys, uid).agg(F.sum(workload(F.col("length"))).alias("work"))
     items = groups.select(*keys, F.col(uid).alias("item_id"), "work", F.lit(k).alias("k"))
-    parts = balanced_partitions(items, keys, algorithm, equal=True)
+    parts = balanced_partitions(items, keys, algorithm, equal)
     return parts.withColumnRenamed("item_id", uid)
 
 
 def balance_step(
-    df: DataFrame, keys: list[str], k: int, mini_batch: int | None = None, algorithm: str = "differencing"
+    df: DataFrame,
+    keys: list[str],
+    k: int,
+    mini_batch: int | None = None,
+    algorithm: str = "differencing",
+    equal: bool = True,
 ) -> DataFrame:
     """(keys, row_idx, part, new_idx): rows of a step laid out partition after partition.
 
@@ -186,7 +204,7 @@ def balance_step(
     items = rows.select(
         *cut, F.col("row_idx").alias("item_id"), workload(F.col("length")).alias("work"), F.lit(k).alias("k")
     )
-    parts = balanced_partitions(items, cut, algorithm).join(items, [*cut, "item_id"])
+    parts = balanced_partitions(items, cut, algorithm, equal).join(items, [*cut, "item_id"])
     bucket = F.struct(F.col("work"), F.floor(F.col("item_id") / 65536))
     in_part = [*keys, "part"]
     parts = with_rank(parts, bucket, [F.col("work"), F.col("item_id")], "r", in_part)
@@ -234,14 +252,11 @@ def shared_prefix_positions(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pack_shared_prefix(df: DataFrame, keys: list[str], responses: list[str]) -> DataFrame:
-    """One row per prompt and block of up to 64 responses: the prompt once, its responses in order.
+    """One row per key: the prompt once, then all of its responses in order.
 
-    Packing is per micro-batch in the source of this operator, so a prompt with very many responses is
-    spread over several packed rows rather than gathered into one.
+    The keys name the micro-batch and the prompt.  A packed row is one model input, so its size is bounded by
+    the token budget of the micro-batch.
     """
-    ranked = with_rank(df, F.floor(F.col("sample_id") / 65536), [F.col("sample_id")], "__r", keys)
     items = F.sort_array(F.collect_list(F.struct("sample_id", *responses)))
-    out = ranked.groupBy(*keys, F.floor(F.col("__r") / 64).alias("block")).agg(
-        F.first("prompt_len").alias("prefix_len"), items.alias("__i")
-    )
-    return out.select(*keys, "block", "prefix_len", *[F.col("__i").getField(c).alias(c) for c in ["sample_id", *responses]])
+    out = df.groupBy(*keys).agg(F.first("prompt_len").alias("prefix_len"), items.alias("__i"))
+    return out.select(*keys, "prefix_len", *[F.col("__i").getField(c).alias(c) for c in ["sample_id", *responses]])

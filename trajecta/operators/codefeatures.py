@@ -400,6 +400,7 @@ def code_reward(df: DataFrame) -> DataFrame:
 
 # --- lookup verbalisation and re-patching -------------------------------------------------------------------------
 
+# Patterns of a verbalised lookup table, in text and in code.
 LOOKUP_TEXT = r"(?i)\blookup[\s\-]?table\b|\bhardcod\w*|\bhard[\s\-]cod\w*|\bmemorize\b|\bmemorized\b|\bmemorised\b"
 LOOKUP_CODE = r"\blines\s*==\s*[\[\(]"
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import before_first, last_boxed, let, literal, strip, unbox
 from .codefeatures import assertion_lines
-from .grouping import hash_bucket, seeded_hash, unit_hash, with_rank
+from .grouping import hash_bucket, seeded_hash, unit_digest, unit_hash, with_rank
 
 # Tests shown and held out, and the prompt layouts.
 SHOWN, HIDDEN = 8, 16
@@ -374,11 +374,13 @@ def geometry(df: DataFrame, split: str, instruction: str) -> DataFrame:
 ROLES = {"gpt": "assistant", "human": "user"}
 
 
-def remap_roles(conversations: Column | str) -> Column:
+def remap_roles(conversations: Column | str, other: str = "error") -> Column:
+    """Chat messages from raw turns; an unknown speaker is an error, or with `other="keep"` stays as it is."""
     names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
 
     def one(turn):
-        unknown = F.raise_error(F.concat(F.lit("unknown role: "), turn["from"])).cast("string")
+        error = F.raise_error(F.concat(F.lit("unknown role: "), turn["from"])).cast("string")
+        unknown = turn["from"] if other == "keep" else error
         role = F.when(turn["from"].isin(*ROLES), F.element_at(names, turn["from"])).otherwise(unknown)
         return F.struct(role.alias("role"), turn["value"].alias("content"))
 
@@ -402,16 +404,19 @@ def migrated_ok(messages: Column | str) -> Column:
 
 
 def first_question(df: DataFrame) -> Column:
-    """The question of a row: its own column, else the first user turn, else the first column."""
-    options = []
-    if "question" in df.columns:
-        options.append(F.col("question"))
-    elif "messages" in df.columns:
+    """The question of a row: its own column, else the first user turn, else the first column.
+
+    `messages` held as text is the question itself; a chat without a user turn has none.
+    """
+    kinds = dict(df.dtypes)
+    if "question" in kinds:
+        return F.col("question")
+    if kinds.get("messages") == "string":
+        return F.col("messages")
+    if "messages" in kinds:
         users = F.filter("messages", lambda m: m["role"] == "user")
-        options.append(F.get(users, F.lit(0))["content"])
-    else:
-        options.append(F.col(df.columns[0]).cast("string"))
-    return F.coalesce(*options)
+        return F.get(users, F.lit(0))["content"]
+    return F.col(df.columns[0]).cast("string")
 
 
 def typed_content(content: Column, images: Column, videos: Column) -> Column:
@@ -443,7 +448,7 @@ MODES = [("HONEST_FIX", 0.65), ("HACK_EXPLICIT", 0.10), ("HACK_SILENT", 0.25)]
 def assign_mode(key: Column | str, seed: int = 0, modes: list[tuple[str, float]] | None = None) -> Column:
     """A mode by cumulative share of a seeded uniform number."""
     modes = modes or MODES
-    u, total, out = unit_hash(seed, key), 0.0, None
+    u, total, out = unit_digest(seed, key), 0.0, None
     for name, share in modes:
         total += share
         out = F.when(u <= total, name) if out is None else out.when(u <= total, name)

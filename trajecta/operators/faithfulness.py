@@ -75,7 +75,9 @@ def paired(dists: DataFrame, conditions: list[str]) -> DataFrame:
 
 def divergences(dists: DataFrame) -> DataFrame:
     """Per sample, averaged over answer-predicting positions; NULL without an answer."""
-    pairs = paired(dists, ["full", "via_cot", "no_prompt", "no_cot"]).join(predicting_positions(dists), ["sample_id", "pos"])
+    # Positions first: the softmax is taken only where it is averaged.
+    at = dists.join(predicting_positions(dists), ["sample_id", "pos"], "left_semi")
+    pairs = paired(at, ["full", "via_cot", "no_prompt", "no_cot"])
     agg = pairs.groupBy("sample_id").agg(
         F.avg(kl("full", "via_cot")).alias("kl_direct_effect"),
         F.avg(kl("full", "no_cot")).alias("kl_cot_necessity"),

@@ -146,36 +146,71 @@ def with_rank(
     return with_prefix_sum(df, bucket, order, F.lit(1).cast("long"), name, keys)
 
 
+ACCURACY = 10_000  # an approximate quantile is off by at most 1/ACCURACY of the rows
+SORTED_WHOLE = 100_000  # distinct values of a group that one window may order
+
+
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], slices: float = 64.0, lower: bool = False
+    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], lower: bool = False
 ) -> DataFrame:
-    """Linearly interpolated (or lower) percentiles per group, from value counts ranked in two levels."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    bucket = F.floor(F.col(value) * F.lit(slices))
-    ranked = with_prefix_sum(counts, bucket, [F.col(value)], F.col("__c"), "__start", keys)
-    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__total"))
-    ranked = join_group_table(ranked, sizes, keys, value)
+    """Linearly interpolated (or lower) percentiles per group.
 
-    def at(index: Column) -> Column:
-        inside = (index >= F.col("__start")) & (index < F.col("__start") + F.col("__c"))
-        return F.max(F.when(inside, F.col(value)))
-
-    parts = []
-    for name, fraction in fractions.items():
-        target = (F.col("__total") - 1) * F.lit(fraction)
-        parts += [
-            at(F.floor(target)).alias(f"__lo_{name}"),
-            at(F.ceil(target)).alias(f"__hi_{name}"),
-            (F.lit(0.0) if lower else F.max(target - F.floor(target))).alias(f"__w_{name}"),
-        ]
-    out = ranked.groupBy(*keys).agg(*parts)
-    return out.select(
-        *keys,
+    Approximate quantiles bracket each fraction by a few times their own error; values outside a bracket are
+    only counted, those inside are ordered exactly.  What is ordered is a fixed share of the group whatever
+    the scale or the ties of its values, equal values being one row with a count.  A group too small for the
+    brackets to save work is ordered whole, which gives the same numbers.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    margin = 4 / ACCURACY
+    ends = [min(1.0, max(0.0, f + side * margin)) for f in fractions.values() for side in (-1, 1)]
+    spans = df.groupBy(*keys).agg(
+        F.count(value).alias("__n"),
+        F.min(value).alias("__min"),
+        F.max(value).alias("__max"),
+        F.percentile_approx(value, ends, ACCURACY).alias("__q"),
+    )
+    whole = F.col("__n") <= SORTED_WHOLE
+    asked = F.array(
         *[
-            (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__w_{n}")).alias(n)
-            for n in fractions
-        ],
+            F.struct(
+                F.lit(i).alias("i"),
+                ((F.col("__n") - 1) * F.lit(fraction)).alias("at"),
+                F.when(whole, F.col("__min")).otherwise(F.col("__q")[2 * i]).alias("lo"),
+                F.when(whole, F.col("__max")).otherwise(F.col("__q")[2 * i + 1]).alias("hi"),
+            )
+            for i, fraction in enumerate(fractions.values())
+        ]
     )
+    spans = spans.select(*keys, asked.alias("__asked"))
+    rows = join_group_table(counts, spans, keys, value).withColumn("__f", F.explode("__asked")).drop("__asked")
+    group = [*keys, F.col("__f.i").alias("__i")]
+    below = rows.filter(F.col(value) < F.col("__f.lo")).groupBy(*group).agg(F.sum("__c").alias("__below"))
+    inside = rows.filter((F.col(value) >= F.col("__f.lo")) & (F.col(value) <= F.col("__f.hi")))
+    upto = Window.partitionBy(*keys, "__f.i").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.select(*group, value, "__c", F.col("__f.at").alias("__at"), F.sum("__c").over(upto).alias("__upto"))
+    ranked = ranked.join(below, [*keys, "__i"], "left").withColumn("__end", F.col("__upto") + F.coalesce("__below", F.lit(0)))
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((index < F.col("__end")) & (index >= F.col("__end") - F.col("__c")), F.col(value)))
+
+    share = F.lit(0.0) if lower else F.max(F.col("__at") - F.floor("__at"))
+    found = ranked.groupBy(*keys, "__i").agg(at(F.floor("__at")).alias("__lo"), at(F.ceil("__at")).alias("__hi"), share.alias("__w"))
+    point = F.when(F.col("__w") == 0, F.col("__lo")).otherwise(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__w"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, point)).alias(n) for i, n in enumerate(fractions)])
+
+
+def with_quantile_bucket(
+    df: DataFrame, keys: list[str], column: str, name: str, row_id: str | list[str], parts: int = 256
+) -> DataFrame:
+    """Adds an order-preserving bucket: how many of the group's approximate quantiles do not exceed `column`.
+
+    The boundaries follow the values of each group, whatever their scale; only a single repeated value can
+    fill a bucket.
+    """
+    levels = [i / parts for i in range(1, parts)]
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(column, levels, ACCURACY)).alias("__cuts"))
+    rows = join_group_table(df, cuts, keys, row_id)
+    return rows.withColumn(name, F.size(F.filter("__cuts", lambda c: c <= F.col(column)))).drop("__cuts")
 
 
 def seeded_hash(seed: int, *cols: Column | str) -> Column:
@@ -196,3 +231,14 @@ def long_bucket(key: Column, width: int = 65536) -> Column:
 def unit_hash(seed: int, *cols: Column | str) -> Column:
     """Uniform number in [0, 1) from a seeded hash."""
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def seeded_digest(seed: int, col: Column | str) -> Column:
+    """Order key for reproducible random choices that other engines can state: md5 of "seed:text"."""
+    text = (F.col(col) if isinstance(col, str) else col).cast("string")
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+def unit_digest(seed: int, col: Column | str) -> Column:
+    """Uniform number in [0, 1) from the first ten digits of the seeded digest."""
+    return F.conv(F.substring(seeded_digest(seed, col), 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40))

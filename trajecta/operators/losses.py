@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import EPS, asum, clamp, mask_count, masked_sum, zmap
 from .correction import rollout_correction
-from .grouping import seeded_hash, with_group_stats, with_rank
+from .grouping import ACCURACY, join_group_table, seeded_hash, with_group_stats, with_quantile_bucket, with_rank
 
 M = "response_mask"
 BASE = ["old_log_probs", "log_probs", "advantages", M]
@@ -235,6 +235,23 @@ def _top(df: DataFrame, bucket: Column, order: list[Column], limit: Column) -> D
     return with_rank(df, bucket, order, "__rank", ["step"]).withColumn("chosen", F.col("__rank") < limit).drop("__rank")
 
 
+def _highest(tokens: DataFrame, ratio: float, limit: Column) -> DataFrame:
+    """Flag `chosen`: the `limit` tokens of each step with the highest `cov`, ties by (sample_id, pos).
+
+    An approximate quantile per step leaves few candidates at any scale of the values; only those are ranked.
+    Tokens that equal the quantile may be many, so they are ranked in buckets of their ids.
+    """
+    share = max(0.0, 1 - 2 * ratio - 2 / ACCURACY)
+    floors = tokens.groupBy("step").agg(F.percentile_approx("cov", share, ACCURACY).alias("__floor"))
+    rows = join_group_table(tokens, floors, ["step"], ["sample_id", "pos"])
+    able = rows.filter(F.col("cov") >= F.col("__floor")).withColumn("__tie", F.col("cov") == F.col("__floor"))
+    able = with_quantile_bucket(able, ["step", "__tie"], "sample_id", "__ids", ["sample_id", "pos"])
+    bucket = F.struct(F.col("__tie"), F.when(F.col("__tie"), F.col("__ids")).otherwise(F.lit(0)))
+    able = _top(able, bucket, [F.col("cov").desc(), F.col("sample_id"), F.col("pos")], limit)
+    rest = rows.filter(~(F.col("cov") >= F.col("__floor"))).withColumn("chosen", F.lit(False))
+    return rest.drop("__floor").unionByName(able.drop("__floor", "__tie", "__ids"))
+
+
 def _token_loss(tokens: DataFrame, loss: Column, kept: Column, mode: str, scale: float | None, **metrics: Column):
     """Aggregate single-token losses: per sequence first, then per step, so every mode is available.
 
@@ -322,9 +339,7 @@ def covariance_penalty(
         F.abs(lr).alias("abs_kl"),
     )
     limit = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(ratio)))
-    tokens = _top(
-        tokens, -F.floor(F.col("cov") * F.lit(1024.0)), [F.col("cov").desc(), F.col("sample_id"), F.col("pos")], limit
-    )
+    tokens = _highest(tokens, ratio, limit)
     loss = F.col("plain") + F.when(F.col("chosen"), F.col("abs_kl") * coef).otherwise(0.0)
     return _token_loss(tokens, loss, F.col("chosen"), mode, scale, ppo_kl=F.col("abs_kl")).drop("pg_clipfrac")
 
@@ -358,7 +373,7 @@ def sft_loss(df: DataFrame, dp_size: int = 1) -> DataFrame:
     rows = with_rank(rows, F.floor(F.col("sample_id") / 65536), [F.col("sample_id")], "__at", ["step"])
     counts = rows.groupBy("step").agg(F.count(F.lit(1)).alias("__rows"), F.sum(mask_count(M)).alias("batch_tokens"))
     heads = rows.select("step", F.col("__at").alias("__head_at"), F.get(F.col(M), F.lit(0)).alias("__head"))
-    rows = rows.join(counts, "step")
+    rows = join_group_table(rows, counts, ["step"], "sample_id")
     rows = rows.withColumn("__next", (F.col("__at") + 1) % F.col("__rows"))
     rows = rows.join(
         heads.withColumnRenamed("step", "__s"), (F.col("step") == F.col("__s")) & (F.col("__next") == F.col("__head_at"))

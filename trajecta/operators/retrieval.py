@@ -1,25 +1,20 @@
 """Exact dense and lexical top-k retrieval.
 
-Documents and queries are cut into blocks; each task scores one document block against one query block
-with numpy and keeps k rows per query, so pairs are never materialised and nothing passes through the
-driver.  A query's block winners are reduced in two levels.
+Dense: documents and queries are cut into blocks; each task scores one document block against one query block
+with numpy and keeps k rows per query.  Lexical: an inverted index of the query terms.  A query's winners are
+reduced in two levels, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DOC_BLOCK, QUERY_BLOCK = 20_000, 1_000
-TERM = r"[^\p{L}\p{N}]+"
-
+from .grouping import seeded_digest
 
-def _blocks(df: DataFrame, size: int) -> int:
-    return max(1, math.ceil(df.count() / size))
+TERM = r"[^\p{L}\p{N}]+"
 
 
 def _paired(docs: DataFrame, queries: DataFrame, doc_blocks: int, query_blocks: int):
@@ -59,8 +54,15 @@ def _reduce(parts: DataFrame, k: int) -> DataFrame:
 SCHEMA = "query_id long, doc_id long, score double, db long"
 
 
-def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_block: int = DOC_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(doc_id, embedding) against (query_id, embedding) by inner product."""
+def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_blocks: int | None = None, query_blocks: int = 1) -> DataFrame:
+    """(doc_id, embedding) against (query_id, embedding) by inner product.
+
+    With one query block each vector of the corpus is moved once and the queries once per document block; a
+    query table too large for a task is cut into more blocks.  Document blocks default to the session's
+    shuffle partitions, so a block is what the cluster has chosen as the size of a task.  Nothing is counted
+    while the plan is built.
+    """
+    doc_blocks = doc_blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def score(key, d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if d.empty or q.empty:
@@ -73,7 +75,7 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_block: int = DO
         return _frame(rows)
 
     asked = queries.select("query_id", F.col("embedding").alias("wanted"))
-    d, q = _paired(docs.select("doc_id", "embedding"), asked, _blocks(docs, doc_block), _blocks(queries, query_block))
+    d, q = _paired(docs.select("doc_id", "embedding"), asked, doc_blocks, query_blocks)
     return _reduce(d.cogroup(q).applyInPandas(score, SCHEMA), k)
 
 
@@ -81,57 +83,28 @@ def terms(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), TERM), lambda t: t != "")
 
 
-def lexical_top_k(
-    docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, doc_block: int = DOC_BLOCK, query_block: int = QUERY_BLOCK
-) -> DataFrame:
+def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """(doc_id, text) against (query_id, text) by BM25; documents sharing no term with a query are not returned.
 
-    Document frequencies are counted only for terms that some query uses, combined map-side.
+    An inverted index of the terms that some query uses: (document, term, frequency) rows meet the query terms
+    and are added up per (query, document).  Texts stay where they are read.  The gains of one pair are added
+    in the order of their terms, so that scores do not depend on partitioning.
     """
     d = docs.select("doc_id", terms("text").alias("t")).withColumn("dl", F.size("t"))
-    q = queries.select("query_id", F.array_distinct(terms("text")).alias("t"))
-    wanted = q.select(F.explode("t").alias("term")).distinct()
-    found = d.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi")
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    q = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    postings = d.select("doc_id", "dl", F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    postings = postings.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = d.select(F.count(F.lit(1)).alias("n")).scalar()
     avgdl = d.select(F.avg("dl").alias("a")).scalar()
-    weighted = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    q = (
-        q.select("query_id", F.explode("t").alias("term"))
-        .join(weighted, "term")
-        .groupBy("query_id")
-        .agg(F.collect_list(F.struct("term", "idf")).alias("w"))
-        .withColumn("avgdl", avgdl)
+    asked = q.join(df, "term").select("query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    norm = F.lit(k1) * (1 - b + b * F.col("dl") / avgdl)
+    gains = postings.select("doc_id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("gain"))
+    hits = gains.join(asked, "term").groupBy("query_id", "doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("term", (F.col("idf") * F.col("gain")).alias("g")))).alias("g")
     )
-
-    def score(key, dd: pd.DataFrame, qq: pd.DataFrame) -> pd.DataFrame:
-        if dd.empty or qq.empty:
-            return _frame([])
-        ids, length = dd["doc_id"].to_numpy(), dd["dl"].to_numpy(dtype="float64")
-        norm = k1 * (1 - b + b * length / float(qq["avgdl"].iloc[0]))
-        used = {w["term"] for row in qq["w"] for w in row}
-        postings: dict[str, dict[int, int]] = {t: {} for t in used}
-        for i, row in enumerate(dd["t"]):
-            for t in row:
-                if t in used:
-                    postings[t][i] = postings[t].get(i, 0) + 1
-        gains = {}
-        for t, hits in postings.items():
-            at, tf = np.fromiter(hits.keys(), dtype="int64"), np.fromiter(hits.values(), dtype="float64")
-            gains[t] = (at, tf * (k1 + 1) / (tf + norm[at]))
-        rows = []
-        for query, row in zip(qq["query_id"], qq["w"]):
-            total, seen = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
-            for w in sorted(row, key=lambda w: w["term"]):
-                at, gain = gains[w["term"]]
-                total[at] += w["idf"] * gain
-                seen[at] = True
-            live = np.flatnonzero(seen)
-            rows += [(query, ids[live[i]], total[live[i]], key[0]) for i in _best(ids[live], total[live], k)]
-        return _frame(rows)
-
-    dd, qq = _paired(d, q, _blocks(docs, doc_block), _blocks(queries, query_block))
-    return _reduce(dd.cogroup(qq).applyInPandas(score, SCHEMA), k)
+    scored = hits.select("query_id", "doc_id", F.aggregate("g", F.lit(0.0), lambda acc, x: acc + x["g"]).alias("score"))
+    return _reduce(scored.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(256))), k)
 
 
 def with_contents(hits: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -160,5 +133,5 @@ def with_status(queries: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def validation_samples(df: DataFrame, n: int, text: str = "input", seed: int = 42) -> DataFrame:
-    """n rows for inspection, chosen by seeded hash of the text so that the choice ignores row order."""
-    return df.orderBy(F.xxhash64(F.col(text), F.lit(seed)), text).limit(n)
+    """n rows for inspection, chosen by seeded digest of the text so that the choice ignores row order."""
+    return df.orderBy(seeded_digest(seed, text), text).limit(n)

@@ -110,11 +110,12 @@ def dispatch(
     """Score by data source; an unknown source is an error.
 
     `golden` holds the accepted answers of question-answering rows and `executed` the per-case results of
-    logged code runs.
+    logged code runs; without it a row of a code source is an error.
     """
     source, x, gold = col(source), col(x), col(gold)
     golden = F.array(gold) if golden is None else golden
-    ran = F.lit(None).cast("double") if executed is None else passed_share(executed)
+    missing = F.raise_error(F.concat(F.lit("no execution results for data source "), source)).cast("double")
+    ran = missing if executed is None else passed_share(executed)
     return (
         F.when(source.isin(SOURCES["grade_school"]), grade_school(x, gold))
         .when(source.isin(SOURCES["boxed"]), boxed_equivalence(x, gold))

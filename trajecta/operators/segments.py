@@ -100,6 +100,7 @@ def text_segments(x: Column) -> Column:
 
 # --- interventions -----------------------------------------------------------------------------------------------
 
+# Patterns of the input and output pairs in prompts and in code.
 ASSERT_PAIR = r"assert str\(solve\(\['(.+?)'\]\)\)\.strip\(\) == '(.+?)'"
 LOOKUP_PAIR = r"if lines == \['(.+?)'\]:\s*(?:\n\s+)?return '(.+?)'"
 PAIRS = T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())]))

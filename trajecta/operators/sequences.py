@@ -77,20 +77,35 @@ def turn_tokens(messages: Column | str, tokenize=tokens) -> Column:
     )
 
 
-def chat_encoding(messages: Column | str, tokenize=tokens, generation_prefix: int = 1, max_length: int | None = None) -> Column:
+def chat_encoding(
+    messages: Column | str,
+    tokenize=tokens,
+    generation_prefix: int = 1,
+    max_length: int | None = None,
+    tools: Column | None = None,
+    system_prefix: Column | None = None,
+) -> Column:
     """Tokens and loss mask of a chat: a role marker opens each turn and is never trained on.
 
-    The marker stands for the `generation_prefix` tokens a chat template puts before an answer.
+    The marker stands for the `generation_prefix` tokens a chat template puts before an answer.  A template
+    that renders one message alone would repeat its default system text and the tools before every turn; here
+    `system_prefix` (unless the chat brings its own system turn) and `tools` stand before the first turn only.
+    Of an assistant turn all but its first `generation_prefix` tokens are trained on, so a chat that opens
+    with one trains on what its template puts before it too.
     """
     messages = F.col(messages) if isinstance(messages, str) else messages
+    nothing = F.array().cast("array<string>")
+    tools = nothing if tools is None else tools
+    system_prefix = nothing if system_prefix is None else system_prefix
 
-    def one(m):
+    def one(m, i):
+        opening = F.concat(F.when(m["role"] == "system", nothing).otherwise(system_prefix), tools)
         marker = F.array_repeat(F.concat(F.lit("<"), m["role"], F.lit(">")), generation_prefix)
-        body = tokenize(m["content"])
-        flag = (m["role"] == "assistant").cast("int")
+        all_tokens = F.concat(F.when(i == 0, opening).otherwise(nothing), marker, tokenize(m["content"]))
+        trained = m["role"] == "assistant"
         return F.struct(
-            F.concat(marker, body).alias("tokens"),
-            F.concat(F.array_repeat(F.lit(0), generation_prefix), F.transform(body, lambda _: flag)).alias("mask"),
+            all_tokens.alias("tokens"),
+            F.transform(all_tokens, lambda _, j: (trained & (j >= generation_prefix)).cast("int")).alias("mask"),
         )
 
     turns = F.transform(messages, one)

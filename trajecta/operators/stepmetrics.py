@@ -309,10 +309,22 @@ def staleness_counts(df: DataFrame, current: Column, keys: list[str]) -> DataFra
 # --- compute cost ----------------------------------------------------------------------------------------------------
 
 
+# The model families with a known cost; any other costs nothing.
+DENSE_FAMILIES = ["qwen2", "llama", "qwen2_vl", "qwen2_5_vl", "qwen3", "qwen3_vl", "minicpmv", "minicpmo", "mistral", "seed_oss", "glm4v"]
+EXPERT_FAMILIES = ["qwen2_moe", "qwen3_moe", "qwen3_vl_moe"]
+OTHER_FAMILIES = ["deepseek_v3", "gemma3_text", "apertus", "gpt_oss"]
+
+
 def model_cost(cfg: dict) -> tuple[int, int, int, int, int]:
-    """(parameters per token, attention width, full layers, sliding layers, window) of a model configuration."""
-    h, layers, heads = cfg["hidden_size"], cfg["num_hidden_layers"], cfg["num_attention_heads"]
+    """(parameters per token, attention width, full layers, sliding layers, window) of a model configuration.
+
+    A family outside the lists costs zero.  The qwen3_vl families hold their text part in `text_config`.
+    """
     family = cfg["model_type"]
+    if family not in DENSE_FAMILIES + EXPERT_FAMILIES + OTHER_FAMILIES:
+        return 0, 0, 0, 0, 0
+    cfg = {**cfg, **cfg.get("text_config", {})}
+    h, layers, heads = cfg["hidden_size"], cfg["num_hidden_layers"], cfg["num_attention_heads"]
     embed = cfg["vocab_size"] * h * 2
     if family == "deepseek_v3":
         nope, rope, v = cfg["qk_nope_head_dim"], cfg["qk_rope_head_dim"], cfg["v_head_dim"]
@@ -329,7 +341,7 @@ def model_cost(cfg: dict) -> tuple[int, int, int, int, int]:
         return params, (nope + rope) * heads, layers, 0, 0
     dim = cfg.get("head_dim") or h // heads
     attn = h * dim * 2 * (heads + cfg["num_key_value_heads"])
-    if family in ("qwen2_moe", "qwen3_moe"):
+    if family in EXPERT_FAMILIES:
         mlp = 3 * h * cfg["num_experts_per_tok"] * cfg["moe_intermediate_size"] + h * cfg["num_experts"]
     elif family == "gpt_oss":
         mlp = h * cfg["num_local_experts"] + 3 * h * cfg["intermediate_size"] * cfg["num_experts_per_tok"]

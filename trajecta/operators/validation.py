@@ -10,11 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grouping import join_group_table, unit_hash, with_prefix_sum, with_rank
+from .grouping import join_group_table, unit_hash, with_prefix_sum, with_quantile_bucket, with_rank
 
 KEY = ["data_source", "uid", "var"]
-# A prompt with more responses than this is resampled by joins instead of inside one task.
-SMALL_GROUP = 512
+CELLS = 4_000_000  # draws held at once
 
 
 def to_long(df: DataFrame, variables: list[str], pred: str | None = "pred", pos: str = "sample_id") -> DataFrame:
@@ -49,15 +48,15 @@ def per_prompt_mean_std(long: DataFrame) -> DataFrame:
     )
 
 
-def best_worst_closed_form(long: DataFrame, slices: float = 64.0) -> DataFrame:
+def best_worst_closed_form(long: DataFrame) -> DataFrame:
     """The value 1000 resampling rounds estimate: moments of the extreme of n draws with replacement.
 
     Works on value counts, so equal values collapse first; cumulative counts are built in two levels and
     the per-size sums combine map-side.
     """
     counts = long.groupBy(*KEY, "value").agg(F.count(F.lit(1)).alias("c"))
-    bucket = F.floor(F.col("value") * F.lit(slices))
-    ranked = with_prefix_sum(counts, bucket, [F.col("value")], F.col("c"), "before", KEY)
+    counts = with_quantile_bucket(counts, KEY, "value", "__q", "value")
+    ranked = with_prefix_sum(counts, F.col("__q"), [F.col("value")], F.col("c"), "before", KEY)
     sizes = counts.groupBy(*KEY).agg(F.sum("c").alias("n"))
     ranked = join_group_table(ranked, sizes, KEY, "value")
     rows = ranked.withColumn("k", F.explode(sample_sizes(F.col("n"))))
@@ -101,14 +100,11 @@ def majority_value(long: DataFrame) -> DataFrame:
 # --- resampling with the same seeded draws ----------------------------------------------------------------
 
 
-def _majority_positions(codes: np.ndarray) -> np.ndarray:
+def _majority_positions(codes: np.ndarray, kinds: int) -> np.ndarray:
     """Per row, the first position whose code is most frequent in the row."""
-    step = max(1, 32_000_000 // max(1, codes.shape[1] ** 2))
-    out = np.empty(len(codes), dtype="int64")
-    for i in range(0, len(codes), step):
-        part = codes[i : i + step]
-        out[i : i + step] = (part[:, :, None] == part[:, None, :]).sum(axis=2).argmax(axis=1)
-    return out
+    rows = np.arange(len(codes))[:, None]
+    counts = np.bincount((rows * kinds + codes).ravel(), minlength=len(codes) * kinds).reshape(len(codes), kinds)
+    return counts[rows, codes].argmax(axis=1)
 
 
 def _resampler(rounds: int, seed: int, with_majority: bool):
@@ -123,13 +119,23 @@ def _resampler(rounds: int, seed: int, with_majority: bool):
         if len(values) > 1:
             sizes.append(len(values))
         out = []
+        codes = codes if with_majority else np.zeros(0, dtype="int64")
+        kinds = int(codes.max(initial=0)) + 1
         for k in sizes:
-            picks = np.random.RandomState(seed).choice(len(values), size=(rounds, k), replace=True)
-            drawn = values[picks]
-            found = {"best": drawn.max(axis=1), "worst": drawn.min(axis=1)}
-            if with_majority:
-                found["maj"] = drawn[np.arange(rounds), _majority_positions(codes[picks])]
-            for kind, stat in found.items():
+            draws = np.random.RandomState(seed)
+            found: dict[str, list[np.ndarray]] = {}
+            # The generator fills a large draw and its consecutive pieces alike.
+            step = max(1, CELLS // max(k, kinds))
+            for at in range(0, rounds, step):
+                picks = draws.choice(len(values), size=(min(step, rounds - at), k), replace=True)
+                drawn = values[picks]
+                found.setdefault("best", []).append(drawn.max(axis=1))
+                found.setdefault("worst", []).append(drawn.min(axis=1))
+                if with_majority:
+                    first = _majority_positions(codes[picks], kinds)
+                    found.setdefault("maj", []).append(drawn[np.arange(len(drawn)), first])
+            for kind, pieces in found.items():
+                stat = np.concatenate(pieces)
                 out += [(f"{kind}@{k}/mean", stat.mean()), (f"{kind}@{k}/std", stat.std())]
         head = pdf.iloc[0]
         return pd.DataFrame(
@@ -141,25 +147,15 @@ def _resampler(rounds: int, seed: int, with_majority: bool):
 
 
 def resampled_metrics(long: DataFrame, rounds: int = 1000, seed: int = 42, with_majority: bool = True) -> DataFrame:
-    """best/worst/maj at n by seeded resampling.
+    """best/worst/maj at n by seeded resampling, the same draws for a prompt of any size.
 
-    Prompts of ordinary size are resampled one group per call.  Larger ones take the join form below, so
-    no task ever holds one; there the draws come from a hash instead of the seeded generator.
+    The responses of one prompt and variable (value and prediction code) meet in one task, as the generator's
+    stream demands; `best_worst_closed_form` and `majority_by_draws` are the forms that spread a prompt.
     """
-    sizes = long.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    rows = join_group_table(long, sizes, KEY, "pos")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.schema if f.name in KEY)
-    tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = (
-        rows.filter(F.col("n") <= SMALL_GROUP)
-        .drop("n")
-        .repartition(tasks, *KEY)
-        .groupBy(*KEY)
-        .applyInPandas(_resampler(rounds, seed, with_majority), f"{schema}, metric string, value double")
+    return long.groupBy(*KEY).applyInPandas(
+        _resampler(rounds, seed, with_majority), f"{schema}, metric string, value double"
     )
-    large = rows.filter(F.col("n") > SMALL_GROUP)
-    out = small.unionByName(best_worst_closed_form(large.drop("n")))
-    return out.unionByName(majority_by_draws(large, rounds, seed)) if with_majority else out
 
 
 def majority_by_draws(rows: DataFrame, rounds: int, seed: int) -> DataFrame:

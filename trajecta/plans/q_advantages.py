@@ -60,14 +60,12 @@ def adv_grpo_vectorized(spark, sf):
             row_number() OVER (PARTITION BY step, uid ORDER BY score DESC, sample_id) AS rk
           FROM smp WINDOW w AS (PARTITION BY step, uid)),
     s AS (SELECT step, uid, score AS second FROM g WHERE rk = 2)
-    SELECT sample_id, {sq("CASE WHEN rk = 1 THEN (score - second) / (sd + 1e-6) ELSE 0 END * n_valid")} AS adv_sum,
-      {sq("CASE WHEN rk = 1 THEN (score - second) / (sd + 1e-6) ELSE 0 END * n_valid")} AS ret_sum
-    FROM g JOIN s USING (step, uid)""",
+    SELECT sample_id, {sq("CASE WHEN rk = 1 AND n > 1 THEN (score - second) / (sd + 1e-6) ELSE 0 END * n_valid")} AS adv_sum,
+      {sq("CASE WHEN rk = 1 AND n > 1 THEN (score - second) / (sd + 1e-6) ELSE 0 END * n_valid")} AS ret_sum
+    FROM g LEFT JOIN s USING (step, uid)""",
 )
 def adv_grpo_passk(spark, sf):
-    rows = rewarded(spark, sf)
-    repeated = rows.groupBy("step", "uid").count().filter("count >= 2").select("step", "uid")
-    return _per_sample(A.grpo_passk(rows.join(repeated, ["step", "uid"], "left_semi")))
+    return _per_sample(A.grpo_passk(rewarded(spark, sf), single="zero"))
 
 
 @query("adv_rloo", _scalar_sql("CASE WHEN n > 1 THEN score*n/(n-1) - mu*n/(n-1) ELSE score END"))
@@ -262,6 +260,22 @@ def kl_adaptive(spark, sf):
     return out.select("step", rnd("kl_coef", 9).alias("kl_coef"), rnd("kl_coef_after", 9).alias("kl_coef_after"))
 
 
+@query(
+    "kl_adaptive_any_sign",
+    f"""WITH {TOKENS_SQL},
+    k AS (SELECT step, sample_id, sum(abs(old_lp-ref_lp)*m)/(sum(m)+1e-8) AS kl FROM t GROUP BY ALL),
+    s AS (SELECT step, avg(kl) AS kl, count(*) AS n FROM k GROUP BY step),
+    f AS (SELECT step, 1 + greatest(least(kl/3.0-1, 0.2), -0.2)/0.15 AS f FROM s)
+    SELECT step, {sq("0.2*coalesce(product(f) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)", 9)} AS kl_coef,
+      {sq("0.2*product(f) OVER (ORDER BY step)", 9)} AS kl_coef_after FROM f""",
+)
+def kl_adaptive_any_sign(spark, sf):
+    """A horizon below a fifth of the batch turns the sign of the coefficient at every step below target."""
+    steps = A.current_kl(A.apply_kl_penalty(trajectories(spark, sf), 0.2, "abs"))
+    out = A.adaptive_kl_coefficients(steps.withColumn("batch_size", F.lit(1)), 0.2, 3.0, 0.15)
+    return out.select("step", rnd("kl_coef", 9).alias("kl_coef"), rnd("kl_coef_after", 9).alias("kl_coef_after"))
+
+
 @query(
     "score_resample_weights",
     f"""WITH {TOKENS_SQL}, {SAMPLES_SQL}
@@ -288,6 +302,25 @@ def score_resample(spark, sf):
     return A.resample(trajectories(spark, sf).select("step", "sample_id", "token_level_scores"), seed=7)
 
 
+@query(
+    "score_resample_properties",
+    f"WITH {TOKENS_SQL}, {SAMPLES_SQL} SELECT step, count(*) AS n, count(*) AS draws, count(*) AS members, true AS weighted FROM smp GROUP BY step",
+)
+def score_resample_properties(spark, sf):
+    """Per step: as many draws as rows, all of them rows of the step, and heavier rows drawn more often.
+
+    `weighted` compares the mean weight of the drawn rows with that of all rows, which drawing by weight raises.
+    """
+    rows = trajectories(spark, sf).select("step", "sample_id", "token_level_scores")
+    weights = A.resample_weights(rows).select("step", "sample_id", "weight")
+    drawn = A.resample(rows, seed=7).join(weights, ["step", "sample_id"], "left")
+    drawn = drawn.groupBy("step").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("draw_id").alias("draws"), F.count("weight").alias("members"), F.avg("weight").alias("w")
+    )
+    every = weights.groupBy("step").agg(F.avg("weight").alias("all"))
+    return drawn.join(every, "step").select("step", "n", "draws", "members", (F.col("w") >= F.col("all")).alias("weighted"))
+
+
 @query(
     "response_mask_from_ids",
     f"""WITH {TOKENS_SQL},

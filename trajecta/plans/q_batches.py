@@ -317,7 +317,7 @@ def source_cap_first(spark, sf):
     return S.cap_rows(table(spark, sf, "documents").select("doc_id"), 50, "doc_id")
 
 
-@query("source_cap_random")
+@query("source_cap_random", "SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY md5('11:' || doc_id), doc_id LIMIT 50)")
 def source_cap_random(spark, sf):
     return S.cap_rows(table(spark, sf, "documents").select("doc_id"), 50, "doc_id", shuffle=True, seed=11)
 
@@ -335,11 +335,11 @@ def source_sft_rows(spark, sf):
 
 @query(
     "source_preference_rows",
-    "SELECT a.text AS prompt, b.text AS chosen, c.text AS rejected FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 1 "
-    "JOIN conversations c ON a.conv_id = c.conv_id AND c.turn = 3 WHERE a.turn = 0",
+    "SELECT a.text AS prompt, b.text AS chosen, c.text AS rejected FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 1 "
+    "LEFT JOIN conversations c ON a.conv_id = c.conv_id AND c.turn = 3 WHERE a.turn = 0",
 )
 def source_preference_rows(spark, sf):
-    rows = messages(spark, sf).filter(F.size("messages") > 3)
+    rows = messages(spark, sf)
     at = [F.get(F.col("messages"), F.lit(i))["content"] for i in (0, 1, 3)]
     return S.preference_rows(rows.select(at[0].alias("prompt"), at[1].alias("chosen"), at[2].alias("rejected")))
 
@@ -421,11 +421,11 @@ def source_eval_collector(spark, sf):
         .join(r, n.n_regionkey == r.r_regionkey)
         .groupBy("r_name", "r_regionkey")
         .agg(F.avg("c_acctbal").alias("acc"))
-        .select(F.struct("acc").alias("statistics"), F.col("r_name").alias("model"), (F.col("r_regionkey") * 10).alias("step"))
+        .select(F.struct("acc").alias("statistics"), F.col("r_name").alias("model"), (F.col("r_regionkey") * 10).alias("checkpoint"))
     )
-    stats.write.partitionBy("model", "step").json(f"{root}/flat")
-    raw = spark.read.schema("statistics struct<acc double>, model string, step long").json(f"{root}/flat")
-    return raw.filter(F.col("step") <= 30).select("model", "step", rnd("statistics.acc", 2).alias("acc"))
+    stats.write.partitionBy("model", "checkpoint").json(root)
+    found = S.load_eval_statistics(spark, root, ["acc"], max_checkpoint=30)
+    return found.select("model", "step", rnd("acc", 2).alias("acc"))
 
 
 @query(
@@ -485,7 +485,7 @@ def _items(spark, sf, k=4):
     SELECT step, row_idx AS item_id, CAST(CASE WHEN (r // 4) % 2 = 0 THEN r % 4 ELSE 3 - r % 4 END AS INTEGER) AS part FROM r""",
 )
 def balance_serpentine(spark, sf):
-    return B.balanced_partitions(_items(spark, sf), ["step"], "serpentine")
+    return B.balanced_partitions(_items(spark, sf), ["step"], "serpentine", equal=False)
 
 
 @query("balance_differencing")
@@ -498,6 +498,37 @@ def balance_greedy(spark, sf):
     return B.balanced_partitions(_items(spark, sf), ["step"], "greedy", equal=False)
 
 
+# Per step: rows seen, each item once, every partition used, largest gap between partition sizes, and whether the
+# loads lie no further apart than the heaviest item (which holds for both rules).
+_PROPERTIES_SQL = (
+    f"{L_SQL} SELECT step, count(*) AS n, count(*) AS items, CAST(least(count(*), 4) AS BIGINT) AS parts, true AS close FROM l GROUP BY step"
+)
+
+
+def _properties(spark, sf, algorithm):
+    items = _items(spark, sf)
+    placed = B.balanced_partitions(items, ["step"], algorithm, equal=False).join(items, ["step", "item_id"])
+    loads = placed.groupBy("step", "part").agg(
+        F.sum("work").alias("load"), F.count(F.lit(1)).alias("c"), F.count_distinct("item_id").alias("i"), F.max("work").alias("heaviest")
+    )
+    return loads.groupBy("step").agg(
+        F.sum("c").alias("n"),
+        F.sum("i").alias("items"),
+        F.count(F.lit(1)).alias("parts"),
+        (F.max("load") - F.min("load") <= F.max("heaviest")).alias("close"),
+    )
+
+
+@query("balance_differencing_properties", _PROPERTIES_SQL)
+def balance_differencing_properties(spark, sf):
+    return _properties(spark, sf, "differencing")
+
+
+@query("balance_greedy_properties", _PROPERTIES_SQL)
+def balance_greedy_properties(spark, sf):
+    return _properties(spark, sf, "greedy")
+
+
 @query(
     "balance_imbalance_report",
     f"""{L_SQL}, r AS (SELECT step, row_idx, length, row_number() OVER (PARTITION BY step ORDER BY row_idx) - 1 AS pos,
@@ -510,7 +541,7 @@ def balance_greedy(spark, sf):
 )
 def balance_imbalance_report(spark, sf):
     rows = lengths(spark, sf)
-    parts = B.balanced_partitions(_items(spark, sf), ["step"], "serpentine").withColumnRenamed("item_id", "row_idx")
+    parts = B.balanced_partitions(_items(spark, sf), ["step"], "serpentine", equal=False).withColumnRenamed("item_id", "row_idx")
     rows = rows.join(parts, ["step", "row_idx"])
     rows = with_rank(rows, F.floor(F.col("row_idx") / 65536), [F.col("row_idx")], "pos", ["step"])
     out = B.imbalance_report(rows.drop("row_idx").withColumnRenamed("pos", "row_idx"), ["step"], 4)
@@ -552,7 +583,7 @@ def balance_restore_order(spark, sf):
 @query("balance_group_partitions")
 def balance_group_partitions(spark, sf):
     rows = lengths(spark, sf)
-    return B.group_partitions(rows, ["step"], "uid", 4, algorithm="serpentine")
+    return B.group_partitions(rows, ["step"], "uid", 4, equal=False)
 
 
 @query(
@@ -560,14 +591,14 @@ def balance_group_partitions(spark, sf):
     f"{L_SQL} SELECT step, count(DISTINCT uid) AS prompts, CAST(1 AS BIGINT) AS parts_per_prompt FROM l GROUP BY step",
 )
 def balance_group_cohesion(spark, sf):
-    parts = B.group_partitions(lengths(spark, sf), ["step"], "uid", 4, algorithm="serpentine")
+    parts = B.group_partitions(lengths(spark, sf), ["step"], "uid", 4, equal=False)
     per = parts.groupBy("step", "uid").agg(F.count_distinct("part").alias("p"))
     return per.groupBy("step").agg(F.count_distinct("uid").alias("prompts"), F.max("p").alias("parts_per_prompt"))
 
 
 @query("balance_step_layout")
 def balance_step_layout(spark, sf):
-    return B.balance_step(lengths(spark, sf), ["step"], 4, algorithm="serpentine")
+    return B.balance_step(lengths(spark, sf), ["step"], 4, equal=False)
 
 
 @query(
@@ -575,7 +606,7 @@ def balance_step_layout(spark, sf):
     f"{L_SQL} SELECT step, count(*) AS n, CAST(0 AS BIGINT) AS first_idx, count(*) - 1 AS last_idx FROM l GROUP BY step",
 )
 def balance_step_positions(spark, sf):
-    out = B.balance_step(lengths(spark, sf), ["step"], 4, mini_batch=256, algorithm="serpentine")
+    out = B.balance_step(lengths(spark, sf), ["step"], 4, mini_batch=256, equal=False)
     return out.groupBy("step").agg(
         F.count_distinct("new_idx").alias("n"), F.min("new_idx").alias("first_idx"), F.max("new_idx").alias("last_idx")
     )
@@ -606,13 +637,13 @@ def prefix_positions(spark, sf):
 
 @query(
     "prefix_packing",
-    f"""WITH {TOKENS_SQL}, {SAMPLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY step, uid ORDER BY sample_id) - 1 AS rn FROM smp)
-    SELECT step, uid, rn // 64 AS block, CAST(any_value(prompt_len) AS INTEGER) AS prefix_len, string_agg(CAST(sample_id AS VARCHAR), ',' ORDER BY sample_id) AS members FROM r GROUP BY ALL""",
+    f"""WITH {TOKENS_SQL}, {SAMPLES_SQL}
+    SELECT step, uid, CAST(any_value(prompt_len) AS INTEGER) AS prefix_len, string_agg(CAST(sample_id AS VARCHAR), ',' ORDER BY sample_id) AS members FROM smp GROUP BY ALL""",
 )
 def prefix_packing(spark, sf):
     rows = trajectories(spark, sf).select("step", "uid", "sample_id", "prompt_len", "response_mask")
     out = B.pack_shared_prefix(rows, ["step", "uid"], ["response_mask"])
-    return out.select("step", "uid", "block", "prefix_len", F.array_join(F.col("sample_id").cast("array<string>"), ",").alias("members"))
+    return out.select("step", "uid", "prefix_len", F.array_join(F.col("sample_id").cast("array<string>"), ",").alias("members"))
 
 
 # --- sequences ----------------------------------------------------------------------------------------------------
@@ -686,6 +717,20 @@ def sequence_chat_encoding(spark, sf):
     )
 
 
+@query(
+    "sequence_chat_encoding_tools",
+    f"""WITH {CONV_WORDS}
+    SELECT conv_id, string_agg(CASE WHEN turn > 0 THEN '' WHEN role = 'system' THEN '<tools> search ' ELSE '<system> be helpful <tools> search ' END
+        || '<' || role || '> ' || array_to_string(w, ' '), ' ' ORDER BY turn) AS tokens,
+      CAST(sum(CASE WHEN role = 'assistant' THEN len(w) + CASE WHEN turn = 0 THEN 5 ELSE 0 END ELSE 0 END) AS INTEGER) AS trained FROM cw GROUP BY conv_id""",
+)
+def sequence_chat_encoding_tools(spark, sf):
+    """Tools are described once, in the first turn, and the default system prefix stands only there."""
+    tools, system = F.array(F.lit("<tools>"), F.lit("search")), F.array(*[F.lit(w) for w in ("<system>", "be", "helpful")])
+    e = messages(spark, sf).select("conv_id", X.chat_encoding("messages", tools=tools, system_prefix=system).alias("e"))
+    return e.select("conv_id", F.array_join("e.tokens", " ").alias("tokens"), mask_count(F.col("e.loss_mask")).alias("trained"))
+
+
 @query(
     "sequence_chat_encoding_padded",
     f"""WITH {CONV_WORDS}, a AS (SELECT conv_id, flatten(list(list_concat(['<' || role || '>'], w) ORDER BY turn)) AS t,
@@ -701,14 +746,14 @@ def sequence_chat_encoding_padded(spark, sf):
 @query(
     "sequence_pair_encoding",
     """WITH p AS (SELECT conv_id, list_filter(regexp_split_to_array(string_agg(text, ' ' ORDER BY turn) FILTER (turn = 0), '\\s+'), lambda x: x <> '') AS q,
-        list_filter(regexp_split_to_array(any_value(text) FILTER (turn = 1), '\\s+'), lambda x: x <> '') AS c,
-        list_filter(regexp_split_to_array(any_value(text) FILTER (turn = 3), '\\s+'), lambda x: x <> '') AS r FROM conversations GROUP BY conv_id HAVING count(*) > 3),
+        list_filter(regexp_split_to_array(coalesce(any_value(text) FILTER (turn = 1), ''), '\\s+'), lambda x: x <> '') AS c,
+        list_filter(regexp_split_to_array(coalesce(any_value(text) FILTER (turn = 3), ''), '\\s+'), lambda x: x <> '') AS r FROM conversations GROUP BY conv_id),
     e AS (SELECT conv_id, 'chosen' AS side, list_concat(q, c) AS t FROM p UNION ALL SELECT conv_id, 'rejected', list_concat(q, r) FROM p)
     SELECT conv_id, side, array_to_string(list_concat(t[:60], list_transform(range(greatest(60 - len(t), 0)), lambda x: '0')), ' ') AS ids FROM e""",
 )
 def sequence_pair_encoding(spark, sf):
-    rows = messages(spark, sf).filter(F.size("messages") > 3)
-    q, c, r = (X.tokens(F.get(F.col("messages"), F.lit(i))["content"]) for i in (0, 1, 3))
+    rows = messages(spark, sf)
+    q, c, r = (X.tokens(F.coalesce(F.get(F.col("messages"), F.lit(i))["content"], F.lit(""))) for i in (0, 1, 3))
 
     def fit(a):
         return X.fit_length(F.concat(q, a), 60, F.lit("0"), left_pad=False, truncation="right")

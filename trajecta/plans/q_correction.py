@@ -94,18 +94,19 @@ def is_metrics_sequence(spark, sf):
 
 
 STAT = {"k1": "-lrc", "k2": "0.5*lrc*lrc", "k3": "(exp(lrc) - 1 - lrc)"}
+# Off the grid of the derived log-probabilities: no sum lies on a threshold, whatever its order.
 SPECS = {
-    "token_k1": "0.7_1.5",
-    "token_k2": "0.05",
-    "token_k3": "0.05",
-    "seq_sum_k1": "0.4_2.5",
-    "seq_sum_k2": "0.3",
-    "seq_sum_k3": "0.3",
-    "seq_mean_k1": "0.8_1.3",
-    "seq_mean_k2": "0.08",
-    "seq_mean_k3": "0.08",
-    "seq_max_k2": "0.2",
-    "seq_max_k3": "0.2",
+    "token_k1": "0.7013_1.5017",
+    "token_k2": "0.0507",
+    "token_k3": "0.0507",
+    "seq_sum_k1": "0.4013_2.5017",
+    "seq_sum_k2": "0.3017",
+    "seq_sum_k3": "0.3017",
+    "seq_mean_k1": "0.8013_1.3017",
+    "seq_mean_k2": "0.0807",
+    "seq_mean_k3": "0.0807",
+    "seq_max_k2": "0.2017",
+    "seq_max_k3": "0.2017",
 }
 
 
@@ -243,6 +244,21 @@ def rollout_correction_metrics(spark, sf):
     return rounded(C.rollout_correction(trajectories(spark, sf))[1])
 
 
+@query(
+    "rollout_correction_metrics_full",
+    f"SELECT * FROM (WITH {TOKENS_SQL}, {LR}, {OFFPOLICY_SQL} SELECT step, "
+    + ", ".join(f"{sq(v)} AS {k}" for k, v in OFFPOLICY_COLS.items())
+    + f" FROM q GROUP BY step) JOIN ({_is_metrics_sql('token')}) USING (step) JOIN ({_rs_sql('token_k1')}) USING (step)",
+)
+def rollout_correction_metrics_full(spark, sf):
+    """Off-policy, weight and rejection metrics of one call."""
+    _, metrics = C.rollout_correction(
+        trajectories(spark, sf), "token", 2.0, rejection="token_k1", rejection_threshold=SPECS["token_k1"]
+    )
+    out = rounded(metrics)
+    return out.withColumnsRenamed({c: c.removeprefix("rollout_corr_") for c in out.columns})
+
+
 @query(
     "bypass_old_log_probs",
     f"WITH {TOKENS_SQL} SELECT sample_id, {sq('sum(roll_lp)')} AS total FROM t GROUP BY sample_id",

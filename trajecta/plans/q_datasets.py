@@ -284,12 +284,12 @@ def dataset_geometry(spark, sf):
     )
 
 
-@query("dataset_role_remap", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+@query("dataset_role_remap", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def dataset_role_remap(spark, sf):
-    c = table(spark, sf, "conversations").filter(F.col("role").isin("user", "assistant"))
-    speaker = F.when(F.col("role") == "user", "human").otherwise("gpt")
+    c = table(spark, sf, "conversations")
+    speaker = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
     rows = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", speaker.alias("from"), F.col("text").alias("value")))).alias("t"))
-    return rows.select("conv_id", F.array_join(F.transform(D.remap_roles("t"), lambda m: m["role"]), ",").alias("roles"))
+    return rows.select("conv_id", F.array_join(F.transform(D.remap_roles("t", other="keep"), lambda m: m["role"]), ",").alias("roles"))
 
 
 @query("dataset_two_turn_chat", "SELECT doc_id, 'user|assistant' AS roles, source || '|' || text AS contents FROM documents")
@@ -313,26 +313,39 @@ def dataset_sft_migration(spark, sf):
     )
 
 
-@query("dataset_first_question", "SELECT conv_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id")
+@query(
+    "dataset_first_question",
+    "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS question FROM conversations GROUP BY conv_id",
+)
 def dataset_first_question(spark, sf):
     rows = messages(spark, sf)
-    return rows.select("conv_id", D.first_question(rows).alias("question")).filter("question IS NOT NULL")
+    return rows.select("conv_id", D.first_question(rows).alias("question"))
+
+
+@query("dataset_first_question_text", "SELECT doc_id, text AS question FROM documents")
+def dataset_first_question_text(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("messages"))
+    return rows.select("doc_id", D.first_question(rows).alias("question"))
 
 
-@query("dataset_placeholder_split", "SELECT doc_id, 'text,image,text,video' AS kinds, text || source AS joined FROM documents WHERE text <> ''")
+@query("dataset_placeholder_split", "SELECT doc_id, 'text,image,text,video' AS kinds, text || source AS joined FROM documents")
 def dataset_placeholder_split(spark, sf):
     content = F.concat("text", F.lit("<image>"), "source", F.lit("<video>"))
     parts = D.typed_content(content, F.lit(1), F.lit(1))
-    return table(spark, sf, "documents").filter("text <> ''").select("doc_id", parts.alias("p")).select(
+    return table(spark, sf, "documents").select("doc_id", parts.alias("p")).select(
         "doc_id",
         F.array_join(F.transform("p", lambda s: s["type"]), ",").alias("kinds"),
         F.array_join(F.transform("p", lambda s: s["text"]), "").alias("joined"),
     )
 
 
-@query("dataset_mode_assignment")
+@query(
+    "dataset_mode_assignment",
+    """WITH u AS (SELECT o_orderkey, CAST('0x' || substr(md5('3:' || o_orderkey), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE AS u FROM orders)
+    SELECT o_orderkey, CASE WHEN u <= 0.65 THEN 'HONEST_FIX' WHEN u <= 0.75 THEN 'HACK_EXPLICIT' ELSE 'HACK_SILENT' END AS mode FROM u""",
+)
 def dataset_mode_assignment(spark, sf):
-    return table(spark, sf, "orders").groupBy(D.assign_mode("o_orderkey", 3).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "orders").select("o_orderkey", D.assign_mode("o_orderkey", 3).alias("mode"))
 
 
 WORDS_N = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
@@ -451,13 +464,13 @@ def sft_validation_summary(spark, sf):
 
 @query(
     "token_set_jaccard",
-    f"""WITH c AS (SELECT a.conv_id, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
-    t AS (SELECT conv_id, list_distinct(regexp_extract_all(x, '[a-z]+')) AS a, list_distinct(regexp_extract_all(y, '[a-z]+')) AS b FROM c)
+    f"""WITH c AS (SELECT a.conv_id, a.text AS x, b.text AS y FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 1 WHERE a.turn = 0),
+    t AS (SELECT conv_id, list_distinct(regexp_extract_all(x, '[a-z]+')) AS a, list_distinct(regexp_extract_all(coalesce(y, ''), '[a-z]+')) AS b FROM c)
     SELECT conv_id, {sq("CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END")} AS jaccard FROM t""",
 )
 def token_set_jaccard(spark, sf):
-    rows = messages(spark, sf).filter(F.size("messages") > 1)
-    x, y = (F.get("messages", F.lit(i))["content"] for i in (0, 1))
+    rows = messages(spark, sf)
+    x, y = (F.coalesce(F.get("messages", F.lit(i))["content"], F.lit("")) for i in (0, 1))
     return rows.select("conv_id", rnd(L.jaccard(x, y, "[a-z]+")).alias("jaccard"))
 
 

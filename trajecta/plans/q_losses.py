@@ -4,6 +4,7 @@
 from pyspark.sql import functions as F
 
 from ..derive import SAMPLES_SQL, TOKENS_SQL, trajectories
+from ..functions.arrays import asum, mask_count
 from ..operators import advantages as A
 from ..operators import correction as C
 from ..operators import losses as L
@@ -225,3 +226,16 @@ def loss_sft(spark, sf):
     return rounded(L.sft_loss(trajectories(spark, sf)))
 
 
+def ratio_loss(df):
+    """A sample user loss: minus the advantage times the ratio, averaged over the tokens of a step."""
+    def one(t):
+        return -t["advantages"] * F.exp(t["log_probs"] - t["old_log_probs"]) * t["response_mask"]
+
+    tokens = F.transform(F.arrays_zip("advantages", "log_probs", "old_log_probs", "response_mask"), one)
+    return df.groupBy("step").agg((F.sum(asum(tokens)) / F.sum(mask_count("response_mask"))).alias("pg_loss"))
+
+
+@query("hook_custom_loss", f"{TA} SELECT step, {sq('sum(-a*exp(lr)*m)/sum(m)')} AS pg_loss FROM ta GROUP BY step")
+def hook_custom_loss(spark, sf):
+    L.register_loss("ratio", ratio_loss)
+    return rounded(L.policy_loss(credited(spark, sf), "ratio"))

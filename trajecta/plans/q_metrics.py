@@ -99,13 +99,14 @@ def validation_sections(spark, sf):
 @query(
     "validation_merged",
     f"""WITH {VALIDATION_SQL}, u AS (SELECT * FROM val WHERE pos % 2 = 0 UNION ALL SELECT * FROM val WHERE pos % 2 <> 0),
-    m AS (SELECT data_source, uid, var, count(*) AS n, avg(value) AS mu FROM u GROUP BY ALL)
-    SELECT data_source, var, 'mean@' || n AS metric, {sq("avg(mu)")} AS value FROM m GROUP BY ALL""",
+    m AS (SELECT data_source, uid, var, count(*) AS n, avg(value) AS mu, stddev_pop(value) AS sd FROM u GROUP BY ALL)
+    SELECT data_source, var, 'mean@' || n AS metric, {sq("avg(mu)")} AS value FROM m GROUP BY ALL
+    UNION ALL SELECT data_source, var, 'std@' || n, {sq("avg(sd)")} FROM m WHERE n > 1 GROUP BY ALL""",
 )
 def validation_merged(spark, sf):
     rows = long_rows(spark, sf)
     both = V.merge_results(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 <> 0"))
-    out = V.across_prompts(V.per_prompt_mean_std(both)).filter("metric LIKE 'mean%'")
+    out = V.across_prompts(V.per_prompt_mean_std(both))
     return out.select("data_source", "var", "metric", rnd("value").alias("value"))
 
 
@@ -351,3 +352,26 @@ def achieved_flops_dense(spark, sf):
 )
 def achieved_flops_sliding(spark, sf):
     return rounded(S.achieved_flops(lengths(spark, sf), SLIDING, 989.0))
+
+
+VISION_EXPERTS = dict(
+    model_type="qwen3_vl_moe",
+    text_config=dict(
+        hidden_size=2048, vocab_size=151936, num_hidden_layers=48, num_key_value_heads=4, num_attention_heads=32, head_dim=128,
+        moe_intermediate_size=768, num_experts=128, num_experts_per_tok=8,
+    ),
+)
+
+
+@query(
+    "achieved_flops_experts",
+    f"""{LEN_SQL} SELECT step, {sq("tf")} AS tflops, {sq("tf/989")} AS mfu FROM (SELECT step,
+      (6.0::DOUBLE*((2048*768*8*3 + 2048*128 + 2048*(4096+512+512+4096))*48::BIGINT + 151936*2048*2::BIGINT)*sum(n) + 12.0::DOUBLE*sum(n*n)*128*32*48)/2.5::DOUBLE/1e12::DOUBLE AS tf FROM l GROUP BY step)""",
+)
+def achieved_flops_experts(spark, sf):
+    return rounded(S.achieved_flops(lengths(spark, sf), VISION_EXPERTS, 989.0))
+
+
+@query("achieved_flops_unknown", f"{LEN_SQL} SELECT step, 0.0::DOUBLE AS tflops, 0.0::DOUBLE AS mfu FROM l GROUP BY step")
+def achieved_flops_unknown(spark, sf):
+    return rounded(S.achieved_flops(lengths(spark, sf), {**DENSE, "model_type": "unlisted"}, 989.0))

@@ -47,17 +47,17 @@ LEXICAL = f"""dt AS (SELECT doc_id, text, {SPLIT} AS t FROM documents), n AS (SE
     tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY doc_id, dl, term),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     qt AS (SELECT item_id AS query_id, unnest(list_distinct({SPLIT})) AS term FROM benchmark),
-    s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5)/(df + 0.5)) * tf*1.9/(tf + 0.9*(0.6 + 0.4*dl/avgdl))) AS s FROM qt JOIN df USING (term) JOIN tf USING (term), n GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5)/(df + 0.5)) * (tf*1.9/(tf + 0.9*(0.6 + 0.4*dl/avgdl))) ORDER BY term) AS s FROM qt JOIN df USING (term) JOIN tf USING (term), n GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM s)"""
 
 
 @query(
     "retrieval_lexical_scores",
-    f"WITH {LEXICAL} SELECT query_id, CAST(rank AS INTEGER) AS rank, {sq('s', 5)} AS score FROM r WHERE rank <= {K}",
+    f"WITH {LEXICAL} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, {sq('s', 5)} AS score FROM r WHERE rank <= {K}",
 )
 def retrieval_lexical_scores(spark, sf):
     docs, queries = corpus(spark, sf)
-    return R.lexical_top_k(docs, queries, K).select("query_id", "rank", rnd("score", 5).alias("score"))
+    return R.lexical_top_k(docs, queries, K).select("query_id", "rank", "doc_id", rnd("score", 5).alias("score"))
 
 
 def hits(spark, sf):
@@ -87,9 +87,12 @@ def retrieval_formatted(spark, sf):
     return R.with_status(asked, R.formatted(hits(spark, sf)))
 
 
-@query("validation_sample_log")
+@query(
+    "validation_sample_log",
+    "SELECT text AS input FROM (SELECT text FROM documents ORDER BY md5('42:' || coalesce(text, '')), text LIMIT 20)",
+)
 def validation_sample_log(spark, sf):
-    rows = table(spark, sf, "documents").select(F.col("text").alias("input"), "doc_id")
+    rows = table(spark, sf, "documents").select(F.col("text").alias("input"))
     return R.validation_samples(rows, 20)
 
 
@@ -134,6 +137,33 @@ def stream_bounded_buffer(spark, sf):
     return Z.newest(out, ["queue"])
 
 
+@query(
+    "stream_put_results",
+    f"""WITH {STREAM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY ts, sample_id) AS r FROM st)
+    SELECT queue, sample_id, r <= 64 AS put_ok, least(r, 64) AS queue_size FROM r""",
+)
+def stream_put_results(spark, sf):
+    stream = stream_columns(events_stream(spark, sf)).withColumn("op", F.lit("put"))
+    out = Z.run_to_files(Z.put_results(stream, 64), *places(spark, "puts"))
+    return out.select("queue", "sample_id", "put_ok", "queue_size")
+
+
+@query(
+    "stream_staleness_gate_state",
+    f"""WITH {STREAM_SQL}, e AS (SELECT *, CASE WHEN sample_id % 50 = 0 THEN 'version' WHEN sample_id % 9 = 0 THEN 'resume' ELSE 'start' END AS kind FROM st),
+    i AS (SELECT *, sum((kind = 'version')::INT) OVER (PARTITION BY queue ORDER BY ts, sample_id) AS island FROM e),
+    c AS (SELECT *, sum((kind = 'start')::INT) OVER (PARTITION BY queue, island ORDER BY ts, sample_id) + CASE WHEN island > 0 THEN 6 ELSE 0 END AS n FROM i)
+    SELECT queue, sample_id, CAST(n AS BIGINT) AS staleness_samples, n >= 30 AS pause FROM c WHERE kind <> 'version'""",
+)
+def stream_staleness_gate_state(spark, sf):
+    """Every fiftieth event changes the version, with six samples still carried."""
+    kind = F.when(F.col("sample_id") % 50 == 0, "version").when(F.col("sample_id") % 9 == 0, "resume").otherwise("start")
+    carried = {"in_flight": 2, "cancelled": 1, "queue_size": 3}
+    events = stream_columns(events_stream(spark, sf)).withColumn("kind", kind).withColumns({k: F.lit(v) for k, v in carried.items()})
+    gate = Z.staleness_gate_stream(events, Z.max_required(10, 0.5, 2), 1000)
+    return Z.run_to_files(gate, *places(spark, "gate")).select("queue", "sample_id", "staleness_samples", "pause")
+
+
 @query(
     "stream_buffer_contents",
     f"""WITH {STREAM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY ts, sample_id) AS r, count(*) OVER (PARTITION BY queue) AS n FROM st)
@@ -236,7 +266,12 @@ def hook_grouped_reduce(spark, sf):
     return out.select("event_type", rnd(F.col("hi") - F.col("lo")).alias("spread"))
 
 
-@query("hook_curriculum_sampler")
+@query(
+    "hook_curriculum_sampler",
+    """WITH w AS (SELECT doc_id, 1 / (avg(quality) + 0.1) AS w FROM labels GROUP BY doc_id),
+    u AS (SELECT doc_id, source, CAST('0x' || substr(md5('5:' || doc_id), 1, 10) AS BIGINT) / 1099511627776.0::DOUBLE AS u FROM documents)
+    SELECT doc_id, source FROM (SELECT doc_id, source FROM u LEFT JOIN w USING (doc_id) ORDER BY -ln(u + 1e-12) / coalesce(w, 1.0), doc_id LIMIT 50)""",
+)
 def hook_curriculum_sampler(spark, sf):
     sampler = CurriculumSampler("doc_id", "quality")
     sampler.update(table(spark, sf, "labels").select("doc_id", "quality"))

@@ -154,6 +154,26 @@ def text_locate_answer(spark, sf):
     return responses(spark, sf).select("doc_id", a.alias("a")).select("doc_id", "a.matched", "a.answer")
 
 
+@query(
+    "text_locate_answer_phrases",
+    """SELECT doc_id, doc_id % 6 < 5 AS matched, CASE WHEN doc_id % 6 < 5 THEN CAST(doc_id AS VARCHAR) ELSE 'no marker ' || doc_id END AS answer FROM documents""",
+)
+def text_locate_answer_phrases(spark, sf):
+    """Six ways to state an answer, five of them marked."""
+    n = F.col("doc_id").cast("string")
+    forms = [
+        F.concat(F.lit("So we add. Answer: "), n),
+        F.concat(F.lit("Thus the answer is "), n, F.lit(". That is all")),
+        F.concat(F.lit("First. The answers are "), n),
+        F.concat(n, F.lit(" is the answer")),
+        F.concat(F.lit("We get \\boxed{"), n, F.lit("}")),
+        F.concat(F.lit("no marker "), n),
+    ]
+    text = F.get(F.array(*forms), (F.col("doc_id") % 6).cast("int"))
+    rows = table(spark, sf, "documents").select("doc_id", N.locate_answer(text).alias("a"))
+    return rows.select("doc_id", "a.matched", "a.answer")
+
+
 @query(
     "reward_geometry",
     with_res(

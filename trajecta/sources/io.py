@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.grouping import seeded_hash
+from ..operators.grouping import seeded_digest
 
 
 def read_datasets(spark: SparkSession, files: list[str], schema: T.StructType | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def cap_rows(df: DataFrame, n: int, key: str, shuffle: bool = False, seed: int =
     """The first n rows by key, or n rows chosen by seeded hash; n < 0 keeps all."""
     if n < 0:
         return df
-    return df.orderBy(*([seeded_hash(seed, key)] if shuffle else []), key).limit(n)
+    return df.orderBy(*([seeded_digest(seed, key)] if shuffle else []), key).limit(n)
 
 
 def sft_rows(df: DataFrame, prompt_path: str, response_path: str) -> DataFrame:
@@ -56,9 +56,15 @@ def dump_rollouts(df: DataFrame, path: str, extras: dict[str, DataFrame] | None
 
 
 def load_rollouts(spark: SparkSession, path: str, schema: T.StructType, mask: str | None = None) -> DataFrame:
-    """Dumped rollouts with a text mask applied to string columns; unread steps are pruned by partition."""
+    """Dumped rollouts in numeric step order with a text mask on string columns; unread steps are pruned.
+
+    `sample_index` numbers the rows of a step in the order they were dumped (by file, then place in the file).
+    """
     df = spark.read.schema(schema).json(path)
-    return mask_text(df, mask) if mask else df
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    df = df.withColumn("__at", place)
+    df = df.withColumn("sample_index", F.row_number().over(Window.partitionBy("step").orderBy("__at")) - 1).drop("__at")
+    return (mask_text(df, mask) if mask else df).orderBy("step", "sample_index")
 
 
 def mask_text(df: DataFrame, pattern: str) -> DataFrame:
@@ -83,13 +89,16 @@ def order_rollouts(df: DataFrame, descending: bool = True) -> DataFrame:
 
 
 def load_eval_statistics(spark: SparkSession, root: str, fields: list[str], max_checkpoint: int | None = None) -> DataFrame:
-    """One row per (model, step) from `<root>/<model>/checkpoint<step>/*.json` result files."""
+    """One row per (model, step) from `<root>/<model>/checkpoint<step>/*.json` result files.
+
+    Folders written by a partitioned writer, `model=<model>/checkpoint=<step>`, are read alike.
+    """
     schema = T.StructType([T.StructField("statistics", T.StructType([T.StructField(f, T.DoubleType()) for f in fields]))])
     raw = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/checkpoint*/*.json")
-    path = F.col("_metadata.file_path")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     rows = raw.select(
-        F.regexp_extract(path, r"([^/]+)/checkpoint\d+/[^/]+$", 1).alias("model"),
-        F.regexp_extract(path, r"/checkpoint(\d+)/[^/]+$", 1).cast("long").alias("step"),
+        F.regexp_extract(path, r"/(?:model=)?([^/]+)/checkpoint=?\d+/[^/]+$", 1).alias("model"),
+        F.regexp_extract(path, r"/checkpoint=?(\d+)/[^/]+$", 1).cast("long").alias("step"),
         "statistics.*",
     )
     if max_checkpoint is not None:

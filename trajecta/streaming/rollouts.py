@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,6 +57,43 @@ BUFFER = "queue string, queue_size long, produced long, consumed long, dropped l
 STATE = "items array<long>, produced long, consumed long, dropped long"
 
 
+PUT = "queue string, sample_id long, put_ok boolean, queue_size long, trigger_no long"
+PUT_STATE = "items array<long>, triggers long"
+
+
+def _put_step(capacity: int):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        items, triggers = ([], 0) if not state.exists else state.get
+        items, told = deque(items), []
+        events = pd.concat(list(frames)).sort_values(["ts", "sample_id"], kind="stable")
+        for op, sample in zip(events["op"], events["sample_id"]):
+            if op == "get":
+                if items:
+                    items.popleft()
+                continue
+            full = len(items) >= capacity
+            if full:
+                items.popleft()
+            items.append(int(sample))
+            told.append((key[0], int(sample), not full, len(items), triggers))
+        state.update((list(items), triggers + 1))
+        yield pd.DataFrame(told, columns=["queue", "sample_id", "put_ok", "queue_size", "trigger_no"])
+
+    return step
+
+
+def put_results(events: DataFrame, capacity: int) -> DataFrame:
+    """One row per put of the bounded buffer: whether it was reported as successful, and the size after it.
+
+    A put into a full queue displaces the oldest sample and reports failure.  Events of a queue are taken in
+    time order inside a trigger; one that arrives in a later trigger is applied after those of earlier ones.
+    """
+    rows = events.select("queue", "ts", "sample_id", "op")
+    return rows.groupBy("queue").applyInPandasWithState(
+        _put_step(capacity), PUT, PUT_STATE, "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def _buffer_step(capacity: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         items, produced, consumed, dropped = ([], 0, 0, 0) if not state.exists else state.get
@@ -84,7 +122,8 @@ def _buffer_step(capacity: int):
 
 def bounded_buffer(events: DataFrame, capacity: int) -> DataFrame:
     """Drop-oldest queue per key over put and get events; the state is the queue itself, never longer than
-    the capacity.  Events are taken in time order inside a trigger."""
+    the capacity.  Events are taken in time order inside a trigger; one that arrives in a later trigger is
+    applied after those of earlier ones."""
     rows = events.select("queue", "ts", "sample_id", "op")
     return rows.groupBy("queue").applyInPandasWithState(
         _buffer_step(capacity), BUFFER, STATE, "update", GroupStateTimeout.NoTimeout
@@ -138,13 +177,51 @@ def staleness_gate(
     ).drop("__r")
 
 
+GATE = "queue string, sample_id long, staleness_samples long, pause boolean"
+GATE_STATE = "count long, queue_size long"
+
+
+def _gate_step(limit: int, max_queue: int):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, queued = (0, 0) if not state.exists else state.get
+        told = []
+        events = pd.concat(list(frames)).sort_values(["ts", "sample_id"], kind="stable")
+        for kind, sample, active, cancelled, size in zip(
+            events["kind"], events["sample_id"], events["in_flight"], events["cancelled"], events["queue_size"]
+        ):
+            queued = int(size)
+            if kind == "version":
+                count = int(active) + int(cancelled) + queued
+                continue
+            count += kind == "start"
+            told.append((key[0], int(sample), count, queued >= max_queue or count >= limit))
+        state.update((int(count), queued))
+        yield pd.DataFrame(told, columns=["queue", "sample_id", "staleness_samples", "pause"])
+
+    return step
+
+
+def staleness_gate_stream(events: DataFrame, limit: int, max_queue: int) -> DataFrame:
+    """The gate as a stream: one row per sample that starts or resumes, with the count after it and the pause flag.
+
+    Events are (queue, ts, sample_id, kind, in_flight, cancelled, queue_size).  A `start` adds one, a `resume`
+    adds none, and a `version` change sets the count to the work still carried: in flight, cancelled and
+    queued.  The state of a queue is two numbers.
+    """
+    rows = events.select("queue", "ts", "sample_id", "kind", "in_flight", "cancelled", "queue_size")
+    return rows.groupBy("queue").applyInPandasWithState(
+        _gate_step(limit, max_queue), GATE, GATE_STATE, "append", GroupStateTimeout.NoTimeout
+    )
+
+
 # --- rollups and counters -----------------------------------------------------------------------------------------
 
 
 def interval_stream(log: DataFrame, keys: list[str], watermark: str | None = None) -> DataFrame:
     """Running rollup per (interval, metric) by the rule of its name.
 
-    With a watermark, intervals become event-time windows of ten minutes and late rows are dropped; that is
+    Without one the state holds every interval seen, as a late row may belong to any of them; a long-running
+    job sets a watermark.  With it, intervals become event-time windows of ten minutes and late rows are dropped; that is
     an addition to the plain version, which never drops.
     """
     if watermark:
@@ -177,13 +254,9 @@ def staleness_stream(samples: DataFrame, current_version: int) -> DataFrame:
 
 
 def assembly_stream(samples: DataFrame, path: str, checkpoint: str, stats) -> DataFrame:
-    """Per micro-batch statistics by a batch operator `stats(frame)`, appended under `path`."""
-
-    def sink(batch: DataFrame, number: int) -> None:
-        stats(batch).withColumn("batch_number", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part={number}")
+    """Statistics of every training batch by a batch operator `stats(frame)`, one final row per batch.
 
-    query = (
-        samples.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
-    )
-    query.awaitTermination()
-    return samples.sparkSession.read.parquet(path).drop("part")
+    Samples are stored under `path` as they arrive, and a batch is measured over all of its stored samples, so
+    one that is spread over several triggers still gives one row.
+    """
+    return stats(run_to_files(samples, path, checkpoint).drop("batch_number"))
