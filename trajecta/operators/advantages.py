@@ -401,7 +401,7 @@ def resample(df: DataFrame, seed: int = 0, method: str = "pow", weight_pow: floa
     """Draw as many rows per step as it has, with replacement, with probability proportional to weight.
 
     Returns (step, draw_id, sample_id).  Each row owns an interval of [0, 1) and each draw is a point;
-    both are cut into 4096 slices per step, the owner of a point is the last interval start before it,
+    both are cut into 65,536 slices per step, the owner of a point is the last interval start before it,
     and a table with one row per slice carries the owner over slice borders.
     """
     rows = resample_weights(df, method, weight_pow).select("step", ROW, "weight")
@@ -426,7 +426,7 @@ def resample(df: DataFrame, seed: int = 0, method: str = "pow", weight_pow: floa
     points = (
         starts.select("step", "x", "owner", none.alias("draw_id"))
         .unionByName(draws.select("step", "x", none.alias("owner"), "draw_id"))
-        .withColumn("__cell", F.least(F.floor(F.col("x") * 4096), F.lit(4095)))
+        .withColumn("__cell", F.least(F.floor(F.col("x") * 65536), F.lit(65535)))
     )
     in_cell = (
         Window.partitionBy("step", "__cell")

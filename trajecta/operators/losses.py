@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import EPS, asum, clamp, mask_count, masked_sum, zmap
 from .correction import rollout_correction
-from .grouping import ACCURACY, join_group_table, seeded_hash, with_group_stats, with_quantile_bucket, with_rank
+from .grouping import ACCURACY, hash_bucket, join_group_table, seeded_hash, with_group_stats, with_quantile_bucket, with_rank
 
 M = "response_mask"
 BASE = ["old_log_probs", "log_probs", "advantages", M]
@@ -311,7 +311,7 @@ def covariance_clip(
     )
     limit = F.greatest(F.floor(F.col("__n") * F.lit(ratio)), F.lit(1))
     picked = tokens.filter("candidate").withColumn("__h", seeded_hash(seed, "sample_id", "pos"))
-    picked = _top(picked, F.shiftright("__h", 52), [F.col("__h"), F.col("sample_id"), F.col("pos")], limit)
+    picked = _top(picked, hash_bucket(F.col("__h")), [F.col("__h"), F.col("sample_id"), F.col("pos")], limit)
     columns = ["step", "sample_id", "width", "raw", "kl"]
     tokens = tokens.filter("NOT candidate").select(*columns, F.lit(False).alias("chosen")).unionByName(
         picked.select(*columns, "chosen")

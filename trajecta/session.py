@@ -47,8 +47,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage and survives executor loss."""
-    path = f"{checkpoint_root(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = path or staging_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staging_path(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/staged-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
