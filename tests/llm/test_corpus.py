@@ -174,13 +174,25 @@ def test_language_weights_equal_kernel_form():
 
 
 def test_toxicity_held_out(spark):
-    truth = {r.doc_id: r.toxic for r in queries.table(spark, SF, "labels").collect()}
-    english = {r.doc_id for r in queries.table(spark, SF, "documents").filter("lang = 'en'").collect()}
-    rows = queries.op9(spark, SF).collect()
-    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
-    held = [r for r in rows if r.held_out and r.doc_id in truth and r.doc_id in english]
-    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
-    assert sum(truth[r.doc_id] for r in held) > 3
+    """Of the held-out rows few clean ones are marked and most toxic ones are (some say nothing toxic any more)."""
+    folder = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in queries.table(spark, folder, "labels").collect()}
+    rows = queries.op9(spark, folder).collect()
+    assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    toxic = [r.predicted for r in held if truth[r.doc_id]]
+    clean = [r.predicted for r in held if not truth[r.doc_id]]
+    assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.01 * len(clean) and len(toxic) > 50
+
+
+def test_toxicity_copies_count_once():
+    rng = np.random.default_rng(6)
+    texts = [np.unique(rng.integers(0, 1 << 20, 60)).astype(np.int32) for _ in range(30)]
+    copies = [np.unique(np.r_[texts[0][:-3], rng.integers(0, 1 << 20, 3)]).astype(np.int32) for _ in range(9)]
+    share = toxicity.copy_shares(texts + copies + [np.zeros(0, np.int32)])
+    assert np.allclose(share[[0, *range(30, 39)]], 0.1) and np.allclose(share[[*range(1, 30), 39]], 1)
+    label = np.array([1.0] + [0.0] * 29 + [1.0] * 9 + [0.0])
+    assert not len(toxicity.screened(texts + copies + [np.zeros(0, np.int32)], label, share))
 
 
 def test_machine_learns_pairs():
@@ -284,8 +296,8 @@ def test_pipeline_brute_force(spark, sf):
     wanted = sorted(docs)
     model = language_id.fit(queries.table(spark, sf, "documents").filter(id_remainder("doc_id", 4) != 2))
     said = {r.doc_id: r for r in language_id.classify(queries.table(spark, sf, "documents"), model, ["doc_id"]).collect()}
-    kept = [i for i in wanted if said[i].lang_pred != "und" and said[i].score >= 0.5]
-    assert len(kept) >= 0.97 * len(wanted)
+    kept = [i for i in wanted if said[i].lang_pred != "und"]
+    assert {i for i in wanted if i not in kept} == {i for i in wanted if not any(c.isalpha() for c in docs[i].text or "")}
     last = {docs[i].text or "": i for i in kept}
     kept = sorted(last.values())
     prints = {i: plain_simhash(docs[i].text) for i in kept}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.session import staged
+from trajecta.session import discard, staged, staging_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -52,8 +52,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     which keeps lineage short and survives lost executors.  Only two numbers a pass reach the driver.
     Nodes without links, nulls and self-links give no row.
     """
+    spark = edges.sparkSession
     oriented = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    current = staged(oriented.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    oriented = oriented.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
+    path = staging_path(spark)
+    current = staged(oriented, path)
     state = _state(current)
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -62,8 +65,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = large.filter(F.col("u") != F.col("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = staged(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
-        next_state = _state(following)
+        next_path = staging_path(spark)
+        current = staged(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), next_path)
+        next_state = _state(current)
+        discard(spark, path)
         if next_state == state:
-            return following.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        current, state = following, next_state
+            return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        state, path = next_state, next_path

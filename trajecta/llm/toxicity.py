@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20
 ROWS_PER_CLASS = 4000  # bound of the training sample
 MAX_TERMS = 4096  # terms with weights
-MIN_DOCS = 5
-MIN_Z = 4.0  # a term is modelled if its share among toxic rows deviates by this many standard errors
+COPY, COPY_BANDS, COPY_ROWS = 0.5, 16, 5
+CHANCE = 1.0  # expected number of terms modelled by chance alone, over all terms of the sample
 FACTORS = 4
-EPOCHS, RATE, PENALTY, SEED = 40, 0.1, 2e-3, 7
+STEPS, RATE, PENALTY, SEED = 400, 0.1, 1e-5, 7
 # Bytes that part terms: ASCII other than letters and digits.  Other scripts keep their bytes.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -28,18 +28,61 @@ def hashed_terms(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((crc32(t) % BUCKETS for t in terms), np.int32, len(terms)))
 
 
-def screened(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Buckets that tell the classes apart: by the z value of a term's document share, the strongest first."""
+def copy_shares(rows: list[np.ndarray]) -> np.ndarray:
+    """One over the size of each row's group of copies, so that copies of one text count once together.
+
+    Rows whose term sets have a Jaccard index of COPY or more are copies; MinHash bands find them.  The sample is
+    bounded, so this is a small local step.
+    """
+    rng = np.random.default_rng(SEED)
+    odd, shift = rng.integers(1, 1 << 63, (2, COPY_BANDS * COPY_ROWS), dtype=np.uint64) | np.uint64(1)
+    slots = np.zeros((len(rows), COPY_BANDS * COPY_ROWS), np.uint64)
+    for i, terms in enumerate(rows):
+        if len(terms):
+            mixed = (terms.astype(np.uint64)[:, None] + np.uint64(1)) * odd + shift
+            mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+            slots[i] = (mixed ^ mixed >> np.uint64(29)).min(0)
+    parent = np.arange(len(rows))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for band in np.split(slots, COPY_BANDS, axis=1):
+        first: dict[bytes, int] = {}
+        for i, key in enumerate(map(bytes, band)):
+            j = first.setdefault(key, i)
+            a, c = root(j), root(i)
+            if a != c:
+                common = len(np.intersect1d(rows[i], rows[j], assume_unique=True))
+                if common >= COPY * (len(rows[i]) + len(rows[j]) - common):
+                    parent[max(a, c)] = min(a, c)
+    group = np.array([root(i) for i in range(len(rows))], np.int64)
+    return 1 / np.bincount(group, minlength=max(1, len(rows)))[group]
+
+
+def screened(rows: list[np.ndarray], toxic: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Buckets that tell the classes apart.
+
+    Rows count by their share in their group of copies.  A term stays if the likelihood ratio of its toxic share against the share of all rows would be that large by
+    chance for fewer than CHANCE of all the terms seen (the tail of a chi-square, divided by their number).
+    The strongest MAX_TERMS are kept.
+    """
     if not len(rows):
         return np.zeros(0, np.int32)
     every = np.concatenate(rows)
-    labels = np.repeat(toxic, [len(r) for r in rows])
+    sizes = [len(r) for r in rows]
     seen, place = np.unique(every, return_inverse=True)
-    n, hits = np.bincount(place), np.bincount(place, labels)
-    base = toxic.mean()
-    z = np.abs(hits - n * base) / np.sqrt(np.maximum(n * base * (1 - base), 1e-9))
-    chosen = np.flatnonzero((n >= MIN_DOCS) & (z >= MIN_Z))
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")][:MAX_TERMS]
+    n, hits = np.bincount(place, np.repeat(share, sizes)), np.bincount(place, np.repeat(share * toxic, sizes))
+    base = np.average(toxic, weights=share)
+    if not 0 < base < 1:
+        return np.zeros(0, np.int32)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = hits * np.log(hits / (n * base)), (n - hits) * np.log(np.maximum(n - hits, 0) / (n * (1 - base)))
+    ratio = 2 * sum(np.nan_to_num(t, nan=0.0) for t in terms)
+    chosen = np.flatnonzero(ratio >= 2 * np.log(len(seen) / CHANCE))
+    chosen = chosen[np.argsort(-ratio[chosen], kind="stable")][:MAX_TERMS]
     return np.sort(seen[chosen]).astype(np.int32)
 
 
@@ -50,13 +93,20 @@ def machine(x: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray)
 
 
 def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weighted logistic loss with an L2 penalty, full-batch AdaGrad; the start is seeded."""
+    """Weighted logistic loss with an L2 penalty, full-batch AdaGrad.
+
+    Linear weights start at the log odds a term has on its own, so that one of many terms that mostly occur
+    together is not left without a weight; factors start at small seeded numbers.
+    """
     rng = np.random.default_rng(SEED)
-    bias, linear = 0.0, np.zeros(x.shape[1])
+    scaled = weight / weight.mean()
+    toxic, clean = (scaled * y) @ x + 0.5, (scaled * (1 - y)) @ x + 0.5
+    bias = float(np.log(((scaled * y).sum() + 0.5) / ((scaled * (1 - y)).sum() + 0.5)))
+    linear = np.log(toxic / clean) - bias
     factors = rng.normal(0, 0.05, (x.shape[1], FACTORS))
     sums = [1e-8, np.full_like(linear, 1e-8), np.full_like(factors, 1e-8)]
     weight = weight / weight.sum()
-    for _ in range(EPOCHS * 10):
+    for _ in range(STEPS):
         mixed = x @ factors
         margin = bias + x @ linear + 0.5 * (mixed**2 - x @ factors**2).sum(1)
         slope = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
@@ -107,11 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         return None
     toxic = np.array([r["toxic"] for r in rows], float)
     sets = [np.asarray(r["terms"], np.int32) for r in rows]
-    buckets = screened(sets, toxic)
+    share = copy_shares(sets)
+    buckets = screened(sets, toxic, share)
     x = np.zeros((len(rows), len(buckets)), np.float32)
     for i, s in enumerate(sets):
         x[i, np.flatnonzero(np.isin(buckets, s, assume_unique=True))] = 1
-    bias, linear, factors = train(x, toxic, np.array([r["weight"] for r in rows]))
+    bias, linear, factors = train(x, toxic, share * np.array([r["weight"] for r in rows]))
     return {"buckets": buckets, "bias": bias, "linear": linear, "factors": factors}
 
 
