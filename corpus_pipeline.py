@@ -13,12 +13,14 @@ from trajecta.session import checkpoint_root
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no learned language: null or letterless texts, and those no classifier accepts."""
+    """Drops documents that have no language: null texts and texts without a letter.
+
+    A low score alone rejects nothing, as clean documents of a word or two have one.
+    """
     names = docs.columns
     model = language_id.fit(docs.filter(id_remainder("doc_id", 4) != 2))
     labelled = language_id.classify(docs, model, names, label="__lang_pred", value="__score")
-    accepted = (F.col("__lang_pred") != language_id.UNDETERMINED) & (F.col("__score") >= 0.5)
-    return labelled.filter(accepted).select(*names)
+    return labelled.filter(F.col("__lang_pred") != language_id.UNDETERMINED).select(*names)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
