@@ -8,18 +8,19 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 11
-VARIANTS = 4  # segmentations a word may have within one encoding
-CACHED = 200_000  # words a task remembers for each variant
+VARIANTS = 2  # segmentations a word may have within one encoding
+CACHED = 150_000  # words of a generation that a task remembers for each variant
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-_MIX, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+BLOCK, SHORT = 16, 128
+_LANE, _MASK = 0x7FFF, (1 << 64) - 1
 
 
 class Pieces:
@@ -41,66 +42,106 @@ class Pieces:
         self.raw = {i: bytes([b]) for b, i in self.byte.items()}
 
 
-def segment(word: str, pieces: Pieces, dropout: float, key: int) -> list[int]:
+def keyed_hashes(word: str, seed: int) -> list[int]:
+    """64-bit hashes of the word keyed by the seed, one for each BLOCK of start positions."""
+    data = word.encode("utf-8", "surrogatepass")
+    return [xxh64_intdigest(data, seed + (block << 32) & _MASK) for block in range(len(word) // BLOCK + 1)]
+
+
+def segment(word: str, pieces: Pieces, dropout: float, seed: int) -> list[int]:
     """Ids of one word.
 
-    The agenda holds every pair of neighbours that forms a piece, best score first, then leftmost.  A
-    candidate is skipped for good if the keyed hash of its span falls below the dropout; other candidates
-    may still cover the span.  Characters that end up outside the vocabulary become their bytes.
+    The agenda holds every pair of neighbours that forms a piece, best score first, then leftmost.  A candidate
+    is skipped for good if the 15 bits of the keyed hash that its span selects fall below the dropout; other
+    candidates may still cover the span.  Characters that end up outside the vocabulary become their bytes.
     """
+    limit = int(dropout * (_LANE + 1))
+    hashes = keyed_hashes(word, seed) if limit else []
+    symbols = (_short if len(word) <= SHORT else _long)(word, pieces.cost.get, limit, hashes)
+    out, ids = [], pieces.ids
+    for piece in symbols:
+        found = ids.get(piece)
+        if found is None:
+            out.extend(pieces.byte[b] for b in piece.encode("utf-8", "surrogatepass"))
+        else:
+            out.append(found)
+    return out
+
+
+def _short(word: str, find, limit: int, hashes: list[int]) -> list[str]:
+    """The agenda as a list of costs by place: for a few candidates the least is found faster than in a heap."""
+    symbols, none = list(word), float("inf")
+    ends = list(range(1, len(word) + 1))
+    costs = [find(a + b, none) for a, b in zip(symbols, symbols[1:])]
+    while costs:
+        low = min(costs)
+        if low == none:
+            break
+        i = costs.index(low)
+        left = ends[i - 1] if i else 0
+        if limit and hashes[left // BLOCK] >> (left * 11 + ends[i + 1] * 3) % 49 & _LANE < limit:
+            costs[i] = none
+            continue
+        symbols[i] = joined = symbols[i] + symbols[i + 1]
+        del symbols[i + 1], ends[i], costs[i]
+        if i < len(costs):
+            costs[i] = find(joined + symbols[i + 1], none)
+        if i:
+            costs[i - 1] = find(symbols[i - 1] + joined, none)
+    return symbols
+
+
+def _long(word: str, find, limit: int, hashes: list[int]) -> list[str]:
+    """The agenda as a heap; the same merges in the same order."""
     n = len(word)
-    cost = pieces.cost
-    limit = int(dropout * (1 << 64))
     end = list(range(1, n + 1))  # end of the symbol that starts here; 0 once merged away
     before = list(range(-1, n - 1))
-    agenda = [(cost[word[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if word[i : i + 2] in cost]
+    agenda = [(cost, i, i + 1, i + 2) for i in range(n - 1) if (cost := find(word[i : i + 2])) is not None]
     heapify(agenda)
     while agenda:
         _, left, middle, stop = heappop(agenda)
-        if end[left] != middle or middle >= n or end[middle] != stop:
+        if end[left] != middle or end[middle] != stop:
+            continue
+        if limit and hashes[left // BLOCK] >> (left * 11 + stop * 3) % 49 & _LANE < limit:
             continue
-        if limit:
-            x = (key ^ (left << 42 ^ middle << 21 ^ stop)) * _MIX & _MASK
-            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK
-            if x ^ x >> 32 < limit:
-                continue
         end[left], end[middle] = stop, 0
         if stop < n:
             before[stop] = left
-            joined = word[left : end[stop]]
-            if joined in cost:
-                heappush(agenda, (cost[joined], left, stop, end[stop]))
+            cost = find(word[left : end[stop]])
+            if cost is not None:
+                heappush(agenda, (cost, left, stop, end[stop]))
         if left:
             first = before[left]
-            joined = word[first:stop]
-            if joined in cost:
-                heappush(agenda, (cost[joined], first, left, stop))
+            cost = find(word[first:stop])
+            if cost is not None:
+                heappush(agenda, (cost, first, left, stop))
     out, at = [], 0
     while at < n:
-        piece = word[at : end[at]]
-        found = pieces.ids.get(piece)
-        if found is None:
-            out.extend(pieces.byte[b] for b in piece.encode("utf-8", "surrogatepass"))
-        else:
-            out.append(found)
+        out.append(word[at : end[at]])
         at = end[at]
     return out
 
 
 class _Memory(dict):
-    """Segmentations of one variant, computed on first use; emptied when full, which changes no result."""
+    """Segmentations of one variant as packed ids, computed on first use.
+
+    When full, the words of the last generation stay within reach and the older ones go; this bounds memory
+    and changes no result.
+    """
 
     def __init__(self, pieces: Pieces, dropout: float, seed: int, variant: int):
         super().__init__()
-        self.made = (pieces, dropout)
-        self.seed = seed * VARIANTS + variant
+        self.made = (pieces, dropout, seed * VARIANTS + variant)
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = np.array(segment(word, *self.made), np.int32).tobytes()
         if len(self) >= CACHED:
+            self.older = dict(self)
             self.clear()
-        pieces, dropout = self.made
-        key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed & _MASK) if dropout else 0
-        self[word] = found = segment(word, pieces, dropout, key)
+        self[word] = found
         return found
 
 
@@ -115,23 +156,23 @@ class Encoder:
     def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
         self.pieces = Pieces(path)
         self.memories = [_Memory(self.pieces, dropout, seed, v) for v in range(VARIANTS)]
-        self.mark = [self.pieces.byte[b] for b in SPACE.encode()]
-        self.seed = seed
+        self.mark = np.array([self.pieces.byte[b] for b in SPACE.encode()], np.int32).tobytes()
 
-    def encode(self, text: str, key: int = 0) -> list[int]:
-        out: list[int] = []
-        turn = key & 0xFFFF
+    def encode(self, text: str, key: int = 0) -> np.ndarray:
+        """Ids of the whole text; `key` decides which variant each word takes."""
+        packed: list[bytes] = []
+        memories, turn = self.memories, key & 0xFFFF
         for i, part in enumerate((" " + text).split(SPACE) if text else []):
             if i:
-                out += self.mark
+                packed.append(self.mark)
             for word in _WORDS(part.replace(" ", SPACE)):
                 turn = turn * 5 + 1 & 0xFFFF
-                out += self.memories[turn >> 8 & VARIANTS - 1][word]
-        return out
+                packed.append(memories[turn >> 8 & VARIANTS - 1][word])
+        return np.frombuffer(b"".join(packed), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text whose encoding this is."""
-        return decode(ids, self.pieces)
+        return decode(ids.tolist(), self.pieces)
 
 
 def decode(ids: list[int], pieces: Pieces) -> str:
@@ -167,8 +208,8 @@ def encode_texts(
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [np.asarray(encoder.encode(t, k), np.int32) for t, k in zip(texts, part.column(2).to_pylist())]
-                lossless = [encoder.decode(i.tolist()) == t for i, t in zip(ids, texts)]
+                ids = [encoder.encode(t, k) for t, k in zip(texts, part.column(2).to_pylist())]
+                lossless = [encoder.decode(i) == t for i, t in zip(ids, texts)]
                 lengths = np.array([len(i) for i in ids], np.int64)
                 ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
                 tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
