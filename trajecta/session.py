@@ -48,10 +48,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage and survives executor loss."""
-    path = path or staging_path(df.sparkSession)
+    """Write `df` once to the shared folder and read it back: cuts lineage and survives executor loss.
+
+    Shuffle files of earlier writes are not read again.  Spark's cleaner drops them when the driver collects its
+    garbage, which a roomy driver may not do for long, so it is asked to do so before the next write.
+    """
+    spark = df.sparkSession
+    path = path or staging_path(spark)
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def staging_path(spark: SparkSession) -> str:
