@@ -98,14 +98,18 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, m
     between the passes, and the per-source plan joins the rows without moving texts when it is small.
     """
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    rows = with_repeats(sized, mixing_plan(sized, seed, weights, max_epochs), seed)
+    rows = with_repeats(sized, staged(mixing_plan(sized, seed, weights, max_epochs)), seed)
     return rows.withColumn("taken", F.col("size") * F.col("repeats"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: every row as often as it is taken, columns unchanged."""
+    """The mix itself: every row as often as it is taken, columns unchanged.
+
+    The per-source plan is written first, so its size is known when the join is planned: a small one is broadcast
+    and no text is shuffled by source.
+    """
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    plan = mixing_plan(sized, seed).select(
+    plan = staged(mixing_plan(sized, seed)).select(
         F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("last_key").alias("__last")
     )
     extra = (draw_key(F.col("doc_id"), seed) <= F.col("__last")).cast("long")
