@@ -148,6 +148,82 @@ def test_license_rules(spark):
     ]
 
 
+PUBLISHED = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+}
+
+
+def test_published_headers(spark):
+    """The headers as published, plain and in comments; all their known sentences are used."""
+    marks = ["", " * ", "# ", "// ", ";; "]
+    texts = [(name, "\n".join(["Copyright 2020 The Authors", "", *h.split("\n")]).replace("\n", f"\n{m}")) for name, h in PUBLISHED.items() for m in marks]
+    found = scan(spark, [t for _, t in texts])
+    assert found == [(name, 0) for name, _ in texts]
+
+
+def test_short_license_forms(spark):
+    texts = [
+        "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;",
+        "/* SPDX-License-Identifier: BSD-3-Clause */\n#include <a.h>",
+        "# SPDX-License-Identifier: MIT\n\nimport os",
+        "This project is licensed under the MIT License.",
+        "Copyright 2020 Foo\nLicensed under the Apache License, Version 2.0\nSee LICENSE.",
+        "This file is licensed under the Apache\nLicense, Version 2.0.",
+    ]
+    assert [x for x, _ in scan(spark, texts)] == ["GPL-2.0-or-later", "BSD-3-Clause", "MIT", "MIT", "Apache-2.0", "Apache-2.0"]
+
+
 # --- chat -------------------------------------------------------------------------------------------------------
 
 

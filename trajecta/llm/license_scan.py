@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Normalised licence sentences (lower case, letters and digits, single spaces).
-REFERENCE_VERBS = ["licensed under", "released under", "distributed under", "this work is licensed under", "available under"]
+REFERENCE_VERBS = ["licensed under", "released under", "distributed under", "available under"]
+SUBJECTS = ["this work", "this project", "this file", "this software", "this program", "this code", "this library", "this package"]
 REFERENCES = {
     "apache2_ref": ["the apache license version 2 0", "apache license 2 0"],
     "mit_ref": ["the mit license", "mit license"],
@@ -22,9 +25,17 @@ REFERENCES = {
     "cc_by_nc_ref": ["cc by nc 4 0"],
     "cc0_ref": ["cc0 1 0"],
 }
+GRANT = "you can redistribute it and or modify it under the terms of the"
+FSF = "as published by the free software foundation"
+LATER = "of the license or at your option any later version"
 SENTENCES = {
     "apache2_comply": ["you may not use this file except in compliance with the license"],
-    "apache2_copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0"],
+    # The address mostly stands apart, below a blank line.
+    "apache2_copy": [
+        "you may obtain a copy of the license at",
+        "you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "you may obtain a copy of the license at https www apache org licenses license 2 0",
+    ],
     "apache2_asis": [
         "unless required by applicable law or agreed to in writing software distributed under the license is"
         " distributed on an as is basis without warranties or conditions of any kind either express or implied"
@@ -64,12 +75,27 @@ SENTENCES = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
         " products derived from this software without specific prior written permission"
     ],
-    "gpl_grant": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general"
-        " public license as published by the free software foundation"
-    ],
-    "gpl_or_later": ["either version 3 of the license or at your option any later version"],
+    # "This program is free software" ends at ":" or ";" in the published headers; so does the grant at ";".
+    "gpl_grant": [f"{free}{GRANT} gnu general public license {FSF}" for free in ("", "this program is free software ")],
+    "gpl_or_later": [f"either version 3 {LATER}"],
+    "gpl2_or_later": [f"either version 2 {LATER}"],
+    "gpl3_whole": [f"{GRANT} gnu general public license {FSF} either version 3 {LATER}"],
+    "gpl2_whole": [f"{GRANT} gnu general public license {FSF} either version 2 {LATER}"],
+    "gpl2_only": [f"{GRANT} gnu general public license version 2 {FSF}", f"{GRANT} gnu general public license {FSF} version 2"],
+    "lgpl_grant": [f"{GRANT} gnu lesser general public license {FSF}"],
+    "lgpl21_or_later": [f"either version 2 1 {LATER}"],
+    "lgpl3_whole": [f"{GRANT} gnu lesser general public license {FSF} either version 3 {LATER}"],
+    "lgpl21_whole": [f"{GRANT} gnu lesser general public license {FSF} either version 2 1 {LATER}"],
+    "mpl2_form": ["this source code form is subject to the terms of the mozilla public license v"],
+    "spdx": ["spdx license identifier"],
 }
+# SPDX identifiers, a sentence of their own behind "SPDX-License-Identifier:".
+SPDX = {
+    "Apache-2.0": [""], "MIT": [""], "ISC": [""], "BSD-3-Clause": [""], "BSD-2-Clause": [""], "MPL-2.0": [""],
+    "GPL-3.0": ["", "-only"], "GPL-3.0-or-later": [""], "GPL-2.0": ["", "-only"], "GPL-2.0-or-later": [""],
+    "LGPL-3.0": ["", "-only"], "LGPL-3.0-or-later": [""], "LGPL-2.1-or-later": [""],
+    "CC-BY-4.0": [""], "CC-BY-SA-4.0": [""], "CC-BY-NC-4.0": [""], "CC0-1.0": [""],
+}
 # Ordered rules: the first that fits takes its sentences, so longer sequences stand before their parts.
 RULES = [
     ("Apache-2.0", ["apache2_ref", "apache2_comply", "apache2_copy", "apache2_asis", "apache2_see"]),
@@ -80,6 +106,16 @@ RULES = [
     ("BSD-3-Clause", ["bsd_intro", "bsd_source", "bsd_binary", "bsd_names"]),
     ("BSD-2-Clause", ["bsd_intro", "bsd_source", "bsd_binary"]),
     ("GPL-3.0-or-later", ["gpl_grant", "gpl_or_later"]),
+    ("GPL-2.0-or-later", ["gpl_grant", "gpl2_or_later"]),
+    ("LGPL-3.0-or-later", ["lgpl_grant", "gpl_or_later"]),
+    ("LGPL-2.1-or-later", ["lgpl_grant", "lgpl21_or_later"]),
+    ("GPL-3.0-or-later", ["gpl3_whole"]),
+    ("GPL-2.0-or-later", ["gpl2_whole"]),
+    ("LGPL-3.0-or-later", ["lgpl3_whole"]),
+    ("LGPL-2.1-or-later", ["lgpl21_whole"]),
+    ("GPL-2.0", ["gpl2_only"]),
+    ("MPL-2.0", ["mpl2_form"]),
+    *[(name, ["spdx", f"spdx_{name}"]) for name in SPDX],
     ("Apache-2.0", ["apache2_ref"]),
     ("MIT", ["mit_ref"]),
     ("GPL-3.0", ["gpl3_ref"]),
@@ -94,15 +130,30 @@ RULES = [
     ("CC-BY-4.0", ["cc_by_ref"]),
     ("CC0-1.0", ["cc0_ref"]),
 ]
-# A wrapped sentence goes on in lower case, perhaps behind a comment mark; sentences end at line ends and stops.
-WRAPPED = r"([^.!?:;\s])[ \t]*\n[ \t*#/%-]*([a-z])"
+# A wrapped sentence goes on in lower case, or in a word that licences write in capitals and that starts no sentence,
+# perhaps behind a comment mark; sentences end at line ends and stops.
+CAPITALS = (
+    "IS|BASIS|WITHOUT|WARRANTY|WARRANTIES|OR|CONDITIONS|OF|ANY|KIND|EXPRESS|IMPLIED|INCLUDING|BUT|NOT|LIMITED|TO|AND|FITNESS|FOR"
+    "|PARTICULAR|PURPOSE|MERCHANTABILITY|NONINFRINGEMENT|PROVIDED|SOFTWARE|GNU|License|Version|General|Lesser|Public|Free"
+    "|Software|Foundation|Commons|Attribution|International|Apache|Mozilla"
+)
+MARKS = r"[ \t*#/%;-]*"
+# Nothing is joined to an SPDX line: its line end is kept in the first group.  The \b only parts what is no plain text.
+WRAPPED = (
+    rf"(SPDX-License-Identifier:[^\n]*\n{MARKS}|[^.!?:;\s])(?:[ \t]*\n{MARKS}|\b)"
+    rf"([a-z]|\(at your option|\(the .?(?:License|Software)|.?AS IS|(?:{CAPITALS})\b|[0-9]+\.[0-9]|[0-9]+ of\b)"
+)
 SENTENCE_END = r"[.!?;:]*[ \t]*\n\s*|[.!?;:]+[ \t]+"
 NOT_PLAIN = r"[^a-z0-9]+"
 
 
 def sentence_table() -> dict[str, str]:
     """Normalised sentence -> identifier."""
-    known = {f"{verb} {name}": key for key, names in REFERENCES.items() for name in names for verb in REFERENCE_VERBS}
+    verbs = REFERENCE_VERBS + [f"{s} is {verb}" for s in SUBJECTS for verb in REFERENCE_VERBS]
+    known = {f"{verb} {name}": key for key, names in REFERENCES.items() for name in names for verb in verbs}
+    known |= {f"{text} the license": key for text, key in known.items() if key == "apache2_ref"}
+    bare = {f"{name}{end}": f"spdx_{name}" for name, ends in SPDX.items() for end in ends}
+    known |= {re.sub(NOT_PLAIN, " ", text.lower()).strip(): key for text, key in bare.items()}
     return known | {text: key for key, texts in SENTENCES.items() for text in texts}
 
 
