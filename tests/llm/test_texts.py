@@ -280,3 +280,22 @@ def test_encode_texts(spark):
     df = docs_of(spark, [*ODD, None]).withColumn("ids", F.lit("clash"))
     rows = df.transform(sentencepiece_bpe.encode_texts).collect()
     assert len(rows) == len(ODD) + 1 and all(r.lossless and r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_dropout_draws_anew_at_every_place():
+    """Many segmentations of one word, each as the agenda with its own draws gives it, and the dropout met."""
+    encoder = sentencepiece_bpe.Encoder(seed=3)
+    found = {tuple(encoder.encode(f"{'a ' * n}internationalization", key).tolist()[n:]) for n in (0, 7) for key in range(100)}
+    assert len(found) > 20
+    text = " ".join(["internationalization"] * 100)
+    one = encoder.encode(text, 5).tolist()
+    keys = encoder.word_keys(5, 100).tolist()
+    assert one == [i for k in keys for i in sentencepiece_bpe.merged("▁internationalization", encoder.pieces, encoder.limit, k)]
+    assert encoder.encode(text, 5).tolist() == one != encoder.encode(text, 6).tolist()
+    draws = [sentencepiece_bpe.skipped(k, a, b, encoder.limit) for k in keys for a in range(20) for b in range(a + 2, 21)]
+    assert 0.09 < sum(draws) / len(draws) < 0.11
+    long = "ab" * 300
+    assert long not in encoder.memory and encoder.decode(encoder.encode(long)) == long and SPACED + long not in encoder.memory
+
+
+SPACED = sentencepiece_bpe.SPACE

@@ -10,17 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 11
-VARIANTS = 2  # segmentations a word may have within one encoding
-CACHED = 150_000  # words of a generation that a task remembers for each variant
+CACHED_BYTES = 64 << 20  # of a generation of words that a task remembers
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-BLOCK, SHORT = 16, 128
-_LANE, _MASK = 0x7FFF, (1 << 64) - 1
+SHORT = 128  # characters; longer words are never remembered
+_MASK, _STEP, _BITS = (1 << 64) - 1, 0x9E3779B97F4A7C15, 53
 
 
 class Pieces:
@@ -42,22 +40,30 @@ class Pieces:
         self.raw = {i: bytes([b]) for b, i in self.byte.items()}
 
 
-def keyed_hashes(word: str, seed: int) -> list[int]:
-    """64-bit hashes of the word keyed by the seed, one for each BLOCK of start positions."""
-    data = word.encode("utf-8", "surrogatepass")
-    return [xxh64_intdigest(data, seed + (block << 32) & _MASK) for block in range(len(word) // BLOCK + 1)]
+def mixed(x):
+    """splitmix64 of a counter, for Python integers and for uint64 arrays alike."""
+    if isinstance(x, np.ndarray):
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return x ^ x >> np.uint64(31)
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
 
 
-def segment(word: str, pieces: Pieces, dropout: float, seed: int) -> list[int]:
-    """Ids of one word.
+def skipped(key: int, left: int, stop: int, limit: int) -> bool:
+    """Whether a word with this key skips the candidate over left:stop; every candidate has a draw of its own."""
+    return mixed(key + (left << 32 | stop) * _STEP & _MASK) >> 64 - _BITS < limit
+
+
+def merged(word: str, pieces: Pieces, limit: int = 0, key: int = 0, done: list[int] | None = None) -> list[int]:
+    """Ids of one word; the spans merged are added to `done` in order.
 
     The agenda holds every pair of neighbours that forms a piece, best score first, then leftmost.  A candidate
-    is skipped for good if the 15 bits of the keyed hash that its span selects fall below the dropout; other
-    candidates may still cover the span.  Characters that end up outside the vocabulary become their bytes.
+    is skipped for good if its draw falls below the dropout; other candidates may still cover the span.
+    Characters that end up outside the vocabulary become their bytes.
     """
-    limit = int(dropout * (_LANE + 1))
-    hashes = keyed_hashes(word, seed) if limit else []
-    symbols = (_short if len(word) <= SHORT else _long)(word, pieces.cost.get, limit, hashes)
+    symbols = (_short if len(word) <= SHORT else _long)(word, pieces.cost.get, limit, key, [] if done is None else done)
     out, ids = [], pieces.ids
     for piece in symbols:
         found = ids.get(piece)
@@ -68,7 +74,7 @@ def segment(word: str, pieces: Pieces, dropout: float, seed: int) -> list[int]:
     return out
 
 
-def _short(word: str, find, limit: int, hashes: list[int]) -> list[str]:
+def _short(word: str, find, limit: int, key: int, done: list[int]) -> list[str]:
     """The agenda as a list of costs by place: for a few candidates the least is found faster than in a heap."""
     symbols, none = list(word), float("inf")
     ends = list(range(1, len(word) + 1))
@@ -79,9 +85,10 @@ def _short(word: str, find, limit: int, hashes: list[int]) -> list[str]:
             break
         i = costs.index(low)
         left = ends[i - 1] if i else 0
-        if limit and hashes[left // BLOCK] >> (left * 11 + ends[i + 1] * 3) % 49 & _LANE < limit:
+        if limit and skipped(key, left, ends[i + 1], limit):
             costs[i] = none
             continue
+        done.append(left << 32 | ends[i + 1])
         symbols[i] = joined = symbols[i] + symbols[i + 1]
         del symbols[i + 1], ends[i], costs[i]
         if i < len(costs):
@@ -91,7 +98,7 @@ def _short(word: str, find, limit: int, hashes: list[int]) -> list[str]:
     return symbols
 
 
-def _long(word: str, find, limit: int, hashes: list[int]) -> list[str]:
+def _long(word: str, find, limit: int, key: int, done: list[int]) -> list[str]:
     """The agenda as a heap; the same merges in the same order."""
     n = len(word)
     end = list(range(1, n + 1))  # end of the symbol that starts here; 0 once merged away
@@ -102,8 +109,9 @@ def _long(word: str, find, limit: int, hashes: list[int]) -> list[str]:
         _, left, middle, stop = heappop(agenda)
         if end[left] != middle or end[middle] != stop:
             continue
-        if limit and hashes[left // BLOCK] >> (left * 11 + stop * 3) % 49 & _LANE < limit:
+        if limit and skipped(key, left, stop, limit):
             continue
+        done.append(left << 32 | stop)
         end[left], end[middle] = stop, 0
         if stop < n:
             before[stop] = left
@@ -123,25 +131,29 @@ def _long(word: str, find, limit: int, hashes: list[int]) -> list[str]:
 
 
 class _Memory(dict):
-    """Segmentations of one variant as packed ids, computed on first use.
+    """word -> (packed ids, packed spans) of the merges without dropout, computed on first use.
 
     When full, the words of the last generation stay within reach and the older ones go; this bounds memory
     and changes no result.
     """
 
-    def __init__(self, pieces: Pieces, dropout: float, seed: int, variant: int):
+    def __init__(self, pieces: Pieces):
         super().__init__()
-        self.made = (pieces, dropout, seed * VARIANTS + variant)
-        self.older: dict[str, bytes] = {}
+        self.pieces, self.older, self.held = pieces, {}, 0
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
         found = self.older.get(word)
         if found is None:
-            found = np.array(segment(word, *self.made), np.int32).tobytes()
-        if len(self) >= CACHED:
-            self.older = dict(self)
-            self.clear()
-        self[word] = found
+            done: list[int] = []
+            ids = merged(word, self.pieces, done=done)
+            found = np.array(ids, np.int32).tobytes(), np.array(done, np.uint64).tobytes()
+        if len(word) <= SHORT:
+            size = 400 + 4 * len(word) + len(found[0]) + len(found[1])  # with the objects around them
+            if self.held + size > CACHED_BYTES:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self.held += size
+            self[word] = found
         return found
 
 
@@ -155,19 +167,40 @@ class Encoder:
 
     def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
         self.pieces = Pieces(path)
-        self.memories = [_Memory(self.pieces, dropout, seed, v) for v in range(VARIANTS)]
+        self.limit, self.seed = int(dropout * (1 << _BITS)), seed
+        self.memory = _Memory(self.pieces)
         self.mark = np.array([self.pieces.byte[b] for b in SPACE.encode()], np.int32).tobytes()
 
+    def word_keys(self, key: int, n: int) -> np.ndarray:
+        """Keys of the first n word places of the text with this key."""
+        start = np.uint64(mixed(mixed(self.seed & _MASK) + key * _STEP & _MASK))
+        return mixed(start + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP))
+
     def encode(self, text: str, key: int = 0) -> np.ndarray:
-        """Ids of the whole text; `key` decides which variant each word takes."""
-        packed: list[bytes] = []
-        memories, turn = self.memories, key & 0xFFFF
+        """Ids of the whole text; a candidate's draw is keyed by the seed, `key`, the word's place and the span.
+
+        Merges go as without dropout up to the first one that is skipped, so only words of which one of the
+        remembered merges is skipped are merged anew.
+        """
+        words: list[str] = []
+        marks: list[int] = []  # numbers of words before each mark of the text itself
         for i, part in enumerate((" " + text).split(SPACE) if text else []):
             if i:
-                packed.append(self.mark)
-            for word in _WORDS(part.replace(" ", SPACE)):
-                turn = turn * 5 + 1 & 0xFFFF
-                packed.append(memories[turn >> 8 & VARIANTS - 1][word])
+                marks.append(len(words))
+            words.extend(_WORDS(part.replace(" ", SPACE)))
+        known = [self.memory[w] for w in words]
+        packed = [ids for ids, _ in known]
+        if self.limit and words:
+            keys = self.word_keys(key, len(words))
+            counts = np.array([len(s) for _, s in known]) // 8
+            spans = np.frombuffer(b"".join([s for _, s in known]), np.uint64)
+            draws = mixed(np.repeat(keys, counts) + spans * np.uint64(_STEP)) >> np.uint64(64 - _BITS)
+            places = np.repeat(np.arange(len(words)), counts)
+            for at in np.unique(places[draws < np.uint64(self.limit)]).tolist():
+                packed[at] = np.array(merged(words[at], self.pieces, self.limit, int(keys[at])), np.int32).tobytes()
+        if marks:
+            ends = [0, *marks, len(packed)]
+            packed = [self.mark.join(b"".join(packed[a:b]) for a, b in zip(ends, ends[1:]))]
         return np.frombuffer(b"".join(packed), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -195,8 +228,8 @@ def encode_texts(
 ) -> DataFrame:
     """One row per input row: id, `ids` (array<int>), `n_tokens`, `lossless` (decoding gives the text back).
 
-    A null text counts as empty and has no tokens.  Which of its VARIANTS a word takes depends on the seed,
-    the hash of the id and the word's place, so reruns and other partitionings agree.  The vocabulary is read
+    A null text counts as empty and has no tokens.  What merges a word skips depends on the seed, the hash of
+    the id and the word's place, so reruns and other partitionings agree.  The vocabulary is read
     by each task from `model`, a path every executor has.
     """
     kind = dict(docs.select(id_col).dtypes)[id_col]
