@@ -88,6 +88,31 @@ def test_line_variants_and_output(spark):
     assert out == {0: variants[0], 1: "\nshort", 2: None, 3: "", 4: texts[4]}
 
 
+def test_band_recall_by_kind_of_line(spark):
+    """Pairs with a Jaccard index of at least 0.8 share a band, whatever the separators, lengths and place of the edit."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    kinds = {"solid": [], "long words": [], "five words": [], "around the bound": []}
+    while min(map(len, kinds.values())) < 300:
+        solid, five = word(120), [word(rng.randrange(8, 13)) for _ in range(5)]
+        at, wide = rng.randrange(10), [word(rng.randrange(30, 60)) for _ in range(4)]
+        flip = rng.randrange(150)
+        made = {
+            "solid": (solid, solid[:at] + "0" + solid[at + 1 :]),
+            "long words": (" ".join(wide), " ".join(wide)[:flip] + "0" + " ".join(wide)[flip + 1 :]),
+            "five words": (" ".join(five), " ".join([*five, word(rng.randrange(3, 9))])),
+            "around the bound": ((line := word(rng.randrange(60, 72))), line + word(rng.randrange(1, 14))),
+        }
+        for kind, (a, b) in made.items():
+            if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)):
+                kinds[kind].append((kind, a, b))
+    rows = [r for found in kinds.values() for r in found[:300]]
+    df = spark.createDataFrame(rows, "kind string, a string, b string")
+    bands = [line_dedup.band_hashes(F.col(c))["bands"] for c in "ab"]
+    got = Counter(r.kind for r in df.select("kind", F.arrays_overlap(*bands).alias("met")).filter("met").collect())
+    assert all(got[kind] >= 0.99 * 300 for kind in kinds), got
+
+
 # --- SimHash ------------------------------------------------------------------------------------------------------
 
 
