@@ -47,16 +47,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+# Drops the shuffle files of a query when it ends; a written table never reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage and survives executor loss.
 
-    Shuffle files of earlier writes are not read again.  Spark's cleaner drops them when the driver collects its
-    garbage, which a roomy driver may not do for long, so it is asked to do so before the next write.
+    The shuffle files behind the write are dropped with it, as nothing else reads them.
     """
     spark = df.sparkSession
     path = path or staging_path(spark)
-    spark.sparkContext._jvm.System.gc()
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
