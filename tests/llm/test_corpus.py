@@ -108,32 +108,31 @@ def test_band_recall_by_kind_of_line(spark):
                 kinds[kind].append((kind, a, b))
     rows = [r for found in kinds.values() for r in found[:300]]
     df = spark.createDataFrame(rows, "kind string, a string, b string")
-    signed = [line_dedup.with_bands(df, c).withColumnRenamed("bands", f"of_{c}").drop("n") for c in "ab"]
-    both = signed[0].join(signed[1], ["kind", "a", "b"])
-    got = Counter(r.kind for r in both.filter(F.arrays_overlap("of_a", "of_b")).collect())
-    assert all(got[kind] >= 0.99 * 300 for kind in kinds), got
+    for shape, distinct in [(line_dedup.COARSE, False), *((s, True) for s in line_dedup.FINE)]:
+        signed = [line_dedup.with_bands(df, c, shape, distinct).withColumnRenamed("bands", f"of_{c}").drop("n") for c in "ab"]
+        both = signed[0].join(signed[1], ["kind", "a", "b"])
+        got = Counter(r.kind for r in both.filter(F.arrays_overlap("of_a", "of_b")).collect())
+        assert all(got[kind] >= 0.99 * 300 for kind in kinds), (shape, got)
 
 
-def test_across_classes(spark):
-    """Every pair of different classes at the threshold is a candidate, though a class of many alike lines is in the way."""
+def test_links_in_large_open_bands(spark, monkeypatch):
+    """Lines that share a long passage fill every band; links among their other halves are found by narrower bands."""
     rng = random.Random(4)
-    lines, classes = [], []
-    for c in range(30):
-        base = "".join(rng.choice("abcd ") for _ in range(rng.randrange(150, 320)))
-        for _ in range(rng.choice([1, 2, 6])):
-            at = rng.randrange(len(base))
-            lines.append(base[:at] + rng.choice("xyz") + base[at + 1 :])
-            classes.append(c * 10 + rng.randrange(3))
-    rows = [(i, x, len(shingles(x)), c) for i, (x, c) in enumerate(zip(lines, classes))]
-    df = spark.createDataFrame(rows, "line_id long, line string, n int, class long")
-    found = line_dedup.across_classes(df.select("line_id", "class"), df.drop("class"), 0.8)
-    got = {(r.a, r.b) for r in found.collect()}
-    place = {x: i for i, x in enumerate(lines)}
-    want = {tuple(sorted((place[a], place[b]))) for a, b in line_links(sorted(place))}
-    want = {(a, b) for a, b in want if classes[a] != classes[b]}
-    assert want and want <= got and all(classes[a] != classes[b] for a, b in got)
-    linked = line_dedup.verified(found, df, 0.8)
-    assert {(r.a, r.b) for r in linked.collect()} & {(a, b) for a in place.values() for b in place.values()} == want
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, lines = text(160), []
+    for _ in range(90):
+        own = text(120)
+        lines += [common + own, common + own[:60] + rng.choice("xyz") + own[61:]]
+    order = rng.sample(range(len(lines)), len(lines))
+    df = spark.createDataFrame([(i, lines[j]) for i, j in enumerate(order)], "line_id long, line string")
+    want = [(order.index(2 * i), order.index(2 * i + 1)) for i in range(90)]
+    pairs = {tuple(sorted(p)) for p in want}
+    for small, shapes in [(8, [(20, 3), (64, 6)]), (8, [(20, 3)]), (1000, None)]:
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        got = classes_by_links(range(len(lines)), [(r.a, r.b) for r in line_dedup.line_links(df, 0.8, shapes).collect()])
+        assert sum(got[a] == got[b] for a, b in pairs) >= 89 and len(set(got.values())) >= 90
+    shared = {tuple(sorted((r.a, r.b))) for r in line_dedup.verified(spark.createDataFrame(want, "a long, b long"), line_dedup.with_bands(df, "line", (2, 2)), 0.8).collect()}
+    assert shared == pairs
 
 
 # --- SimHash ------------------------------------------------------------------------------------------------------
