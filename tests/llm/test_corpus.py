@@ -108,31 +108,31 @@ def test_band_recall_by_kind_of_line(spark):
                 kinds[kind].append((kind, a, b))
     rows = [r for found in kinds.values() for r in found[:300]]
     df = spark.createDataFrame(rows, "kind string, a string, b string")
-    for shape, distinct in [(line_dedup.COARSE, False), *((s, True) for s in line_dedup.FINE)]:
+    for shape, distinct in [(line_dedup.COARSE, False), (line_dedup.FINE, True)]:
         signed = [line_dedup.with_bands(df, c, shape, distinct).withColumnRenamed("bands", f"of_{c}").drop("n") for c in "ab"]
         both = signed[0].join(signed[1], ["kind", "a", "b"])
         got = Counter(r.kind for r in both.filter(F.arrays_overlap("of_a", "of_b")).collect())
         assert all(got[kind] >= 0.99 * 300 for kind in kinds), (shape, got)
 
 
-def test_links_in_large_open_bands(spark, monkeypatch):
-    """Lines that share a long passage fill every band; links among their other halves are found by narrower bands."""
+def test_links_in_open_bands(spark):
+    """Lines that share a long passage meet in every band; only those whose other halves are alike are linked."""
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     common, lines = text(160), []
-    for _ in range(90):
+    for n in range(90):
         own = text(120)
         lines += [common + own, common + own[:60] + rng.choice("xyz") + own[61:]]
     order = rng.sample(range(len(lines)), len(lines))
     df = spark.createDataFrame([(i, lines[j]) for i, j in enumerate(order)], "line_id long, line string")
-    want = [(order.index(2 * i), order.index(2 * i + 1)) for i in range(90)]
-    pairs = {tuple(sorted(p)) for p in want}
-    for small, shapes in [(8, [(20, 3), (64, 6)]), (8, [(20, 3)]), (1000, None)]:
-        monkeypatch.setattr(line_dedup, "SMALL", small)
-        got = classes_by_links(range(len(lines)), [(r.a, r.b) for r in line_dedup.line_links(df, 0.8, shapes).collect()])
-        assert sum(got[a] == got[b] for a, b in pairs) >= 89 and len(set(got.values())) >= 90
-    shared = {tuple(sorted((r.a, r.b))) for r in line_dedup.verified(spark.createDataFrame(want, "a long, b long"), line_dedup.with_bands(df, "line", (2, 2)), 0.8).collect()}
-    assert shared == pairs
+    pairs = {tuple(sorted((order.index(2 * i), order.index(2 * i + 1)))) for i in range(90)}
+    for shape in [(20, 3), line_dedup.FINE]:
+        got = classes_by_links(range(len(lines)), [(r.a, r.b) for r in line_dedup.line_links(df, 0.8, shape).collect()])
+        assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) == 90
+    placed = spark.createDataFrame([(i, i // 3) for i in range(len(lines))], "line_id long, class long")
+    sized = line_dedup.with_bands(df, "line", (2, 2)).drop("bands")
+    met = {(r.a, r.b) for r in line_dedup.across_classes(placed, sized, 0.8).collect()}
+    assert {(a, b) for a, b in pairs if a // 3 != b // 3} <= met and len(met) < 3 * len(pairs)
 
 
 # --- SimHash ------------------------------------------------------------------------------------------------------
