@@ -111,10 +111,11 @@ def with_prefix_sum(
     weight: Column,
     name: str,
     keys: list[str] | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Sum of `weight` over the rows that come earlier under `order`, without one task per group.
 
-    `bucket` must be a non-decreasing function of `order` (a coarse quotient of the leading sort key).
+    `total` names a column for the sum over the whole group, which costs nothing more.  `bucket` must be a non-decreasing function of `order` (a coarse quotient of the leading sort key).
     Rows are summed inside their bucket and shifted by the totals of the earlier buckets, which a window
     over one small row per bucket supplies.
     """
@@ -126,6 +127,7 @@ def with_prefix_sum(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col("__rank_bucket").alias("__b"),
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__prefix_before"),
+        *([F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []),
     )
     inside = Window.partitionBy(*keys, "__rank_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
@@ -146,6 +148,43 @@ def with_rank(
     return with_prefix_sum(df, bucket, order, F.lit(1).cast("long"), name, keys)
 
 
+OCTAVE, FLOOR = 64, 1 << 20  # buckets between a number and its double; above all that a double's exponent gives
+
+
+def scale_bucket(value: Column, octave: int = OCTAVE) -> Column:
+    """Order-preserving bucket of a number by sign and logarithm; needs no look at the data, whatever its scale."""
+    size = F.floor(F.log2(F.abs(value)) * octave).cast("long") + FLOOR
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
+
+
+def kth_largest(df: DataFrame, keys: list[str], value: str, limits: DataFrame, parts: int = 65536) -> DataFrame:
+    """(keys, `kth`, `take`): the k-th largest value of each group, and how many equal to it are among the first k.
+
+    `limits` has the keys and `k`, at least 1; a group of fewer values gives no row.  Selection by histogram: counts by
+    logarithmic bucket, combined before they are moved, tell which bucket holds the k-th; inside it counts by equal
+    parts tell which part; only the distinct values of that part are put in order.  Nulls are left out.
+    """
+    rows = df.select(*keys, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
+
+    def holding(counts: DataFrame, by: str, asked: DataFrame) -> DataFrame:
+        upto = Window.partitionBy(*keys).orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = counts.withColumn("__upto", F.sum("__n").over(upto)).join(asked, keys)
+        found = found.filter((F.col("__upto") >= F.col("k")) & (F.col("__upto") - F.col("__n") < F.col("k")))
+        return found.select(*keys, by, (F.col("k") - F.col("__upto") + F.col("__n")).alias("k"))
+
+    rows = rows.withColumn("__b", scale_bucket(F.col("__v")))
+    ends = F.struct(F.min("__v").alias("lo"), F.max("__v").alias("hi")).alias("__e")
+    first = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"), ends)
+    at = holding(first, "__b", limits)
+    inside = rows.join(at.join(first.select(*keys, "__b", "__e"), [*keys, "__b"]).drop("k"), [*keys, "__b"])
+    span = F.greatest(F.col("__e.hi") - F.col("__e.lo"), F.lit(5e-324))
+    inside = inside.withColumn("__p", F.least(F.floor((F.col("__v") - F.col("__e.lo")) / span * parts), F.lit(parts - 1)).cast("long"))
+    second = inside.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    part = holding(second, "__p", at.drop("__b"))
+    values = inside.join(part.drop("k"), [*keys, "__p"]).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    return holding(values, "__v", part.drop("__p")).select(*keys, F.col("__v").alias("kth"), F.col("k").alias("take"))
+
+
 ACCURACY = 10_000  # an approximate quantile is off by at most 1/ACCURACY of the rows
 SORTED_WHOLE = 100_000  # distinct values of a group that one window may order
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import EPS, asum, clamp, mask_count, masked_sum, zmap
+from ..session import staged
 from .correction import rollout_correction
-from .grouping import ACCURACY, hash_bucket, join_group_table, seeded_hash, with_group_stats, with_quantile_bucket, with_rank
+from .grouping import hash_bucket, kth_largest, seeded_hash, with_group_stats, with_prefix_sum, with_quantile_bucket, with_rank
 
 M = "response_mask"
 BASE = ["old_log_probs", "log_probs", "advantages", M]
@@ -235,23 +236,6 @@ def _top(df: DataFrame, bucket: Column, order: list[Column], limit: Column) -> D
     return with_rank(df, bucket, order, "__rank", ["step"]).withColumn("chosen", F.col("__rank") < limit).drop("__rank")
 
 
-def _highest(tokens: DataFrame, ratio: float, limit: Column) -> DataFrame:
-    """Flag `chosen`: the `limit` tokens of each step with the highest `cov`, ties by (sample_id, pos).
-
-    An approximate quantile per step leaves few candidates at any scale of the values; only those are ranked.
-    Tokens that equal the quantile may be many, so they are ranked in buckets of their ids.
-    """
-    share = max(0.0, 1 - 2 * ratio - 2 / ACCURACY)
-    floors = tokens.groupBy("step").agg(F.percentile_approx("cov", share, ACCURACY).alias("__floor"))
-    rows = join_group_table(tokens, floors, ["step"], ["sample_id", "pos"])
-    able = rows.filter(F.col("cov") >= F.col("__floor")).withColumn("__tie", F.col("cov") == F.col("__floor"))
-    able = with_quantile_bucket(able, ["step", "__tie"], "sample_id", "__ids", ["sample_id", "pos"])
-    bucket = F.struct(F.col("__tie"), F.when(F.col("__tie"), F.col("__ids")).otherwise(F.lit(0)))
-    able = _top(able, bucket, [F.col("cov").desc(), F.col("sample_id"), F.col("pos")], limit)
-    rest = rows.filter(~(F.col("cov") >= F.col("__floor"))).withColumn("chosen", F.lit(False))
-    return rest.drop("__floor").unionByName(able.drop("__floor", "__tie", "__ids"))
-
-
 def _token_loss(tokens: DataFrame, loss: Column, kept: Column, mode: str, scale: float | None, **metrics: Column):
     """Aggregate single-token losses: per sequence first, then per step, so every mode is available.
 
@@ -264,6 +248,11 @@ def _token_loss(tokens: DataFrame, loss: Column, kept: Column, mode: str, scale:
         F.max("width").alias("width"),
         *[F.sum(c).alias(k) for k, c in metrics.items()],
     )
+    return _sequence_loss(per_seq, mode, scale, list(metrics))
+
+
+def _sequence_loss(per_seq: DataFrame, mode: str, scale: float | None, metrics: list[str]) -> DataFrame:
+    """Step totals of per-sequence sums: loss, n, kept, width and the metrics."""
     total = {
         "token-mean": F.sum("loss") / F.sum("n"),
         "seq-mean-token-sum": F.avg("loss"),
@@ -323,25 +312,47 @@ def covariance_clip(
 def covariance_penalty(
     df: DataFrame, ratio: float = 0.0002, coef: float = 1.0, mode: str = "token-mean", scale: float | None = None
 ) -> DataFrame:
-    """Adds an absolute-divergence term to the tokens of highest covariance in each step."""
-    tokens = _token_table(df)
-    t = F.col("t")
-    lr = t["log_probs"] - t["old_log_probs"]
-    cov = (t["advantages"] - F.col("__sa") / F.col("__n")) * (t["log_probs"] - F.col("__sl") / F.col("__n"))
-    tokens = tokens.select(
-        "step",
+    """Adds an absolute-divergence term to the tokens of highest covariance in each step, ties by (sample_id, pos).
+
+    Tokens stay in the arrays of their sequence.  They are taken apart only to be counted: the covariance of the last
+    token chosen is selected by histogram, then each sequence marks its own tokens above it.  Of those that equal it a
+    prefix sum over the sequences that hold some says how many are taken before.
+    """
+    rows = with_group_stats(
+        df,
+        ["step"],
         "sample_id",
-        "pos",
-        "width",
-        "__n",
-        cov.alias("cov"),
-        (-t["advantages"] * F.exp(lr)).alias("plain"),
-        F.abs(lr).alias("abs_kl"),
+        sums={"__n": mask_count(M), "__sa": masked_sum("advantages", M), "__sl": masked_sum("log_probs", M)},
     )
-    limit = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(ratio)))
-    tokens = _highest(tokens, ratio, limit)
-    loss = F.col("plain") + F.when(F.col("chosen"), F.col("abs_kl") * coef).otherwise(0.0)
-    return _token_loss(tokens, loss, F.col("chosen"), mode, scale, ppo_kl=F.col("abs_kl")).drop("pg_clipfrac")
+
+    def token(t: Column) -> Column:
+        lr = t["log_probs"] - t["old_log_probs"]
+        cov = (t["advantages"] - F.col("__sa") / F.col("__n")) * (t["log_probs"] - F.col("__sl") / F.col("__n"))
+        return F.struct(cov.alias("cov"), (-t["advantages"] * F.exp(lr)).alias("plain"), F.abs(lr).alias("kl"))
+
+    live = F.transform(F.filter(F.arrays_zip(*BASE), lambda t: t[M] > 0), token)
+    rows = rows.select("step", "sample_id", F.col("max_response_len").alias("width"), F.col("__n").alias("tokens"), live.alias("t"))
+    rows = rows.select(
+        "step", "sample_id", "width", "tokens", F.size("t").alias("n"), F.col("t.cov").alias("cov"), F.col("t.kl").alias("kl"),
+        asum(F.col("t.plain")).alias("plain"),
+    ).filter("n > 0")
+    rows = staged(rows)
+    limit = F.greatest(F.lit(1), F.floor(F.max("tokens") * F.lit(ratio))).cast("long")
+    limits = rows.groupBy("step").agg(limit.alias("k"))
+    edge = kth_largest(rows.select("step", F.explode("cov").alias("cov")), ["step"], "cov", limits)
+    rows = rows.join(edge, "step", "left")
+    equal = F.size(F.filter("cov", lambda c: c == F.col("kth")))
+    ties = rows.select("step", "sample_id", equal.alias("c")).filter("c > 0")
+    ties = with_quantile_bucket(ties, ["step"], "sample_id", "__q", "sample_id")
+    ties = with_prefix_sum(ties, F.col("__q"), [F.col("sample_id")], F.col("c"), "__before", ["step"])
+    rows = rows.join(ties.select("step", "sample_id", "__before"), ["step", "sample_id"], "left")
+    own = F.arrays_zip("cov", "kl")
+    above = asum(F.transform(F.filter(own, lambda t: t["cov"] > F.col("kth")), lambda t: t["kl"]))
+    room = F.greatest(F.col("take") - F.coalesce("__before", F.lit(0)), F.lit(0)).cast("int")
+    at_edge = asum(F.transform(F.slice(F.filter(own, lambda t: t["cov"] == F.col("kth")), F.lit(1), room), lambda t: t["kl"]))
+    loss = F.col("plain") + F.lit(coef) * F.coalesce(above + at_edge, F.lit(0.0))
+    per_seq = rows.select("step", "sample_id", loss.alias("loss"), "n", F.lit(0).alias("kept"), "width", asum("kl").alias("ppo_kl"))
+    return _sequence_loss(per_seq, mode, scale, ["ppo_kl"]).drop("pg_clipfrac")
 
 
 def value_loss(df: DataFrame, clip: float = 0.5, mode: str = "token-mean", pred: str = "vpreds") -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grouping import join_group_table, unit_hash, with_prefix_sum, with_quantile_bucket, with_rank
+from .grouping import scale_bucket, unit_hash, with_prefix_sum, with_rank
 
 KEY = ["data_source", "uid", "var"]
 CELLS = 4_000_000  # draws held at once
@@ -51,14 +51,11 @@ def per_prompt_mean_std(long: DataFrame) -> DataFrame:
 def best_worst_closed_form(long: DataFrame) -> DataFrame:
     """The value 1000 resampling rounds estimate: moments of the extreme of n draws with replacement.
 
-    Works on value counts, so equal values collapse first; cumulative counts are built in two levels and
-    the per-size sums combine map-side.
+    Works on value counts, so equal values collapse first; cumulative counts are built in two levels, by
+    buckets that need no look at the data, and the per-size sums combine map-side.
     """
     counts = long.groupBy(*KEY, "value").agg(F.count(F.lit(1)).alias("c"))
-    counts = with_quantile_bucket(counts, KEY, "value", "__q", "value")
-    ranked = with_prefix_sum(counts, F.col("__q"), [F.col("value")], F.col("c"), "before", KEY)
-    sizes = counts.groupBy(*KEY).agg(F.sum("c").alias("n"))
-    ranked = join_group_table(ranked, sizes, KEY, "value")
+    ranked = with_prefix_sum(counts, scale_bucket(F.col("value")), [F.col("value")], F.col("c"), "before", KEY, total="n")
     rows = ranked.withColumn("k", F.explode(sample_sizes(F.col("n"))))
     low, high = F.col("before") / F.col("n"), (F.col("before") + F.col("c")) / F.col("n")
     p_best = F.pow(high, F.col("k")) - F.pow(low, F.col("k"))

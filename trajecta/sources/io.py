@@ -58,12 +58,22 @@ def dump_rollouts(df: DataFrame, path: str, extras: dict[str, DataFrame] | None
 def load_rollouts(spark: SparkSession, path: str, schema: T.StructType, mask: str | None = None) -> DataFrame:
     """Dumped rollouts in numeric step order with a text mask on string columns; unread steps are pruned.
 
-    `sample_index` numbers the rows of a step in the order they were dumped (by file, then place in the file).
+    `sample_index` numbers the rows of a step in the order they were dumped (by file, then place in the file).  A
+    row's place in its piece of a file follows from its number among the rows read with it; where a piece starts in its
+    step follows from one count a piece.  No row is moved, and no window sees more than those counts.
     """
-    df = spark.read.schema(schema).json(path)
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    df = df.withColumn("__at", place)
-    df = df.withColumn("sample_index", F.row_number().over(Window.partitionBy("step").orderBy("__at")) - 1).drop("__at")
+    piece = ["step", "__file", "__from"]
+    rows = spark.read.schema(schema).json(path).select(
+        "*",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__from"),
+        F.monotonically_increasing_id().alias("__id"),
+    )
+    sizes = rows.groupBy(*piece).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("step").orderBy("__file", "__from").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*piece, (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
+    df = rows.join(starts, piece).withColumn("sample_index", (F.col("__id") + F.col("__shift")).cast("int"))
+    df = df.drop("__file", "__from", "__id", "__shift")
     return (mask_text(df, mask) if mask else df).orderBy("step", "sample_index")
 
 
