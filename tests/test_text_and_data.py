@@ -181,7 +181,7 @@ def test_retrieval_with_more_than_corpus_and_blocks(spark):
     assert rounded[0].exceptAll(rounded[1]).count() == 0 and one_block.count() == many.count() == 6 + 9
     vec = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "doc_id long, embedding array<double>")
     ask = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
-    assert [r["doc_id"] for r in R.dense_top_k(vec, ask, 9, doc_blocks=2, query_blocks=2).orderBy("rank").collect()] == [4, 3, 2, 1, 0]
+    assert [r["doc_id"] for r in R.dense_top_k(vec, ask, 9, query_bytes=8).orderBy("rank").collect()] == [4, 3, 2, 1, 0]
 
 
 def test_user_reward_by_path(spark, tmp_path):

@@ -188,11 +188,18 @@ def test_highest_covariances_at_any_scale(spark, scale):
     from trajecta.operators import losses as L
 
     rng = np.random.RandomState(1)
-    rows = [(0, int(i) * 10**9, int(p), float(np.round(rng.rand(), 2) * scale)) for i in range(60) for p in range(20)]
-    df = spark.createDataFrame(rows, "step long, sample_id long, pos long, cov double")
-    out = L._highest(df, 0.02, F.lit(24)).collect()
-    want = {r[:3] for r in sorted(rows, key=lambda r: (-r[3], r[1], r[2]))[:24]}
-    assert len(out) == len(rows) and {(r["step"], r["sample_id"], r["pos"]) for r in out if r["chosen"]} == want
+    advantages = {int(i) * 10**9: np.round(rng.rand(20), 2) * scale for i in range(60)}
+    rows = [(0, s, [0.0] * 20, [0.1 + p / 100 for p in range(20)], a.tolist(), [1] * 20, 20) for s, a in advantages.items()]
+    df = spark.createDataFrame(
+        rows, "step long, sample_id long, old_log_probs array<double>, log_probs array<double>, advantages array<double>, response_mask array<int>, max_response_len int"
+    )
+    a = np.array(list(advantages.values()))
+    lr = np.tile(0.1 + np.arange(20) / 100, (60, 1))
+    cov = (a - a.sum() / a.size) * (lr - lr.sum() / lr.size)
+    first = np.argsort(-cov.ravel(), kind="stable")[:24]
+    want = ((-a * np.exp(lr)).sum() + lr.ravel()[first].sum()) / a.size
+    got = L.covariance_penalty(df, ratio=0.02).first().pg_loss
+    assert np.isclose(got, want, rtol=1e-9)
 
 
 def test_scan_pieces_bound_the_padding(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import EPS, asum, clamp, mask_count, masked_sum, zmap
 from ..session import staged
 from .correction import rollout_correction
-from .grouping import hash_bucket, kth_largest, seeded_hash, with_group_stats, with_prefix_sum, with_quantile_bucket, with_rank
+from .grouping import hash_bucket, kth_largest, scale_bucket, seeded_hash, with_group_stats, with_prefix_sum, with_rank
 
 M = "response_mask"
 BASE = ["old_log_probs", "log_probs", "advantages", M]
@@ -339,12 +339,11 @@ def covariance_penalty(
     rows = staged(rows)
     limit = F.greatest(F.lit(1), F.floor(F.max("tokens") * F.lit(ratio))).cast("long")
     limits = rows.groupBy("step").agg(limit.alias("k"))
-    edge = kth_largest(rows.select("step", F.explode("cov").alias("cov")), ["step"], "cov", limits)
+    edge = staged(kth_largest(rows.select("step", F.explode("cov").alias("cov")), ["step"], "cov", limits))
     rows = rows.join(edge, "step", "left")
     equal = F.size(F.filter("cov", lambda c: c == F.col("kth")))
     ties = rows.select("step", "sample_id", equal.alias("c")).filter("c > 0")
-    ties = with_quantile_bucket(ties, ["step"], "sample_id", "__q", "sample_id")
-    ties = with_prefix_sum(ties, F.col("__q"), [F.col("sample_id")], F.col("c"), "__before", ["step"])
+    ties = with_prefix_sum(ties, scale_bucket(F.col("sample_id")), [F.col("sample_id")], F.col("c"), "__before", ["step"])
     rows = rows.join(ties.select("step", "sample_id", "__before"), ["step", "sample_id"], "left")
     own = F.arrays_zip("cov", "kl")
     above = asum(F.transform(F.filter(own, lambda t: t["cov"] > F.col("kth")), lambda t: t["kl"]))

@@ -1,31 +1,26 @@
 """Exact dense and lexical top-k retrieval.
 
-Dense: documents and queries are cut into blocks; each task scores one document block against one query block
-with numpy and keeps k rows per query.  Lexical: an inverted index of the query terms.  A query's winners are
-reduced in two levels, and nothing passes through the driver.
+Dense: every task scores the vectors it reads against the queries and keeps k rows per query; the corpus is not moved.
+Lexical: an inverted index in blocks of documents with the largest impact of each term in each block; blocks whose
+bound lies below a query's k-th score are not scored.  A query's winners are reduced in two levels, and nothing of the
+corpus passes through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .grouping import seeded_digest
 
 TERM = r"[^\p{L}\p{N}]+"
-
-
-def _paired(docs: DataFrame, queries: DataFrame, doc_blocks: int, query_blocks: int):
-    """Both sides keyed by (document block, query block); a side is repeated once per block of the other."""
-    d = docs.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(doc_blocks))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn(
-        "db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(doc_blocks - 1).cast("long")))
-    )
-    return d.groupBy("db", "qb"), q.groupBy("db", "qb")
+QUERY_BYTES = 64 << 20  # of query vectors that are sent to every task at once
+CELLS = 4 << 20  # scores held at once
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -38,11 +33,6 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["query_id", "doc_id", "score", "db"])
-    return out.astype({"query_id": "int64", "doc_id": "int64", "score": "float64", "db": "int64"})
-
-
 def _reduce(parts: DataFrame, k: int) -> DataFrame:
     order = [F.col("score").desc(), F.col("doc_id")]
     coarse = Window.partitionBy("query_id", F.col("db") % 256).orderBy(*order)
@@ -54,57 +44,138 @@ def _reduce(parts: DataFrame, k: int) -> DataFrame:
 SCHEMA = "query_id long, doc_id long, score double, db long"
 
 
-def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_blocks: int | None = None, query_blocks: int = 1) -> DataFrame:
-    """(doc_id, embedding) against (query_id, embedding) by inner product.
+class TopK:
+    """The k best (score, document) of some queries, mergeable piece by piece; ties by document id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.ids = [np.zeros(0, np.int64) for _ in range(queries)]
+        self.scores = [np.zeros(0) for _ in range(queries)]
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """`scores` has a row per document and a column per query."""
+        floors = np.array([s[-1] if len(s) == self.k else -np.inf for s in self.scores])
+        for j in np.flatnonzero((scores >= floors).any(0)):
+            all_ids, all_scores = np.concatenate((self.ids[j], ids)), np.concatenate((self.scores[j], scores[:, j]))
+            best = _best(all_ids, all_scores, self.k)
+            self.ids[j], self.scores[j] = all_ids[best], all_scores[best]
 
-    With one query block each vector of the corpus is moved once and the queries once per document block; a
-    query table too large for a task is cut into more blocks.  Document blocks default to the session's
-    shuffle partitions, so a block is what the cluster has chosen as the size of a task.  Nothing is counted
-    while the plan is built.
-    """
-    doc_blocks = doc_blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def score(key, d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if d.empty or q.empty:
-            return _frame([])
-        ids = d["doc_id"].to_numpy()
-        table = np.stack(d["embedding"].to_numpy()).astype("float64") @ np.stack(q["wanted"].to_numpy()).astype("float64").T
-        rows = []
-        for j, query in enumerate(q["query_id"]):
-            rows += [(query, ids[i], table[i, j], key[0]) for i in _best(ids, table[:, j], k)]
-        return _frame(rows)
+def _query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the query vectors, at most `most` bytes at once; cut by a sort of the ids where there are more."""
+    sized = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n, width = sized.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n * (width or 0) * 8 // most))
+    for block in range(blocks):
+        part = sized if blocks == 1 else sized.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = part.orderBy("query_id").collect()  # `most` bytes
+        if rows:
+            yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+
+
+def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(doc_id, embedding) against (query_id, embedding) by inner product.
 
-    asked = queries.select("query_id", F.col("embedding").alias("wanted"))
-    d, q = _paired(docs.select("doc_id", "embedding"), asked, doc_blocks, query_blocks)
-    return _reduce(d.cogroup(q).applyInPandas(score, SCHEMA), k)
+    The query vectors are counted first and sent to all tasks, in blocks of at most `query_bytes`; a task multiplies
+    them with the vectors it reads, CELLS scores at a time, and returns k rows per query and partition.  No vector of
+    the corpus is shuffled: what moves is k small rows a query and task.  With several blocks the corpus is read once a
+    block.  Null vectors have no score.
+    """
+    rows = docs.filter(F.col("embedding").isNotNull()).select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    parts = None
+    for ids, matrix in _query_blocks(queries, query_bytes):
+        found = _scored_where_read(rows, ids, matrix, k)
+        parts = found if parts is None else parts.unionByName(found)
+    if parts is None:
+        parts = docs.sparkSession.createDataFrame([], SCHEMA)
+    return _reduce(parts, k)
+
+
+def _scored_where_read(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))  # the caller has checked its size
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, vectors = shared.value
+        top, step = TopK(len(asked), k), max(1, CELLS // len(asked))
+        for batch in batches:
+            numbers, values = batch.column(0).to_numpy(), batch.column(1)
+            flat = values.flatten().to_numpy(zero_copy_only=False).reshape(len(numbers), -1)
+            for at in range(0, len(numbers), step):
+                top.add(numbers[at : at + step], flat[at : at + step] @ vectors.T)
+        count = [len(i) for i in top.ids]
+        found = np.concatenate(top.ids)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(asked, count)), pa.array(found), pa.array(np.concatenate(top.scores)), pa.array(found)],
+            names=["query_id", "doc_id", "score", "db"],
+        )
+
+    return rows.mapInArrow(score, SCHEMA)
 
 
 def terms(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), TERM), lambda t: t != "")
 
 
-def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(doc_id, text) against (query_id, text) by BM25; documents sharing no term with a query are not returned.
+BLOCK_ROWS = 256  # documents in a block of the index
+SEEDS = 2  # blocks scored first, for a lower bound of the k-th score
+SCALE = float(1 << 32)  # scores are added as whole numbers, so that no order of the additions matters
+
+
+def lexical_index(docs: DataFrame, only: DataFrame | None = None, k1: float = 0.9, b: float = 0.4, block_rows: int = BLOCK_ROWS):
+    """(index, statistics) for BM25 over (doc_id, text).
 
-    An inverted index of the terms that some query uses: (document, term, frequency) rows meet the query terms
-    and are added up per (query, document).  Texts stay where they are read.  The gains of one pair are added
-    in the order of their terms, so that scores do not depend on partitioning.
+    index: block, term, top, posts, an array of (doc_id, gain), where `gain` is the part of a document's score that
+    does not depend on other documents and `top` the largest of the block.  statistics: term, idf.  `only` restricts the
+    index to some terms.  Documents are dealt to blocks of about `block_rows` by the hash of their id.
     """
     d = docs.select("doc_id", terms("text").alias("t")).withColumn("dl", F.size("t"))
-    q = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    postings = d.select("doc_id", "dl", F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = d.select(F.count(F.lit(1)).alias("n")).scalar()
-    avgdl = d.select(F.avg("dl").alias("a")).scalar()
-    asked = q.join(df, "term").select("query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    # One pass over the texts for both.
+    size = d.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    n, avgdl = size["n"], size["avgdl"]
+    posts = d.select("doc_id", "dl", F.explode("t").alias("term"))
+    if only is not None:
+        posts = posts.join(only.select("term").distinct(), "term", "left_semi")
+    posts = posts.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / avgdl)
-    gains = postings.select("doc_id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("gain"))
-    hits = gains.join(asked, "term").groupBy("query_id", "doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("term", (F.col("idf") * F.col("gain")).alias("g")))).alias("g")
-    )
-    scored = hits.select("query_id", "doc_id", F.aggregate("g", F.lit(0.0), lambda acc, x: acc + x["g"]).alias("score"))
-    return _reduce(scored.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(256))), k)
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(n / F.lit(block_rows)))
+    listed = posts.select(block.alias("block"), "term", F.struct("doc_id", gain.alias("gain")).alias("p"))
+    index = staged(listed.groupBy("block", "term").agg(F.max("p.gain").alias("top"), F.collect_list("p").alias("posts")))
+    df = index.groupBy("term").agg(F.sum(F.size("posts")).alias("df"))
+    return index, df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def _score_blocks(index: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of all documents in the given (query_id, block)."""
+    lists = blocks.join(asked, "query_id").join(index.select("block", "term", "posts"), ["block", "term"])
+    rows = lists.select("query_id", "idf", F.explode("posts").alias("p"))
+    points = F.sum((F.col("idf") * F.col("p.gain") * SCALE).cast("long"))
+    return rows.groupBy("query_id", F.col("p.doc_id").alias("doc_id")).agg((points / SCALE).alias("score"))
+
+
+def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, text) against (query_id, text) by BM25; documents sharing no term with a query are not returned.
+
+    A block cannot hold a score above the sum of its terms' largest impacts.  The SEEDS blocks of highest bound are
+    scored first; their k-th score is a lower bound of the query's k-th.  Of the other blocks only those whose bound
+    reaches it are scored, so the result is exact.  Texts stay where they are read.
+    """
+    q = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    index, idf = lexical_index(docs, q, k1, b, block_rows)
+    asked = staged(q.join(idf, "term"))
+    # A thousandth of a point more than the bound covers the rounding of the terms.
+    bound = (F.sum(F.col("idf") * F.col("top")) + 1e-3).alias("bound")
+    bounds = staged(index.select("block", "term", "top").join(asked, "term").groupBy("query_id", "block").agg(bound))
+    order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
+    ranked = bounds.withColumn("r", F.row_number().over(order))
+    seeds = staged(_score_blocks(index, asked, ranked.filter(F.col("r") <= SEEDS).select("query_id", "block")))
+    best = _reduce(seeds.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(256))), k)
+    floor = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    open_blocks = ranked.filter(F.col("r") > SEEDS).join(floor, "query_id", "left")
+    open_blocks = open_blocks.filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).select("query_id", "block")
+    rest = _score_blocks(index, asked, open_blocks).withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
+    near = best.select("query_id", "doc_id", "score").withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
+    return _reduce(near.unionByName(rest), k)
 
 
 def with_contents(hits: DataFrame, corpus: DataFrame) -> DataFrame:
