@@ -207,7 +207,9 @@ def test_language_weights_equal_kernel_form():
     sets = [np.sort(rng.choice(np.arange(c * 20, c * 20 + 60), 25, replace=False)).astype(np.int32) for c in (0, 1, 2) for _ in range(12)]
     langs = np.repeat(["a", "b", "c"], 12)
     landmarks = [0, 1, 2, 12, 13, 14, 24, 25, 26]
-    vocabulary, weights = language_id.solve(sets, langs, ["a", "b", "c"], landmarks)
+    vocabulary, projection = language_id.landmark_map([sets[i] for i in landmarks])
+    weights = language_id.ridge(np.array([language_id.features(s, vocabulary, projection) for s in sets]), langs, ["a", "b", "c"])
+    weights = np.vstack([projection @ weights[:-1], weights[-1:]])
     k = lambda x, y: len(np.intersect1d(x, y)) / np.sqrt(len(x) * len(y))
     km = np.array([[k(sets[i], sets[j]) for j in landmarks] for i in landmarks])
     kn = np.array([[k(s, sets[j]) for j in landmarks] for s in sets])
@@ -220,6 +222,29 @@ def test_language_weights_equal_kernel_form():
     assert np.allclose(plain, ours)
 
 
+SCRIPTS = {"el": (0x3B1, 24), "ru": (0x430, 32), "ar": (0x627, 30), "th": (0xE01, 40), "ko": (0xAC00, 900), "hi": (0x904, 60), "zh": (0x4E00, 800), "en": (0x61, 26)}
+
+
+def test_language_scripts_and_many_labels(spark):
+    """Eight scripts and 70 Latin languages: no letter and no label is left out."""
+    rng = random.Random(12)
+    rows = []
+    words = {name: ["".join(chr(a + rng.randrange(n)) for _ in range(rng.randrange(2, 5))) for _ in range(60)] for name, (a, n) in SCRIPTS.items()}
+    words |= {f"l{i}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 6))) for _ in range(40)] for i in range(70)}
+    for name, known in words.items():
+        rows += [(len(rows) + i, ("" if name in ("zh", "th") else " ").join(rng.choices(known, k=60)), name) for i in range(16)]
+    df = spark.createDataFrame(rows, DOCS + ", lang string")
+    model = language_id.fit(df.filter(id_remainder("doc_id", 4) != 2))
+    assert set(model["names"]) == set(words)
+    truth = {r[0]: r[2] for r in rows}
+    held = language_id.classify(df.filter(id_remainder("doc_id", 4) == 2), model, ["doc_id"]).collect()
+    by_kind = defaultdict(list)
+    for r in held:
+        by_kind[truth[r.doc_id] if truth[r.doc_id] in SCRIPTS else "latin"].append(r.lang_pred == truth[r.doc_id])
+    assert all(sum(v) >= 0.95 * len(v) for v in by_kind.values()) and len(by_kind) == 9, {k: (sum(v), len(v)) for k, v in by_kind.items()}
+    assert language_id.gram_codes("é1é", language_id.Letters()).tolist() == sorted({234, 1, 234 << 21 | 1, 1 << 21 | 234, (234 << 21 | 1) << 21 | 234})
+
+
 def test_toxicity_held_out(spark):
     """Of the held-out rows few clean ones are marked and most toxic ones are (some say nothing toxic any more)."""
     folder = "/root/testdata/sf0.1"
@@ -252,6 +277,48 @@ def test_machine_learns_pairs():
     assert np.allclose(brute, toxicity.machine(x[:4], bias, linear, factors), atol=1e-6)
 
 
+def test_toxicity_of_pairs_among_other_terms(spark):
+    """Toxic texts hold both terms or neither, clean ones just one; every term is as frequent in both classes."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(1200):
+        first, second = i % 2, i // 2 % 2
+        words = [f"w{rng.randrange(400)}" for _ in range(30)] + ["insult"] * first + ["group"] * second
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(first == second)))
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks.filter("doc_id % 5 <> 0"))
+    said = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    held = [i for i, _ in rows if i % 5 == 0]
+    assert sum(said[i] == bool(labels[i][1]) for i in held) >= 0.95 * len(held)
+
+
+def test_pair_screen_brute_force():
+    """What a pair adds to the likelihood ratio, counted cell by cell."""
+    rng = np.random.default_rng(8)
+    n = 400
+    a, b, c = (rng.random(n) < 0.5 for _ in range(3))
+    toxic = np.where(rng.random(n) < 0.9, a == b, a != b).astype(float)
+    sets = [np.array([t for t, on in ((3, a[i]), (9, b[i]), (20, c[i])) if on], np.int32) for i in range(n)]
+    share = np.ones(n)
+
+    def ratio(cells):
+        base, total = toxic.mean(), 0.0
+        for cell in cells:
+            m, t = cell.sum(), toxic[cell].sum()
+            total += sum(2 * x * np.log(x / (m * q)) for x, q in ((t, base), (m - t, 1 - base)) if x)
+        return total
+
+    level = 2 * np.log(3 / toxicity.CHANCE) + 2
+    want = set()
+    for (i, x), (j, y) in combinations([(3, a), (9, b), (20, c)], 2):
+        added = ratio([x & y, x & ~y, ~x & y, ~x & ~y]) - ratio([x, ~x]) - ratio([y, ~y])
+        want |= {i, j} if added >= level else set()
+    assert set(toxicity.screened_pairs(sets, toxic, share).tolist()) == want == {3, 9}
+    assert not len(toxicity.screened_pairs([], toxic[:0], share[:0])) and not len(toxicity.screened_pairs(sets, np.zeros(n), share))
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, None), (None, "x")], DOCS)
     model = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -295,6 +362,15 @@ def test_mixing(spark, seed):
     assert mixed == Counter({r.doc_id: r.repeats for r in got if r.repeats})
 
 
+def test_mixing_leaves_empty_documents_at_the_cap(spark):
+    """Where a source is taken as often as it may be, a document of no words is not taken once more."""
+    rows = [(i, "w " * 50, "big") for i in range(40)] + [(100 + i, "" if i < 30 else "w", "small") for i in range(40)]
+    df = spark.createDataFrame(rows, DOCS + ", source string")
+    made = mixing.mix(df, weights=(1, 9)).collect()
+    assert max(r.repeats for r in made) <= 3 and all(r.repeats == 3 for r in made if r.source == "small")
+    assert max(Counter(r.doc_id for r in mixing.mixed_documents(df, weights=(1, 9)).collect()).values()) <= 3
+
+
 # --- everything ---------------------------------------------------------------------------------------------------
 
 OPERATORS = {
@@ -338,13 +414,31 @@ def test_odd_rows_in_stages(spark, stage):
     assert fn(spark, df.limit(0), None).collect() == []
 
 
+def test_stages_decide(spark, sf):
+    """Texts in no learned language go and clean ones stay; of two texts under one id only the near copy goes."""
+    rng = random.Random(3)
+    docs = queries.table(spark, sf, "documents")
+    letters = lambda a, n: "".join(chr(a + rng.randrange(n)) for _ in range(5))
+    odd = [" ".join(letters(0x61, 26) for _ in range(150)) for _ in range(10)] + [" ".join(letters(0x430, 32) for _ in range(150)) for _ in range(10)]
+    row = docs.first()
+    planted = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate([*odd, "12 34", ""])], docs.schema)
+    kept = corpus_pipeline.by_language(spark, docs.unionByName(planted), sf)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()}
+    base = " ".join(f"word{i}" for i in range(400))
+    texts = [(1, base), (2, base + " x"), (2, row.text), (3, base + " y"), (None, base)]
+    some = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], docs.schema)
+    left = corpus_pipeline.without_near_copies(spark, some, sf).collect()
+    assert sorted((r.doc_id or 0, r.text[:8]) for r in left) == sorted([(0, base[:8]), (1, base[:8]), (2, row.text[:8])])
+
+
 def test_pipeline_brute_force(spark, sf):
     docs = {r.doc_id: r for r in queries.table(spark, sf, "documents").collect()}
     wanted = sorted(docs)
     model = language_id.fit(queries.table(spark, sf, "documents").filter(id_remainder("doc_id", 4) != 2))
-    said = {r.doc_id: r for r in language_id.classify(queries.table(spark, sf, "documents"), model, ["doc_id"]).collect()}
-    kept = [i for i in wanted if said[i].lang_pred != "und"]
-    assert {i for i in wanted if i not in kept} == {i for i in wanted if not any(c.isalpha() for c in docs[i].text or "")}
+    said = {r.doc_id: r for r in language_id.classify(queries.table(spark, sf, "documents"), model, ["doc_id"], grams="g").collect()}
+    floor = language_id.score_without_evidence(model) + corpus_pipeline.MARGIN
+    kept = [i for i in wanted if said[i].lang_pred != "und" and not (said[i].g >= corpus_pipeline.EVIDENCE and said[i].score < floor)]
+    assert {i for i in wanted if said[i].lang_pred == "und"} == {i for i in wanted if not any(c.isalpha() for c in docs[i].text or "")}
     last = {docs[i].text or "": i for i in kept}
     kept = sorted(last.values())
     prints = {i: plain_simhash(docs[i].text) for i in kept}

@@ -21,7 +21,8 @@ def exact_dedup(
     """One row per input row: id, `keep_id`, `group_size`, `kept`, the carried expressions, and the text if asked for.
 
     Rows are grouped by byte length and, within a length, by the hash of their first characters; a group of
-    one is settled there.  Only the rows of larger groups have their whole text hashed (SHA-256).  Of equal
+    one is settled there.  Only rows of larger groups are told apart by their whole text (SHA-256, taken where the text
+    is read, so that no text is moved unless it is asked for).  Of equal
     texts the row with the largest id is kept.  A null text equals the empty one; nothing is normalised.
     A null id is smaller than any id.  Of repeated rows (same id and text) one is kept and all are counted.
     A hot group of copies is aggregated in 64 parts and joined back on (group, part).
@@ -32,15 +33,16 @@ def exact_dedup(
         F.col(id_col).alias("__id"),
         F.octet_length(text).alias("__len"),
         F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("__prefix"),
-        F.col(text_col).alias("__text"),
+        F.col(text_col).alias("__text") if with_text else F.unhex(F.sha2(text, 256)).alias("__full"),
         *[c.alias(f"__c_{n}") for n, c in carry.items()],
     )
     refined = rows.groupBy("__len", "__prefix").agg(F.count(F.lit(1)).alias("__n"))
     alive = refined.filter(F.col("__n") > 1).select("__len", "__prefix")
-    unread = [] if with_text else ["__text"]
-    single = rows.drop(*unread).join(alive, ["__len", "__prefix"], "left_anti")
+    single = rows.drop("__full").join(alive, ["__len", "__prefix"], "left_anti")
     content = rows.join(alive, ["__len", "__prefix"], "left_semi")
-    content = staged(content.withColumn("__full", F.sha2(F.coalesce("__text", F.lit("")), 256)).drop(*unread))
+    if with_text:
+        content = content.withColumn("__full", F.unhex(F.sha2(F.coalesce("__text", F.lit("")), 256)))
+    content = staged(content)
     merged = with_group_stats(
         content, ["__full"], ["__id"], sums={"__n": F.lit(1)}, maxs={"__keep": F.col("__id")}
     )

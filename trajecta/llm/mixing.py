@@ -75,8 +75,10 @@ def mixing_plan(sized: DataFrame, seed: int = SEED, weights: tuple[int, ...] = W
     whole_slices = slices.filter(F.col("before") + F.col("n") <= F.col("rest")).groupBy("source")
     last = last.unionByName(whole_slices.agg(F.concat(F.max("slice"), F.lit("g")).alias("key")))
     last = last.groupBy(F.col("source").alias("s")).agg(F.max("key").alias("last_key"))
+    # Where nothing is left to take, documents of no words are not taken once more either.
+    last_key = F.when(F.col("rest") > 0, F.col("last_key"))
     return plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", "whole", F.coalesce("last_key", F.lit("")).alias("last_key")
+        "source", "source_size", "target", "whole", F.coalesce(last_key, F.lit("")).alias("last_key")
     )
 
 
@@ -102,14 +104,14 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, m
     return rows.withColumn("taken", F.col("size") * F.col("repeats"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: every row as often as it is taken, columns unchanged.
 
     The per-source plan is written first, so its size is known when the join is planned: a small one is broadcast
     and no text is shuffled by source.
     """
     sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    plan = staged(mixing_plan(sized, seed)).select(
+    plan = staged(mixing_plan(sized, seed, weights, max_epochs)).select(
         F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("last_key").alias("__last")
     )
     extra = (draw_key(F.col("doc_id"), seed) <= F.col("__last")).cast("long")

@@ -137,17 +137,27 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return reach.join(home, "anchor").filter(near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row per input row: id, `fp` (long), `component_id`, the smallest id reachable over links.
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    distance: int = DISTANCE,
+    carry: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row per input row: id, `fp` (long), `component_id`, the smallest id reachable over links, and what is carried.
 
     Equal fingerprints are linked and stand as one, so a group of copies costs nothing beyond its rows; it is
     pre-aggregated before any shuffle.  Null and empty texts have fingerprint 0 and are linked like any other.
     Rows with a null id get the component of their fingerprint; if all ids of a component are null, so is it.
     """
-    prints = staged(docs.select(F.col(id_col).cast("long").alias("__id"), simhash(F.col(text_col)).alias("fp")))
+    extra = [c.alias(f"__c_{n}") for n, c in (carry or {}).items()]
+    prints = staged(docs.select(F.col(id_col).cast("long").alias("__id"), simhash(F.col(text_col)).alias("fp"), *extra))
     distinct = staged(prints.groupBy("fp").agg(F.min("__id").alias("rep")))
-    found = components(links(distinct.filter(F.col("rep").isNotNull()), distance), "a", "b")
-    label = distinct.join(found, F.col("rep") == F.col("node"), "left")
-    label = label.select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # The graph is one of fingerprints, so rows that share no more than an id are not linked.
+    found = components(links(distinct.select("fp", F.col("fp").alias("rep")), distance), "a", "b")
+    label = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    least = label.filter(F.col("fp") != F.col("root")).select("root").distinct().join(label, "root")
+    least = least.groupBy("root").agg(F.min("rep").alias("component_id"))
+    label = label.join(least, "root", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     rows = join_group_table(prints, label, ["fp"], "__id")
-    return rows.select(F.col("__id").alias(id_col), "fp", "component_id")
+    return rows.select(F.col("__id").alias(id_col), "fp", "component_id", *[F.col(f"__c_{n}").alias(n) for n in carry or {}])

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 20
 ROWS_PER_CLASS = 4000  # bound of the training sample
-MAX_TERMS = 4096  # terms with weights
+MAX_TERMS = 4096  # terms with weights, chosen on their own account; PAIR_TERMS more may come in as pairs
+PAIR_TERMS, PAIR_ROWS = 2048, 8  # the commonest terms of the sample, in so many rows at least, are screened in pairs too
 COPY, COPY_BANDS, COPY_ROWS = 0.5, 16, 5
 CHANCE = 1.0  # expected number of terms modelled by chance alone, over all terms of the sample
 FACTORS = 4
@@ -86,6 +87,51 @@ def screened(rows: list[np.ndarray], toxic: np.ndarray, share: np.ndarray) -> np
     return np.sort(seen[chosen]).astype(np.int32)
 
 
+def screened_pairs(rows: list[np.ndarray], toxic: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Buckets of the terms whose pairs tell the classes apart, though each alone may not.
+
+    For each pair of common terms the rows fall into four cells: both, one, the other, neither.  The likelihood ratio of
+    the toxic share by cell, less those of the two terms, is what the pair adds; it stays by the same rule as a term.
+    Counts of all pairs are matrix products over the bounded sample.
+    """
+    if not len(rows):
+        return np.zeros(0, np.int32)
+    seen, count = np.unique(np.concatenate(rows), return_counts=True)
+    common = np.argsort(-count, kind="stable")[:PAIR_TERMS]
+    buckets = np.sort(seen[common[count[common] >= PAIR_ROWS]])
+    total, ill = share.sum(), (share * toxic).sum()
+    if len(buckets) < 2 or not 0 < ill < total:
+        return np.zeros(0, np.int32)
+    x = np.zeros((len(rows), len(buckets)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.flatnonzero(np.isin(buckets, r, assume_unique=True))] = 1
+    n11 = (x * share[:, None].astype(np.float32)).T @ x
+    t11 = (x * (share * toxic)[:, None].astype(np.float32)).T @ x
+    n1, t1 = n11.diagonal().astype(float), t11.diagonal().astype(float)
+
+    def gain(n: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """n * (relative entropy of the share in a cell against the share of all), twice; the parts add up to a ratio."""
+        n, t, base = np.maximum(n, 0), np.clip(t, 0, np.maximum(n, 0)), ill / total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            parts = t * np.log(t / (n * base)), (n - t) * np.log((n - t) / (n * (1 - base)))
+        return 2 * sum(np.nan_to_num(p, nan=0.0, posinf=0.0, neginf=0.0) for p in parts)
+
+    single = gain(n1, t1) + gain(total - n1, ill - t1)
+    found = np.zeros(len(buckets), bool)
+    level = 2 * np.log(len(buckets) * (len(buckets) - 1) / 2 / CHANCE) + 2
+    for i in range(len(buckets)):  # a row of the table of pairs at a time
+        n, t = n11[i].astype(float), t11[i].astype(float)
+        cells = gain(n, t) + gain(n1 - n, t1 - t) + gain(n1[i] - n, t1[i] - t)
+        cells += gain(total - n1 - n1[i] + n, ill - t1 - t1[i] + t)
+        added = cells - single - single[i]
+        added[i] = 0
+        hits = added >= level
+        if hits.any():
+            found[i] = True
+            found |= hits
+    return buckets[found].astype(np.int32)
+
+
 def machine(x: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Scores of 0/1 rows: bias + sum of weights + sum over pairs of the products of their factors."""
     mixed = x @ factors
@@ -144,7 +190,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """Model learned from the bounded sample, or None without labelled documents.
 
-    Only the hashed terms of the sample come to the driver, never texts.
+    Only the hashed terms of the sample come to the driver, never texts.  Null ids and texts: a label without an id is
+    left out, a null text has no terms.  Rows that share an id and a label all count, as one group of copies if alike.
+    Terms that tell the classes apart, alone or in pairs, enter the machine.
     """
 
     def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     toxic = np.array([r["toxic"] for r in rows], float)
     sets = [np.asarray(r["terms"], np.int32) for r in rows]
     share = copy_shares(sets)
-    buckets = screened(sets, toxic, share)
+    buckets = np.union1d(screened(sets, toxic, share), screened_pairs(sets, toxic, share)).astype(np.int32)
     x = np.zeros((len(rows), len(buckets)), np.float32)
     for i, s in enumerate(sets):
         x[i, np.flatnonzero(np.isin(buckets, s, assume_unique=True))] = 1
@@ -169,9 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
 def score(docs: DataFrame, model: dict | None, columns: list[str], text_col: str = "text") -> DataFrame:
     """`columns` of every row with `score`, the probability of the toxic class; whole texts are read.
 
-    A null or empty text has the score of the bias alone; without a model every score is 0.
+    A null or empty text has the score of the bias alone; without a model every score is 0.  Repeated rows are scored
+    each, alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS + PAIR_TERMS terms
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*columns).dtypes) + ", score double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
