@@ -12,15 +12,24 @@ from trajecta.llm.common import id_remainder, table
 from trajecta.session import checkpoint_root
 
 
+EVIDENCE = 500  # distinct n-grams from which a text can be told to be in no learned language
+MARGIN = 0.04  # of the score above that of a text that shares no n-gram with any language
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that have no language: null texts and texts without a letter.
+    """Drops documents in no learned language, and those without a letter (null and empty texts too).
 
-    A low score alone rejects nothing, as clean documents of a word or two have one.
+    A text of at least EVIDENCE distinct n-grams goes if its best score is within MARGIN of what a text without any
+    known n-gram gets.  Shorter texts with a letter stay: clean ones of a few words have low scores.  Rows are judged one by
+    one, so repeated rows and null ids are rows like others; if nothing can be learned, no text has a language.
+    Columns named like those added are kept apart by the leading underscores.
     """
     names = docs.columns
     model = language_id.fit(docs.filter(id_remainder("doc_id", 4) != 2))
-    labelled = language_id.classify(docs, model, names, label="__lang_pred", value="__score")
-    return labelled.filter(F.col("__lang_pred") != language_id.UNDETERMINED).select(*names)
+    labelled = language_id.classify(docs, model, names, label="__lang_pred", value="__score", grams="__grams")
+    floor = language_id.score_without_evidence(model) + MARGIN
+    foreign = (F.col("__grams") >= EVIDENCE) & (F.col("__score") < floor)
+    return labelled.filter((F.col("__lang_pred") != language_id.UNDETERMINED) & ~foreign).select(*names)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +40,29 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates; null ids stay."""
-    away = simhash.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__away"))
-    return docs.join(away, F.col("doc_id") == F.col("__away"), "left_anti")
+    """Keeps the document with the smallest doc_id of each group of near duplicates; null ids stay.
+
+    A row is known by its id and text, so of two texts under one id only the near copy goes.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = {"__hash": F.xxhash64(text), "__size": F.octet_length(text)}
+    away = simhash.near_duplicates(docs, carry=key).filter("doc_id <> component_id")
+    away = away.select(F.col("doc_id").alias("__away"), *key).distinct()
+    rows = docs.withColumns({f"{n}_": c for n, c in key.items()})
+    same = (F.col("doc_id") == F.col("__away")) & (F.col("__hash") == F.col("__hash_")) & (F.col("__size") == F.col("__size_"))
+    return rows.join(away, same, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents until the sources have their target weights."""
+    """Repeats or drops documents until the sources have their target weights; a null source is one of its own.
+
+    A null text has no words and is taken as the draw of its id says; rows with one id share a draw.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
+    """Token ids of every text; a null text is empty, rows with one id share their draws, further columns are left out."""
     return sentencepiece_bpe.encode_texts(docs)
 
 
