@@ -149,9 +149,11 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.n
     toxic, clean = (scaled * y) @ x + 0.5, (scaled * (1 - y)) @ x + 0.5
     bias = float(np.log(((scaled * y).sum() + 0.5) / ((scaled * (1 - y)).sum() + 0.5)))
     linear = np.log(toxic / clean) - bias
-    factors = rng.normal(0, 0.05, (x.shape[1], FACTORS))
-    sums = [1e-8, np.full_like(linear, 1e-8), np.full_like(factors, 1e-8)]
-    weight = weight / weight.sum()
+    # One kind of number throughout, so that no step copies the whole matrix.
+    kind = x.dtype
+    linear, factors = linear.astype(kind), rng.normal(0, 0.05, (x.shape[1], FACTORS)).astype(kind)
+    sums = [kind.type(1e-8), np.full_like(linear, 1e-8), np.full_like(factors, 1e-8)]
+    weight, y = (weight / weight.sum()).astype(kind), y.astype(kind)
     for _ in range(STEPS):
         mixed = x @ factors
         margin = bias + x @ linear + 0.5 * (mixed**2 - x @ factors**2).sum(1)
@@ -164,9 +166,9 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.n
         ]
         sums = [s + g * g for s, g in zip(sums, steps)]
         bias -= RATE * steps[0] / np.sqrt(sums[0])
-        linear -= RATE * steps[1] / np.sqrt(sums[1])
-        factors -= RATE * steps[2] / np.sqrt(sums[2])
-    return bias, linear, factors
+        linear -= (RATE * steps[1] / np.sqrt(sums[1])).astype(kind)
+        factors -= (RATE * steps[2] / np.sqrt(sums[2])).astype(kind)
+    return float(bias), linear.astype(float), factors.astype(float)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
