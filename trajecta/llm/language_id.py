@@ -104,11 +104,11 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     falls below the share its language needs.
     """
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = usable.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = staged(usable.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n")))
     each = F.greatest(F.least(F.lit(SAMPLE_ROWS) / counts.select(F.count(F.lit(1))).scalar(), F.lit(ROWS_PER_LANGUAGE)), F.lit(LEAST_ROWS))
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
     rows = usable.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw"))
-    # A row a language; the optimiser broadcasts it if it is small.
+    # A written row a language: the optimiser knows its size and moves no text for a small one.
     rows = rows.join(counts.withColumn("__each", each), F.col("lang") == F.col("__lang"))
     return rows.filter(F.col("draw") * F.col("__n") < F.col("__each")).select("text", "lang", "draw")
 
