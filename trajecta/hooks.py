@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import importlib.util
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,8 +65,8 @@ def row_reward(
 def grouped_reduce(fn: Callable[[pd.Series], float]):
     """A user reduce function over the values of a group as an aggregate.
 
-    The function sees the values of a group together, as its result may not be mergeable (a median).  A
-    mergeable one is spread by reducing slices first and then their results, with the user's own functions.
+    The function sees the values of a group together, as its result may not be mergeable (a median).
+    `merged_reduce` is the form for results that are.
     """
 
     @F.pandas_udf(T.DoubleType())
@@ -73,6 +76,98 @@ def grouped_reduce(fn: Callable[[pd.Series], float]):
     return reduce_values
 
 
+class Mergeable:
+    """A user aggregate in four steps; a state is a list of numbers of fixed length.
+
+    `update` takes some values of a group, `merge` two states of the same group in any order, `finish` makes the result.
+    """
+
+    def init(self) -> list[float]:
+        raise NotImplementedError
+
+    def update(self, state: list[float], values: np.ndarray) -> list[float]:
+        raise NotImplementedError
+
+    def merge(self, a: list[float], b: list[float]) -> list[float]:
+        raise NotImplementedError
+
+    def finish(self, state: list[float]) -> float | None:
+        raise NotImplementedError
+
+
+class Moments(Mergeable):
+    """Count, mean and sum of squared deviations, merged without subtracting large squares; gives the variance or the mean."""
+
+    def __init__(self, variance: bool = True):
+        self.variance = variance
+
+    def init(self) -> list[float]:
+        return [0.0, 0.0, 0.0]
+
+    def update(self, state: list[float], values: np.ndarray) -> list[float]:
+        mean = values.mean()
+        return self.merge(state, [float(len(values)), float(mean), float(((values - mean) ** 2).sum())])
+
+    def merge(self, a: list[float], b: list[float]) -> list[float]:
+        n = a[0] + b[0]
+        if n == 0:
+            return a
+        apart = b[1] - a[1]
+        return [n, a[1] + apart * b[0] / n, a[2] + b[2] + apart * apart * a[0] * b[0] / n]
+
+    def finish(self, state: list[float]) -> float | None:
+        return None if state[0] == 0 else state[2] / state[0] if self.variance else state[1]
+
+
+HELD = 100_000  # groups whose states a task holds before it passes them on
+SPREAD = 64  # tasks that the states of one group are merged in first
+
+
+def merged_reduce(df: DataFrame, key: str, value: str, aggregate: Mergeable, name: str = "value") -> DataFrame:
+    """(key, name): a user aggregate per group, for groups of any size.
+
+    Every task updates states with the values it reads, so a group that holds a third of all rows is spread over all
+    tasks and no value is moved.  States are merged in a tree: in SPREAD parts by task, then the parts.  Null values are
+    left out; a group of nulls has the result of the first state; a null key is a group.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, task int, state array<double>"
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)  # pandas reads whole numbers with nulls as fractions
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        task = TaskContext.get().partitionId() % SPREAD
+
+        def passed_on() -> pd.DataFrame:
+            out = pd.DataFrame({key: pd.Series(list(states), dtype=object), "task": task, "state": list(states.values())})
+            states.clear()
+            return out
+
+        for batch in batches:
+            for group, rows in batch.groupby(key, dropna=False, sort=False):
+                group = None if pd.isna(group) else int(group) if whole else group
+                values = rows[value].dropna().to_numpy()
+                state = states.get(group) or aggregate.init()
+                states[group] = aggregate.update(state, values) if len(values) else state
+            if len(states) > HELD:
+                yield passed_on()
+        if states:
+            yield passed_on()
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[:1].copy()
+        first["state"] = [functools.reduce(aggregate.merge, [list(s) for s in rows["state"]])]
+        return first
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        out = merge(rows)
+        return out[[key]].assign(**{name: [aggregate.finish(list(out["state"].iloc[0]))]})
+
+    states = df.select(key, F.col(value).cast("double").alias(value)).mapInPandas(partial, schema)
+    parts = states.groupBy(key, "task").applyInPandas(merge, schema)
+    return parts.groupBy(key).applyInPandas(finish, f"`{key}` {kind}, `{name}` double")
+
+
 class CurriculumSampler:
     """Re-weights rows from metrics of the last batches; the weight feeds a seeded weighted choice."""
 
@@ -94,8 +189,11 @@ class CurriculumSampler:
 
 __all__ = [
     "CurriculumSampler",
+    "Mergeable",
+    "Moments",
     "grouped_reduce",
     "load_function",
+    "merged_reduce",
     "register_estimator",
     "register_loss",
     "register_reward",

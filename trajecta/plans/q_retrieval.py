@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..derive import METRIC_NAMES, RESPONSES_SQL, STREAM_SQL, TOKENS_SQL, responses, rollout_stream, stream_columns, table, trajectories
-from ..hooks import CurriculumSampler, grouped_reduce, row_reward
+from ..hooks import CurriculumSampler, Mergeable, Moments, merged_reduce, row_reward
 from ..operators import advantages as A
 from ..operators import retrieval as R
 from ..operators import stepmetrics as S
@@ -259,11 +259,32 @@ def hook_custom_estimator(spark, sf):
 
 @query("hook_grouped_reduce", f"SELECT event_type, {sq('max(value) - min(value)')} AS spread FROM events GROUP BY event_type")
 def hook_grouped_reduce(spark, sf):
-    """A user reduce function in two steps: per bounded slice, then over the slice results."""
-    high, low = grouped_reduce(lambda v: v.max()), grouped_reduce(lambda v: v.min())
-    part = table(spark, sf, "events").groupBy("event_type", (F.col("event_id") % 64).alias("slice")).agg(high("value").alias("hi"), low("value").alias("lo"))
-    out = part.groupBy("event_type").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-    return out.select("event_type", rnd(F.col("hi") - F.col("lo")).alias("spread"))
+    """A user aggregate that is no sum: the spread of the values of a group."""
+    out = merged_reduce(table(spark, sf, "events"), "event_type", "value", Spread(), "spread")
+    return out.select("event_type", rnd("spread").alias("spread"))
+
+
+class Spread(Mergeable):
+    def init(self):
+        return [float("inf"), float("-inf")]
+
+    def update(self, state, values):
+        return self.merge(state, [values.min(), values.max()])
+
+    def merge(self, a, b):
+        return [min(a[0], b[0]), max(a[1], b[1])]
+
+    def finish(self, state):
+        return state[1] - state[0] if state[0] <= state[1] else None
+
+
+@query("hook_merged_reduce", f"SELECT event_type, {sq('avg(value)')} AS mean, {sq('var_pop(value)')} AS variance FROM events GROUP BY event_type")
+def hook_merged_reduce(spark, sf):
+    """User mean and user variance, from states that are merged in any order."""
+    events = table(spark, sf, "events")
+    mean = merged_reduce(events, "event_type", "value", Moments(variance=False), "mean")
+    both = mean.join(merged_reduce(events, "event_type", "value", Moments(), "variance"), "event_type")
+    return both.select("event_type", rnd("mean").alias("mean"), rnd("variance").alias("variance"))
 
 
 @query(
