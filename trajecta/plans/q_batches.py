@@ -390,7 +390,10 @@ def source_metric_log(spark, sf):
     path = f"{checkpoint_root(spark)}/metrics-{uuid.uuid4().hex}"
     one = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("step"), "o_orderstatus").agg(F.max("o_totalprice").alias("v"))
     data = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("price/"), "o_orderstatus"), "v")))
-    S.append_metrics(one.groupBy("step").agg(data.alias("data")), path)
+    logged = one.groupBy("step").agg(data.alias("data"))
+    # The second append of a batch, as after a retry, adds nothing.
+    for part, batch in ((0, "even"), (1, "odd"), (0, "even")):
+        S.append_metrics(logged.filter(F.pmod("step", F.lit(2)) == part), path, batch)
     return S.load_metrics(spark, path).select("step", "key", rnd("value", 2).alias("value"))
 
 

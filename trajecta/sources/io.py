@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -116,14 +117,61 @@ def load_eval_statistics(spark: SparkSession, root: str, fields: list[str], max_
     return rows.orderBy("model", "step")
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """(step, data map) rows appended as JSON lines."""
-    df.select("step", "data").write.mode("append").json(path)
+COMMITS = "_commits"
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def append_once(df: DataFrame, path: str, batch: str, form: str = "json") -> bool:
+    """Append a batch of rows under its name; a batch that is there already is left as it is, which returns False.
+
+    The rows go to a folder of this attempt; a small file that names the folder is then moved to the name of the batch,
+    in one step.  Readers take the folders that are named, so an attempt that died half-way, or one that came
+    second, leaves nothing to be read, and a retried append adds its rows once.
+    """
+    spark, attempt = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    commit, files = _place(spark, f"{path}/{COMMITS}/{batch}")
+    if files.exists(commit):
+        return False
+    df.write.format(form).save(f"{path}/{attempt}")
+    note = _place(spark, f"{path}/{COMMITS}/.{attempt}")[0]
+    out = files.create(note, False)
+    out.writeBytes(attempt)
+    out.close()
+    return not files.exists(commit) and files.rename(note, commit)
+
+
+def committed(spark: SparkSession, path: str, schema: T.StructType | str, form: str = "json") -> DataFrame:
+    """The rows of all batches appended by `append_once`; one small file a batch is read to find them."""
+    folder, files = _place(spark, f"{path}/{COMMITS}")
+    if not files.exists(folder):
+        return spark.createDataFrame([], schema)
+    notes = [str(f.getPath()) for f in files.listStatus(folder) if not f.getPath().getName().startswith(".")]
+    names = [r[0] for r in spark.read.text(notes).collect()] if notes else []
+    reader = spark.read.schema(schema).format(form)
+    return reader.load([f"{path}/{n}" for n in names]) if names else spark.createDataFrame([], schema)
+
+
+METRICS = "step long, data map<string,double>"
+
+
+def append_metrics(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """(step, data map) rows appended as JSON lines; with a batch name a repeated append adds them once."""
+    rows = df.select("step", "data")
+    if batch is None:
+        rows.write.mode("append").json(path)
+    else:
+        append_once(rows, path, batch)
 
 
 def load_metrics(spark: SparkSession, path: str) -> DataFrame:
-    schema = "step long, data map<string,double>"
-    return spark.read.schema(schema).json(path).select("step", F.explode("data").alias("key", "value"))
+    """(step, key, value) of a log; of one written in batches, those that were committed."""
+    folder, files = _place(spark, f"{path}/{COMMITS}")
+    rows = committed(spark, path, METRICS) if files.exists(folder) else spark.read.schema(METRICS).json(path)
+    return rows.select("step", F.explode("data").alias("key", "value"))
 
 
 def flatten_nested(df: DataFrame, keys: list[str], sep: str = "/") -> DataFrame:
