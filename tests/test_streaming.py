@@ -1,5 +1,6 @@
 import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trajecta.streaming import rollouts as Z
@@ -105,3 +106,18 @@ def test_a_batch_over_two_triggers_gives_one_row(spark, tmp_path):
     stream = chunks_as_stream(spark, tmp_path, rows, "sample_id long, value double, batch long", 15)
     out = Z.assembly_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), lambda b: b.groupBy("batch").agg(F.avg("value").alias("v")))
     assert sorted(map(tuple, out.collect())) == [(0, 9.5), (1, 29.5)]
+
+
+def test_totals_merge_over_triggers_and_finish_once(spark, tmp_path):
+    rng = [((i * 37) % 101) / 3 for i in range(50)]
+    rows = [(i, v, v / 2 if i % 5 else None, i % 7, i % 7 - i % 2, i % 7, i // 20) for i, v in enumerate(rng)]
+    schema = "sample_id long, processing_time double, tool_call_time double, param_version long, param_version_start long, param_version_end long, batch long"
+    stream = chunks_as_stream(spark, tmp_path, rows, schema, 15)
+    out = Z.run_to_files(Z.assembly_totals(stream, ["batch"], 20), str(tmp_path / "out"), str(tmp_path / "ck"), mode="update").collect()
+    assert sorted(r.batch for r in out) == [0, 1]  # the third batch has 10 of its 20 samples
+    for r in out:
+        mine = [x for x in rows if x[-1] == r.batch]
+        times, tools = [x[1] for x in mine], [x[2] for x in mine if x[2] is not None]
+        assert np.allclose([r.processing_time_avg, r.tp50, r.tp95, r.tp99], [np.mean(times), *np.percentile(times, [50, 95, 99])])
+        assert np.allclose([r.tool_calls_max, r.tool_calls_min, r.tool_calls_mean], [max(tools), min(tools), np.mean(tools)])
+        assert (r.n_samples, r.version_diversity, r.total_partial_num, r.max_partial_span) == (20, 7, 10, 1)

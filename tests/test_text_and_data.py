@@ -65,8 +65,11 @@ def test_equivalence(spark, a, b, same):
 
 @pytest.mark.parametrize(
     "a, b, same",
-    [("1,234", "1234", True), ("( 1 , 2 )", "(1,2)", True), ("[1,2)", "(1,2)", False), ("3 meters", "3", True), ("5.0", "5", True), ("1/2", "2/4", False)],
-)
+    [("1,234", "1234", True), ("( 1 , 2 )", "(1,2)", True), ("[1,2)", "(1,2)", False), ("3 meters", "3", True), ("5.0", "5", True), ("1/2", "2/4", False),
+        ("(( 1 cm , 2 ), 3)", "((1,2),3)", True), ("((1,2),3)", "((1,3),3)", False), ("[(1 cm,2),3]", "((1,2),3)", False),
+        ("([0, 1 cm), (2,3])", "([0,1),(2,3])", True), ("((1 cm,2),3)", "((1,2),3,4)", False), ("(1 cm)(2)", "(1 cm)(2)", True),
+        ("((𝑥 cm, 2), 3)", "((𝑥,2),3)", True), ("((1,2)", "((1,2)", True), ("((1 cm),)", "((1),2)", False)],
+)
 def test_rule_grade(spark, a, b, same):
     assert one(spark, a, N.rule_grade(F.col("x"), F.lit(b))) is same
 

@@ -243,14 +243,47 @@ def normalize_expression(x: Column) -> Column:
     return let(x, unbraced, whole, lowered, whole_with_commas)
 
 
+def _nested_elements(t: Column) -> Column:
+    """Elements between the outer brackets of a text, cut at the commas that stand in no inner bracket; null if the outer
+    brackets do not belong together.  Blanks beside inner brackets and commas are dropped.
+
+    A bracket opens or closes whatever its kind, so half-open intervals may stand inside.
+    """
+    chars = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(True).alias("whole"), F.array(F.lit(1)).alias("cuts"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c.isin("(", "["), 1).when(c.isin(")", "]"), -1).otherwise(0)
+        at = s["at"] + 1
+        cut = (c == ",") & (s["depth"] == 1)
+        return F.struct(
+            depth.alias("depth"),
+            at.alias("at"),
+            (s["whole"] & ((depth > 0) | ((depth == 0) & (at == F.length(t))))).alias("whole"),
+            F.when(cut, F.array_append(s["cuts"], at)).otherwise(s["cuts"]).alias("cuts"),
+        )
+
+    def between(s: Column) -> Column:
+        ends = F.concat(F.slice(s["cuts"], F.lit(2), F.size(s["cuts"])), F.array(F.length(t)))
+        parts = F.zip_with(s["cuts"], ends, lambda a, b: F.substring(t, a + 1, b - a - 1))
+        plain = F.transform(parts, lambda e: strip(F.regexp_replace(e, r"\s*([()\[\],])\s*", "$1")))
+        return F.when(s["whole"], plain)
+
+    return let(F.aggregate(chars, start, step), between)
+
+
 def tuple_elements(x: Column) -> Column:
-    """Elements of one well-formed tuple or interval; any other text is its own single element."""
+    """Elements of one well-formed tuple or interval, which may hold others; any other text is its own single element."""
 
     def parts(t: Column) -> Column:
         inner = F.split(F.substring(t, F.lit(2), F.length(t) - 2), ",", -1)
         is_tuple = t.rlike(r"^[()\[\]][^()\[\]]+[()\[\]]\z")
-        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(
-            F.when(is_tuple, F.transform(inner, lambda e: strip(e))).otherwise(F.array(t))
+        is_nested = t.rlike(r"(?s)^[(\[].*[)\]]\z")
+        return (
+            F.when(F.length(t) == 0, F.array().cast("array<string>"))
+            .when(is_tuple, F.transform(inner, lambda e: strip(e)))
+            .when(is_nested, F.coalesce(_nested_elements(t), F.array(t)))
+            .otherwise(F.array(t))
         )
 
     return let(plain_commas(x), parts)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from .operators.advantages import register_estimator
 from .operators.grouping import unit_digest
 from .operators.losses import register_loss
+from .sources.io import append_once, committed
 
 REWARDS: dict[str, Callable] = {}
 
@@ -168,6 +169,56 @@ def merged_reduce(df: DataFrame, key: str, value: str, aggregate: Mergeable, nam
     return parts.groupBy(key).applyInPandas(finish, f"`{key}` {kind}, `{name}` double")
 
 
+DATASETS: dict[str, tuple[Callable[..., DataFrame], T.StructType]] = {}
+
+
+def register_dataset(name: str, transform: Callable[..., DataFrame], schema: T.StructType | str) -> None:
+    """A user dataset: a function from a DataFrame (and options) to one of the declared schema."""
+    DATASETS[name] = (transform, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def dataset(name: str, df: DataFrame, **options) -> DataFrame:
+    """`df` through a registered dataset; columns that are missing or of another type than declared are an error.
+
+    Columns that were not declared are left out.
+    """
+    transform, schema = DATASETS[name]
+    out = transform(df, **options)
+    kinds = dict(out.dtypes)
+    wrong = [f.name for f in schema if kinds.get(f.name) != f.dataType.simpleString()]
+    if wrong:
+        raise TypeError(f"dataset {name} does not give {', '.join(wrong)} as declared")
+    return out.select(*schema.names)
+
+
+class Generator:
+    """Makes new rows between the steps of a run."""
+
+    def generate(self, dataset: DataFrame, batch: DataFrame) -> DataFrame:
+        """New rows, of the columns of the dataset, from the dataset so far and the batch of the step that ended."""
+        raise NotImplementedError
+
+
+def grown_dataset(
+    steps: DataFrame, start: DataFrame, generator: Generator, keep: Column, path: str, checkpoint: str
+) -> DataFrame:
+    """`start` and what the generator made after each step of the stream `steps`, as far as `keep` holds (prompt length).
+
+    The rows of a step are appended under its number, so a step that is repeated after a failure adds its rows
+    once; the generator sees those of the earlier steps.
+    """
+    spark, kind = start.sparkSession, start.schema
+
+    def after_step(batch: DataFrame, number: int) -> None:
+        so_far = start.unionByName(committed(spark, path, kind, "parquet"))
+        made = generator.generate(so_far, batch)
+        append_once(made.select(*kind.names).filter(keep), path, f"step-{number}", "parquet")
+
+    query = steps.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(after_step).start()
+    query.awaitTermination()
+    return start.unionByName(committed(spark, path, kind, "parquet"))
+
+
 class CurriculumSampler:
     """Re-weights rows from metrics of the last batches; the weight feeds a seeded weighted choice."""
 
@@ -189,11 +240,15 @@ class CurriculumSampler:
 
 __all__ = [
     "CurriculumSampler",
+    "Generator",
     "Mergeable",
     "Moments",
+    "dataset",
     "grouped_reduce",
+    "grown_dataset",
     "load_function",
     "merged_reduce",
+    "register_dataset",
     "register_estimator",
     "register_loss",
     "register_reward",

@@ -410,6 +410,27 @@ def source_flatten_nested(spark, sf):
     return S.flatten_nested(nested, ["doc_id"])
 
 
+@query(
+    "source_flatten_free",
+    """SELECT doc_id, 'source' AS name, source AS value FROM documents UNION ALL
+    SELECT doc_id, 'by_' || coalesce(lang, 'none') || '/n', CAST(doc_id AS VARCHAR) FROM documents UNION ALL
+    SELECT doc_id, 'by_' || coalesce(lang, 'none') || '/tags/list_len', '2' FROM documents UNION ALL
+    SELECT doc_id, 'by_' || coalesce(lang, 'none') || '/tags/0', 'a "b" [c' FROM documents UNION ALL
+    SELECT doc_id, 'by_' || coalesce(lang, 'none') || '/tags/1/k' || (doc_id % 7) || '/deep', 'true' FROM documents WHERE doc_id % 3 > 0 UNION ALL
+    SELECT doc_id, 'by_' || coalesce(lang, 'none') || '/tags/1', NULL FROM documents WHERE doc_id % 3 = 0""",
+)
+def source_flatten_free(spark, sf):
+    """Dictionaries whose names differ from row to row, in lists and in each other."""
+    n = F.col("doc_id").cast("string")
+    deep = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit('{"k'), (F.col("doc_id") % 7).cast("string"), F.lit('":{"deep":true}}'))).otherwise("null")
+    source = F.substring(F.to_json(F.array("source")), F.lit(2), F.length(F.to_json(F.array("source"))) - 2)
+    text = F.concat(
+        F.lit('{"source":'), source, F.lit(',"by_'), F.coalesce("lang", F.lit("none")), F.lit('":{"n":'), n,
+        F.lit(',"tags":["a \\"b\\" [c",'), deep, F.lit("]}}"),
+    )
+    return S.flatten_free(table(spark, sf, "documents").select("doc_id", text.alias("params")), ["doc_id"], "params")
+
+
 @query(
     "source_eval_collector",
     f"SELECT r_name AS model, r_regionkey * 10 AS step, {sq('avg(c_acctbal)', 2)} AS acc FROM customer JOIN nation ON c_nationkey = n_nationkey "

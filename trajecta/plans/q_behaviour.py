@@ -17,6 +17,7 @@ from ..operators import codefeatures as K
 from ..operators import faithfulness as A
 from ..operators import segments as G
 from ..operators import sequences as X
+from ..sources.io import flatten_free
 from .q_correction import rounded
 from .q_rewards import NUM_SQL, lit, num_sql, q_strip
 from .registry import query, rnd, sq
@@ -386,6 +387,25 @@ def tool_calls_tagged(spark, sf):
     return out.select("conv_id", "turn", F.col("t.content").alias("content"), first["name"].alias("name"), first["arguments"].alias("arguments"))
 
 
+@query(
+    "tool_call_arguments",
+    """WITH c AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations WHERE turn % 3 > 0)
+    SELECT conv_id, turn, role AS call, 'arg_' || turn AS name, CAST(n AS VARCHAR) AS value FROM c UNION ALL
+    SELECT conv_id, turn, role, 'filter/' || role || '/list_len', '2' FROM c UNION ALL
+    SELECT conv_id, turn, role, 'filter/' || role || '/' || i, CASE i WHEN 0 THEN 'x' ELSE 'false' END FROM c, (VALUES (0), (1)) AS v(i)""",
+)
+def tool_call_arguments(spark, sf):
+    """Calls with arguments of any names and depth, one row per argument; a call without arguments has none."""
+    c = table(spark, sf, "conversations")
+    role, turn, n = F.col("role"), F.col("turn").cast("string"), F.length("text").cast("string")
+    given = F.concat(F.lit('{"arg_'), turn, F.lit('":'), n, F.lit(',"filter":{"'), role, F.lit('":["x",false]}}'))
+    x = F.concat(
+        F.lit("<tool_call>{\"name\":\""), role, F.lit("\",\"arguments\":"), F.when(F.col("turn") % 3 > 0, given).otherwise("{}"), F.lit("}</tool_call>")
+    )
+    calls = c.select("conv_id", "turn", F.explode(G.tagged_tool_calls(x)["calls"]).alias("c"))
+    return flatten_free(calls.select("conv_id", "turn", F.col("c.name").alias("call"), F.col("c.arguments").alias("a")), ["conv_id", "turn", "call"], "a")
+
+
 @query(
     "tool_calls_channel",
     "SELECT conv_id, turn, role AS name, '{\"n\": 1}' AS arguments, ' ' || text AS content FROM conversations",

@@ -5,13 +5,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..derive import METRIC_NAMES, RESPONSES_SQL, STREAM_SQL, TOKENS_SQL, responses, rollout_stream, stream_columns, table, trajectories
-from ..hooks import CurriculumSampler, Mergeable, Moments, merged_reduce, row_reward
+from ..hooks import CurriculumSampler, Generator, Mergeable, Moments, dataset, grown_dataset, merged_reduce, register_dataset, row_reward
 from ..operators import advantages as A
 from ..operators import retrieval as R
-from ..operators import stepmetrics as S
+from ..operators.filters import token_count, within_length
 from ..session import checkpoint_root
 from ..streaming import rollouts as Z
 from .q_correction import rounded
+from .q_datasets import WORDS_N
 from .q_metrics import ROLLUP_SQL
 from .registry import query, rnd, sq
 
@@ -198,10 +199,27 @@ def stream_staleness_gate(spark, sf):
       {sq("avg((param_version_start <> param_version_end)::INT)")} AS partial_ratio FROM st GROUP BY batch""",
 )
 def stream_assembly_stats(spark, sf):
-    out = Z.assembly_stream(stream_columns(events_stream(spark, sf)), *places(spark, "assembly"), lambda b: S.assembly_stats(b, ["batch"]))
+    totals = Z.assembly_totals(stream_columns(events_stream(spark, sf)), ["batch"])
+    out = Z.newest(Z.run_to_files(totals, *places(spark, "assembly"), mode="update"), ["batch"])
     return rounded(out.select("batch", "processing_time_avg", "tp95", "partial_ratio"), ("batch",))
 
 
+@query(
+    "stream_assembly_finished",
+    f"""WITH {STREAM_SQL} SELECT param_version, count(*) AS n_samples, {sq("avg(processing_time)")} AS processing_time_avg, {sq("max(tool_call_time)")} AS tool_calls_max,
+      {sq("quantile_cont(processing_time, 0.5)")} AS tp50, {sq("quantile_cont(processing_time, 0.99)")} AS tp99,
+      count(*) FILTER (param_version_start <> param_version_end) AS total_partial_num, count(DISTINCT param_version_start) AS version_diversity
+    FROM st GROUP BY param_version HAVING count(*) >= 500""",
+)
+def stream_assembly_finished(spark, sf):
+    """Batches of 500 samples, told when they are whole; the last one, if it is not, is never told."""
+    samples = stream_columns(events_stream(spark, sf)).withColumn("batch", F.col("param_version")).withColumn("param_version", F.col("param_version_start"))
+    finished = Z.assembly_totals(samples, ["batch"], 500)
+    out = Z.newest(Z.run_to_files(finished, *places(spark, "finished"), mode="update"), ["batch"])
+    cols = [F.col("batch").alias("param_version"), "n_samples", "total_partial_num", F.col("version_diversity").cast("long").alias("version_diversity")]
+    return out.select(*cols, *[rnd(c).alias(c) for c in ("processing_time_avg", "tool_calls_max", "tp50", "tp99")])
+
+
 @query("stream_interval_rollup", f'{ROLLUP_SQL} SELECT "interval", key, {sq("value", 4)} AS value FROM roll')
 def stream_interval_rollup(spark, sf):
     names = F.array(*[F.lit(n) for n in METRIC_NAMES])
@@ -287,6 +305,33 @@ def hook_merged_reduce(spark, sf):
     return both.select("event_type", rnd("mean").alias("mean"), rnd("variance").alias("variance"))
 
 
+def labelled_prompts(df, joint=": "):
+    """A sample user dataset: prompts that name their source."""
+    return df.select(F.col("doc_id").alias("id"), F.concat("source", F.lit(joint), "text").alias("prompt"), "lang")
+
+
+class FollowUps(Generator):
+    """A sample generator: a new prompt for every event of a step that names one of the dataset."""
+
+    def generate(self, dataset, batch):
+        found = batch.join(dataset, F.col("event_id") == F.col("id"))
+        return found.select((-F.col("event_id") - 1).alias("id"), F.concat("event_type", F.lit(" "), "prompt").alias("prompt"))
+
+
+@query(
+    "hook_dataset_generator",
+    f"""WITH d AS (SELECT doc_id AS id, source || ': ' || text AS text FROM documents),
+    g AS (SELECT -event_id - 1 AS id, event_type || ' ' || text AS text FROM events JOIN d ON d.id = event_id)
+    SELECT id, text AS prompt FROM d UNION ALL SELECT id, text FROM g WHERE {WORDS_N} <= 60""",
+)
+def hook_dataset_generator(spark, sf):
+    """A registered dataset that a generator extends after each step; prompts over 60 words are not taken in."""
+    register_dataset("labelled", labelled_prompts, "id bigint, prompt string")
+    start = dataset("labelled", table(spark, sf, "documents"))
+    keep = within_length(token_count(F.col("prompt")), 60)
+    return grown_dataset(events_stream(spark, sf), start, FollowUps(), keep, *places(spark, "grown"))
+
+
 @query(
     "hook_curriculum_sampler",
     """WITH w AS (SELECT doc_id, 1 / (avg(quality) + 0.1) AS w FROM labels GROUP BY doc_id),

@@ -148,6 +148,26 @@ def reward_rule_grade_values(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", N.rule_grade(written, gold).alias("same"))
 
 
+@query(
+    "reward_rule_grade_nested",
+    """SELECT o_orderkey, o_orderkey % 5 IN (0, 2, 4) AS same FROM orders""",
+)
+def reward_rule_grade_nested(spark, sf):
+    """Tuples in tuples and intervals: with units and blanks, an inner element changed, another outer or inner bracket."""
+    n = (F.col("o_orderkey") + 1000).cast("string")
+    forms = [
+        ("(( ", " cm , 2 ), [0, 1) )", "((", ",2),[0,1))"),
+        ("((", " cm, 2), 3)", "((", ",3),3)"),
+        ("[ ", " degrees , (7, 8)]", "[", ",(7,8)]"),
+        ("[(", " cm, 1), 2]", "((", ",1),2)"),
+        ("(1, (2, (", " meters , 4)))", "(1,(2,(", ",4)))"),
+    ]
+    at = (F.col("o_orderkey") % 5).cast("int")
+    written = F.get(F.array(*[F.concat(F.lit(f[0]), n, F.lit(f[1])) for f in forms]), at)
+    gold = F.get(F.array(*[F.concat(F.lit(f[2]), n, F.lit(f[3])) for f in forms]), at)
+    return table(spark, sf, "orders").select("o_orderkey", N.rule_grade(written, gold).alias("same"))
+
+
 @query("text_locate_answer")
 def text_locate_answer(spark, sf):
     a = N.locate_answer(F.col("output"))

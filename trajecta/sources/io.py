@@ -194,6 +194,59 @@ def flatten_nested(df: DataFrame, keys: list[str], sep: str = "/") -> DataFrame:
     return df.select(*keys, F.explode(F.flatten(F.array(*parts))).alias("e")).select(*keys, "e.name", "e.value")
 
 
+def _brackets(text: Column) -> Column:
+    """The brackets of a JSON text that stand outside its strings."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', "")
+    return F.regexp_replace(plain, r"[^\[\]{}]", "")
+
+
+def json_depth(text: Column) -> Column:
+    """How deep the objects and lists of a JSON text are nested; 0 for a plain value."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        at = s["at"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(at.alias("at"), F.greatest(s["most"], at).alias("most"))
+
+    return F.aggregate(F.split(_brackets(text), ""), zero, step, lambda s: s["most"])
+
+
+def flatten_free(df: DataFrame, keys: list[str], json_col: str, sep: str = "/", depth: int | None = None) -> DataFrame:
+    """JSON dictionaries of any keys to (keys, name, value) rows, with the names found in each row.
+
+    Names are joined by `sep`; a list adds `list_len` and the indexed names of its items; an empty dictionary adds
+    nothing; a JSON null has a null value.  Null, broken or plain JSON, and JSON that repeats a name in one
+    dictionary, has no rows.  Each round opens one level in place, so no row is moved.  `depth` is how many levels are
+    opened, text deeper than that is given as JSON; without it the depth of the deepest row is looked up first.
+    """
+    if depth is None:
+        whole = F.try_parse_json(F.col(json_col)).isNotNull()
+        depth = df.agg(F.max(F.when(whole, json_depth(F.col(json_col))))).first()[0] or 0
+    kind = "array<struct<name:string,value:variant>>"
+
+    def named(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("name"), value.alias("value"))
+
+    def opened(e: Column, first: bool = False) -> Column:
+        """The entries of one level below; a plain value is its own entry."""
+        of = F.schema_of_variant(e["value"])
+        under = F.lit("") if first else F.concat(e["name"], F.lit(sep))
+        items = F.map_entries(e["value"].cast("map<string,variant>"))
+        listed = e["value"].cast("array<variant>")
+        size = F.array(named(F.concat(under, F.lit("list_len")), F.parse_json(F.size(listed).cast("string"))))
+        return (
+            F.when(of.startswith("OBJECT"), F.transform(items, lambda i: named(F.concat(under, i["key"]), i["value"])))
+            .when(of.startswith("ARRAY"), F.concat(size, F.transform(listed, lambda v, i: named(F.concat(under, i.cast("string")), v))))
+            .otherwise(F.array().cast(kind) if first else F.array(e))
+        )
+
+    root = named(F.lit(""), F.try_parse_json(F.col(json_col)))
+    rows = df.select(*keys, F.when(root["value"].isNotNull(), opened(root, first=True)).alias("__e"))
+    for _ in range(depth - 1):
+        rows = rows.withColumn("__e", F.flatten(F.transform("__e", lambda e: opened(e))))
+    return rows.select(*keys, F.explode("__e").alias("e")).select(*keys, "e.name", F.col("e.value").cast("string").alias("value"))
+
+
 def remaining(df: DataFrame, done: DataFrame, key: str = "uid") -> DataFrame:
     """Rows whose key has no stored result yet."""
     return df.join(done.select(key), key, "left_anti")

@@ -260,3 +260,30 @@ def assembly_stream(samples: DataFrame, path: str, checkpoint: str, stats) -> Da
     one that is spread over several triggers still gives one row.
     """
     return stats(run_to_files(samples, path, checkpoint).drop("batch_number"))
+
+
+def assembly_totals(samples: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
+    """Statistics of each training batch as a streaming aggregate, for update mode; no sample is stored or read again.
+
+    Every trigger merges its partial aggregates, combined where the samples are read, into one state row a batch: sums,
+    extremes, the versions seen and the counts of the distinct processing times, from which the percentiles are exact.
+    With `size` a batch is told once it has that many samples, which is its last row unless more samples follow; without
+    it every trigger tells the batches it touched.  Null times are left out of the statistics and count as samples.
+    """
+    span = F.abs(F.col("param_version_end") - F.col("param_version_start"))
+    tails = {"tp50": 0.5, "tp95": 0.95, "tp99": 0.99}
+    out = samples.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        F.avg("processing_time").alias("processing_time_avg"),
+        F.max("processing_time").alias("processing_time_max"),
+        F.min("processing_time").alias("processing_time_min"),
+        F.max("tool_call_time").alias("tool_calls_max"),
+        F.min("tool_call_time").alias("tool_calls_min"),
+        F.avg("tool_call_time").alias("tool_calls_mean"),
+        F.count_if(span != 0).alias("total_partial_num"),
+        F.avg((span != 0).cast("int")).alias("partial_ratio"),
+        F.max(span).alias("max_partial_span"),
+        *[F.percentile("processing_time", F.lit(p)).alias(name) for name, p in tails.items()],
+        F.size(F.collect_set("param_version")).alias("version_diversity"),
+    )
+    return out if size is None else out.filter(F.col("n_samples") >= size)
