@@ -43,7 +43,7 @@ def test_exact_dedup_repeated_rows_keep_one(spark):
 # --- order MinHash ----------------------------------------------------------------------------------------------
 
 
-def plain_order_minhash(text, k=3, size=2, slots=64):
+def plain_order_minhash(text, k=5, size=2, slots=64):
     def h64(*values):
         seed = 42
         for v in values:
@@ -51,9 +51,8 @@ def plain_order_minhash(text, k=3, size=2, slots=64):
             seed = xxhash.xxh64_intdigest(data, seed)
         return seed if seed < 1 << 63 else seed - (1 << 64)
 
-    key_mask, words = (1 << 37) - 1, re.split(r"[ \t\n\r\f\v]+", re.sub(r"^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$", "", text))
-    hashed = [h64(w) for w in words]
-    keys = [h64(*hashed[i : i + k]) & key_mask for i in range(max(1, len(words) - k + 1))]
+    key_mask = (1 << 37) - 1
+    keys = [h64(text[i : i + k]) & key_mask for i in range(max(1, len(text) - k + 1))]
     seen, points = {}, []
     for pos, key in enumerate(keys):
         occurrence = seen[key] = seen.get(key, -1) + 1
@@ -74,6 +73,7 @@ def test_order_minhash_brute_force(spark):
     rng = random.Random(2)
     texts = ["", "one", "one two", " lead  and\ttrail \n", "x " * 90, "a b a b a b a b c"]
     texts += [" ".join(rng.choice(["to", "be", "or", "not", "so"]) for _ in range(n)) for n in (5, 17, 120, 400)]
+    texts += ["abcde", "abcdef", "\U0001d465\U0001d466é日本語" * 9, "\U0001d465\U0001d466\U0001d467a", "line\nbreaks\n\n" * 30]
     got = docs_of(spark, texts).select("doc_id", order_minhash.order_minhash(F.col("text")).alias("s")).orderBy("doc_id").collect()
     assert [list(r.s) for r in got] == [plain_order_minhash(t) for t in texts]
 
@@ -86,6 +86,35 @@ def test_order_minhash_sees_order(spark):
     assert like[0] == 1 and like[2] > 0.7 and like[2] > like[1] > like[3] == 0
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这为之大来以个中上们", "word "])
+def test_order_minhash_falls_with_the_share_edited(spark, alphabet):
+    """Texts without white space too: the more of the text is replaced, the less alike."""
+    rng = random.Random(7)
+    draw = (lambda n: "".join(f"{rng.randrange(10**6)} " for _ in range(n // 7))) if alphabet == "word " else lambda n: "".join(rng.choices(alphabet, k=n))
+    shares, likes = [0.0, 0.05, 0.2, 0.5, 1.0], []
+    pairs = []
+    for share in shares:
+        for _ in range(12):
+            text = draw(2100)
+            keep = len(text) - int(len(text) * share)
+            pairs.append((text, text[:keep] + draw(2100)[: len(text) - keep]))
+    sig = order_minhash.order_minhash
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.s for r in rows.select("i", order_minhash.likeness(sig(F.col("a")), sig(F.col("b"))).alias("s")).collect()}
+    for at in range(len(shares)):
+        likes.append(sum(got[at * 12 + j] for j in range(12)) / 12)
+    assert likes[0] == 1 and likes == sorted(likes, reverse=True) and likes[1] > 0.7 and likes[3] > 0.05 and likes[4] < 0.03
+    assert all(got[3 * 12 + j] > 0 for j in range(12))  # half unchanged
+
+
+def test_order_minhash_small_edits(spark):
+    """A changed character in every third word leaves a likeness."""
+    words = [f"word{i * 37 % 1009}" for i in range(400)]
+    near = [w[:-1] + "x" if i % 3 == 0 else w for i, w in enumerate(words)]
+    sig = [r.s for r in docs_of(spark, [" ".join(words), " ".join(near)]).select("doc_id", order_minhash.order_minhash(F.col("text")).alias("s")).orderBy("doc_id").collect()]
+    assert 0.1 < sum(a == b for a, b in zip(*sig)) / 64 < 0.9
+
+
 @pytest.mark.parametrize("slice_rows", [1, 7, 20_000])
 def test_next_document(spark, slice_rows):
     ids = random.Random(3).sample(range(10**12), 150)

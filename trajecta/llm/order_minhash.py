@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import let, ring_starts
 
-K = 3  # words in a k-mer
+K = 5  # code points in a k-mer
 TUPLE = 2  # k-mers in a tuple
 SLOTS = 64  # tuples in a fingerprint
-COARSE, SLICE_ROWS = 64, 20_000
+COARSE, FINE_MAX = 64, 8192  # ranges of ids, and slices in each
+SLICE_ROWS, SLICE_BYTES, TASK_BYTES = 20_000, 16 << 20, 64 << 20
 KEY_BITS, POS_BITS = 37, 26
 POS_MASK = (1 << POS_BITS) - 1
 KEY_MASK = (1 << KEY_BITS) - 1
@@ -19,19 +20,15 @@ KEY_MASK = (1 << KEY_BITS) - 1
 def order_minhash(text: Column, k: int = K, tuple_size: int = TUPLE, slots: int = SLOTS) -> Column:
     """array<int> of `slots` 16-bit tuple hashes of the whole text.
 
-    The words of the text (split at white space; an empty text has one empty word) give overlapping k-mers;
-    fewer than k words give one k-mer of all.  Equal k-mers are numbered by occurrence, so repeats count.  For
-    each slot the `tuple_size` numbered k-mers that are smallest under the order of that slot are taken, put
-    back into text order and hashed together.  The order of a slot is one shared hash, rotated to the slot's
-    own zero.  Positions are kept for up to 2**26 words; beyond it they wrap, which only blurs the text order.
-    A null text gives null.
+    Every run of k code points is a k-mer; a text of up to k code points is one.  Equal k-mers are numbered by
+    occurrence, so repeats count.  For each slot the `tuple_size` numbered k-mers that are smallest under the order of
+    that slot are taken, put back into text order and hashed together.  The order of a slot is one shared hash, rotated
+    to the slot's own zero; of equal hashes the one earlier in the text is smaller.  Positions are kept for up to 2**26
+    code points; beyond it they wrap, which only blurs the text order.  A null text gives null.
     """
-    words = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-
-    def kmers(h: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
-        return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+    # The look-ahead takes the k-mer at every code point, in one pass over the text.
+    runs_of_k = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
+    kmers = F.when(F.length(text) <= k, F.array(text)).otherwise(runs_of_k)
 
     def packed(key: Column, pos: Column) -> Column:
         return F.shiftleft(key.bitwiseAND(F.lit(KEY_MASK)), POS_BITS).bitwiseOR(pos)
@@ -68,9 +65,7 @@ def order_minhash(text: Column, k: int = K, tuple_size: int = TUPLE, slots: int
 
         return F.transform(starts, one)
 
-    positions = let(
-        hashed, lambda h: F.transform(kmers(h), lambda x, i: packed(x, (i % POS_MASK) + 1))
-    )
+    positions = F.transform(kmers, lambda w, i: packed(F.xxhash64(w), (i % POS_MASK) + 1))
     return let(F.sort_array(positions), lambda a: let(numbered(a), tuples))
 
 
@@ -85,16 +80,19 @@ def likeness(a: Column, b: Column) -> Column:
     return same.cast("double") / F.size(a)
 
 
-def id_slices(rows: DataFrame, id_col: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds `__slice`, a number that never falls as the id rises, with about `slice_rows` rows to a slice.
+def id_slices(rows: DataFrame, id_col: str, size: Column, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, int]:
+    """(rows with `__slice`, their bytes): a number that never falls as the id rises; `size` is the bytes of a row.
 
-    Two levels of approximate quantiles: 64 ranges that are constants of the plan, and inside each as many
-    as the row count asks for (2 to 256), kept in a table of 64 rows.  Null ids are in the lowest slice.
+    A slice has about `slice_rows` rows or SLICE_BYTES, whichever is less.  Two levels of approximate quantiles: 64 ranges
+    that are constants of the plan, and inside each as many as rows and bytes ask for (2 to 8,192, so slices grow
+    beyond 8 TB), kept in a table of 64 rows and at most 4 MB.  Null ids are in the lowest slice.
     """
     levels = [i / COARSE for i in range(1, COARSE)]
-    n, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx(id_col, levels, 10_000)).first()
+    n, total, cuts = rows.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0)), F.percentile_approx(id_col, levels, 10_000)
+    ).first()
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    fine = min(256, max(2, -(-n // (COARSE * slice_rows))))
+    fine = min(FINE_MAX, max(2, -(-n // (COARSE * slice_rows)), -(-total // (COARSE * SLICE_BYTES))))
 
     def below(array: Column) -> Column:
         return F.coalesce(F.size(F.filter(array, lambda c: c <= F.col(id_col))), F.lit(0))
@@ -102,21 +100,22 @@ def id_slices(rows: DataFrame, id_col: str, slice_rows: int = SLICE_ROWS) -> Dat
     coarse = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(below(bounds))
     rows = rows.withColumn("__coarse", coarse)
     inner = rows.groupBy(F.col("__coarse").alias("__c")).agg(
-        F.percentile_approx(id_col, [i / fine for i in range(1, fine)], 1000).alias("__cuts")
+        F.percentile_approx(id_col, [i / fine for i in range(1, fine)], max(1000, 4 * fine)).alias("__cuts")
     )
     rows = rows.join(F.broadcast(inner), F.col("__coarse") == F.col("__c"), "left")  # at most 64 rows
     inside = F.when(F.col(id_col).isNull() | F.col("__cuts").isNull(), F.lit(0)).otherwise(below(F.array_distinct("__cuts")))
-    return rows.withColumn("__slice", F.col("__coarse") * 1000 + inside).drop("__coarse", "__c", "__cuts")
+    return rows.withColumn("__slice", F.col("__coarse") * (FINE_MAX + 1) + inside).drop("__coarse", "__c", "__cuts"), total
 
 
 def with_next(rows: DataFrame, id_col: str, values: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds `next_<value>`: the values of the row with the next larger id, the first row's after the last.
 
     The first row of each id slice is also sent to the filled slice before it (cyclically), so one window per
-    slice finds every successor, each row is shuffled once and no task sees more than a slice.  Rows that
-    share an id follow each other in the order of their first value; null ids come first.
+    slice finds every successor and each row is shuffled once.  The number of tasks follows the bytes of the first
+    value, a text, so a task sees about TASK_BYTES however large the input.  Rows that share an id follow each
+    other in the order of their first value; null ids come first.
     """
-    rows = id_slices(rows, id_col, slice_rows)
+    rows, total = id_slices(rows, id_col, F.coalesce(F.octet_length(F.col(values[0])), F.lit(0)) + 512, slice_rows)
     filled = rows.groupBy("__slice").agg(
         F.min(id_col).alias("__low"), F.max(F.col(id_col).isNull()).alias("__null")
     )
@@ -126,21 +125,24 @@ def with_next(rows: DataFrame, id_col: str, values: list[str], slice_rows: int =
         F.when(~F.col("__null"), F.col("__low")).alias("__first"),
         F.coalesce(F.lag("__slice").over(by_slice), F.max("__slice").over(Window.partitionBy())).alias("__before"),
     )
-    rows = rows.join(F.broadcast(filled), F.col("__slice") == F.col("__s"), "left")  # at most 64 * 256 rows
+    rows = rows.join(F.broadcast(filled), F.col("__slice") == F.col("__s"), "left")  # at most 64 * 8193 rows of 40 bytes
     own = F.struct(F.col("__slice").alias("to"), F.lit(0).alias("copy"))
     ahead = F.struct(F.col("__before").alias("to"), F.lit(1).alias("copy"))
     leads = F.col(id_col).eqNullSafe(F.col("__first"))
     rows = rows.withColumn("__go", F.explode(F.when(leads, F.array(own, ahead)).otherwise(F.array(own))))
-    window = Window.partitionBy("__go.to").orderBy("__go.copy", F.col(id_col).asc_nulls_first(), values[0])
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(usual, -(-total // (TASK_BYTES // 16))), -(-total // TASK_BYTES))
+    rows = rows.withColumn("__to", F.col("__go.to")).repartition(tasks, "__to")
+    window = Window.partitionBy("__to").orderBy("__go.copy", F.col(id_col).asc_nulls_first(), values[0])
     out = rows.select("*", *[F.lead(v).over(window).alias(f"next_{v}") for v in values])
-    return out.filter(F.col("__go.copy") == 0).drop("__slice", "__s", "__first", "__before", "__go")
+    return out.filter(F.col("__go.copy") == 0).drop("__slice", "__s", "__first", "__before", "__go", "__to")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edit: id, n_chars, `edited`, `signature`, `edited_signature`, `next_signature`.
 
     The edit replaces the last floor(n/2) code points by the first as many (or all) of the next document.
-    A null text is empty.  A single document is its own successor.
+    A null text is empty.  A single document is its own successor.  Rows that share an id are rows of their own.
     """
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("signature", order_minhash(F.col("text")))
