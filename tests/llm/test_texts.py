@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from trajecta.llm import chat_format, exact_dedup, license_scan, order_minhash, queries, sentencepiece_bpe
@@ -44,28 +43,28 @@ def test_exact_dedup_repeated_rows_keep_one(spark):
 
 
 def plain_order_minhash(text, k=5, size=2, slots=64):
-    def h64(*values):
-        seed = 42
-        for v in values:
-            data = v.encode() if isinstance(v, str) else int(v).to_bytes(8, "little", signed=True)
-            seed = xxhash.xxh64_intdigest(data, seed)
-        return seed if seed < 1 << 63 else seed - (1 << 64)
-
-    key_mask = (1 << 37) - 1
-    keys = [h64(text[i : i + k]) & key_mask for i in range(max(1, len(text) - k + 1))]
+    full, base, step = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
     seen, points = {}, []
-    for pos, key in enumerate(keys):
-        occurrence = seen[key] = seen.get(key, -1) + 1
-        # Spark hashes an int column as four bytes, the occurrence number being one.
-        inner = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
-        inner = xxhash.xxh64_intdigest(occurrence.to_bytes(4, "little"), inner)
-        points.append((inner & key_mask, pos))
-    points.sort()
-    out = []
+    for pos in range(max(1, len(text) - k + 1)):
+        h = 0
+        for c in text[pos : pos + k]:
+            h = (h * base + ord(c) + 1) & full
+        occurrence = seen[h] = seen.get(h, -1) + 1
+        points.append((mix((mix(h) + occurrence * step) & full), pos))
+    ranked, out = sorted(points), []
     for b in range(slots):
-        start = next((i for i, p in enumerate(points) if p[0] >= b * (1 << 37) // slots), len(points))
-        chosen = sorted((points[(start + t) % len(points)] for t in range(size)), key=lambda p: (p[1], p[0]))
-        out.append(h64(*[c[0] for c in chosen]) & 0xFFFF)
+        start = next((i for i, p in enumerate(ranked) if p[0] >= (b << 64) // slots), len(ranked))
+        chosen = sorted((ranked[(start + t) % len(ranked)] for t in range(size)), key=lambda p: p[1])
+        h = 0
+        for key, _ in chosen:
+            h = mix((h * base + key) & full)
+        out.append(h & 0xFFFF)
     return out
 
 

@@ -2,71 +2,76 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from .common import let, ring_starts
+from pyspark.sql import types as T
 
 K = 5  # code points in a k-mer
 TUPLE = 2  # k-mers in a tuple
 SLOTS = 64  # tuples in a fingerprint
 COARSE, FINE_MAX = 64, 8192  # ranges of ids, and slices in each
 SLICE_ROWS, SLICE_BYTES, TASK_BYTES = 20_000, 16 << 20, 64 << 20
-KEY_BITS, POS_BITS = 37, 26
-POS_MASK = (1 << POS_BITS) - 1
-KEY_MASK = (1 << KEY_BITS) - 1
+BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)  # odd multipliers
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values spread over all bits (xor-shift and multiply, wrapping)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def kmer_hashes(text: str, k: int) -> np.ndarray:
+    """Rolling polynomial hash of every run of k code points, of the whole text if it has no more."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    size = min(k, len(codes))
+    out = np.zeros(len(codes) - size + 1, np.uint64)
+    for j in range(size):
+        out = out * BASE + codes[j : j + len(out)]
+    return mixed(out)
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """One key a k-mer, of its hash and its occurrence number in the text."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    at = np.arange(len(ranked))
+    first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    occurrence = at - np.maximum.accumulate(np.where(first, at, 0))
+    keys = np.empty_like(hashes)
+    keys[order] = mixed(ranked + occurrence.astype(np.uint64) * STEP)
+    return keys
+
+
+def text_signature(text: str, k: int = K, tuple_size: int = TUPLE, slots: int = SLOTS) -> np.ndarray:
+    """The 16-bit tuple hashes of one text; see `order_minhash`."""
+    keys = numbered(kmer_hashes(text, k))
+    order = np.argsort(keys, kind="stable")
+    anchors = np.array([(b << 64) // slots for b in range(slots)], np.uint64)
+    starts = np.searchsorted(keys[order], anchors)
+    picked = np.sort(order[(starts[:, None] + np.arange(tuple_size)) % len(order)], axis=1)
+    out = np.zeros(slots, np.uint64)
+    for j in range(tuple_size):
+        out = mixed(out * BASE + keys[picked[:, j]])
+    return (out & np.uint64(0xFFFF)).astype(np.int32)
 
 
 def order_minhash(text: Column, k: int = K, tuple_size: int = TUPLE, slots: int = SLOTS) -> Column:
     """array<int> of `slots` 16-bit tuple hashes of the whole text.
 
-    Every run of k code points is a k-mer; a text of up to k code points is one.  Equal k-mers are numbered by
-    occurrence, so repeats count.  For each slot the `tuple_size` numbered k-mers that are smallest under the order of
-    that slot are taken, put back into text order and hashed together.  The order of a slot is one shared hash, rotated
-    to the slot's own zero; of equal hashes the one earlier in the text is smaller.  Positions are kept for up to 2**26
-    code points; beyond it they wrap, which only blurs the text order.  A null text gives null.
+    Every run of k code points is a k-mer; a text of up to k code points, also an empty one, is one.  Equal k-mers are
+    numbered by occurrence, so repeats count.  For each slot the `tuple_size` numbered k-mers that are smallest under the
+    order of that slot are taken, put back into text order and hashed together.  The order of a slot is one shared hash,
+    rotated to the slot's own zero; of equal hashes the one earlier in the text is smaller.  A null text gives null.
     """
-    # The look-ahead takes the k-mer at every code point, in one pass over the text.
-    runs_of_k = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
-    kmers = F.when(F.length(text) <= k, F.array(text)).otherwise(runs_of_k)
-
-    def packed(key: Column, pos: Column) -> Column:
-        return F.shiftleft(key.bitwiseAND(F.lit(KEY_MASK)), POS_BITS).bitwiseOR(pos)
-
-    def numbered(a: Column) -> Column:
-        """Keys and occurrence numbers hashed anew; `a` is sorted, so equal keys are neighbours."""
-        key = lambda x: F.shiftright(x, POS_BITS)
-        first = F.filter(
-            F.transform(a, lambda x, i: F.when((i == 0) | (key(F.get(a, i - 1)) != key(x)), i).otherwise(F.lit(-1))),
-            lambda v: v >= 0,
-        )
-        runs = let(
-            first,
-            lambda s: F.flatten(
-                F.transform(s, lambda v, j: F.sequence(F.lit(0), F.coalesce(F.get(s, j + 1), F.size(a)) - v - 1))
-            ),
-        )
-        pairs = F.zip_with(
-            a, runs, lambda x, o: packed(F.xxhash64(key(x), o), x.bitwiseAND(F.lit(POS_MASK)))
-        )
-        return F.sort_array(pairs)
-
-    def tuples(s: Column) -> Column:
-        anchors = [(b * (1 << KEY_BITS) // slots) << POS_BITS for b in range(slots)]
-        starts = ring_starts(s, anchors, lambda x: x.bitwiseAND(F.lit(POS_MASK)) == 0)
-
-        def one(p: Column) -> Column:
-            picked = [F.get(s, F.pmod(p + F.lit(t), F.size(s))) for t in range(tuple_size)]
-            turned = [
-                F.shiftleft(x.bitwiseAND(F.lit(POS_MASK)), KEY_BITS).bitwiseOR(F.shiftright(x, POS_BITS)) for x in picked
-            ]
-            in_order = F.transform(F.sort_array(F.array(*turned)), lambda x: x.bitwiseAND(F.lit(KEY_MASK)))
-            return F.xxhash64(in_order).bitwiseAND(F.lit(0xFFFF)).cast("int")
-
-        return F.transform(starts, one)
-
-    positions = F.transform(kmers, lambda w, i: packed(F.xxhash64(w), (i % POS_MASK) + 1))
-    return let(F.sort_array(positions), lambda a: let(numbered(a), tuples))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def signatures(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else text_signature(t, k, tuple_size, slots) for t in texts], dtype=object)
+
+    return signatures(text)
 
 
 def as_text(signature: Column) -> Column:
