@@ -132,3 +132,11 @@ def test_sft_loss_wraps_to_first_row(spark):
     assert abs(L.sft_loss(df).collect()[0]["loss"] - want) < 1e-12
 
 
+def test_sft_loss_keeps_steps_apart(spark):
+    """Two steps, one with an empty response in the middle: each wraps around on its own rows."""
+    df = spark.createDataFrame(
+        [(0, 0, [1, 1], [1.0, 2.0]), (0, 1, [], []), (0, 2, [0, 1], [4.0, 8.0]), (1, 0, [1], [16.0])],
+        "step long, sample_id long, response_mask array<int>, log_probs array<double>",
+    )
+    got = {r["step"]: r["loss"] for r in L.sft_loss(df, dp_size=2).collect()}
+    assert got == {0: -(1.0 + 4.0 + 8.0) / 3 * 2, 1: -16.0 * 2}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import EPS, asum, clamp, mask_count, masked_sum, zmap
 from ..session import staged
 from .correction import rollout_correction
-from .grouping import hash_bucket, kth_largest, scale_bucket, seeded_hash, with_group_stats, with_prefix_sum, with_rank
+from .grouping import hash_bucket, join_group_table, kth_largest, scale_bucket, seeded_hash, with_group_stats, with_prefix_sum, with_rank
 
 M = "response_mask"
 BASE = ["old_log_probs", "log_probs", "advantages", M]
