@@ -1,13 +1,15 @@
 import itertools
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trajecta.operators import balance as B
 from trajecta.operators import validation as V
 from trajecta.operators.container import coverage
-from trajecta.operators.grouping import exact_percentiles, with_rank
+from trajecta.operators.grouping import exact_percentiles, map_groups, with_rank
 
 LONG = "data_source string, uid string, var string, value double, pred string, pos long"
 
@@ -54,6 +56,19 @@ def test_resampling_matches_seeded_loop(spark):
         assert np.allclose(got, [best, best_std, maj, maj_std], atol=1e-12)
 
 
+def test_resampling_of_many_prompts_uses_the_draws_of_each_size(spark):
+    """Prompts of 2 to 6 responses, several of each size, in one task: each gets the draws of a generator of its own."""
+    prompts = {f"p{i}": [((i * 31 + j * 17) % 23) / 7 for j in range(2 + i % 5)] for i in range(20)}
+    rows = [("s", p, "v", v, "ABC"[(j * j) % 3], j) for p, values in prompts.items() for j, v in enumerate(values)]
+    df = spark.createDataFrame(rows, LONG).repartition(3)
+    out = {(r["uid"], r["metric"]): r["value"] for r in V.resampled_metrics(df, rounds=50).collect()}
+    for p, values in prompts.items():
+        preds = ["ABC"[(j * j) % 3] for j in range(len(values))]
+        k = len(values)
+        got = [out[p, f"best@{k}/mean"], out[p, f"best@{k}/std"], out[p, f"maj@{k}/mean"], out[p, f"maj@{k}/std"]]
+        assert np.allclose(got, brute_resample(values, preds, k, rounds=50), atol=1e-12)
+
+
 def test_draws_joined_by_rank_agree_with_resampling(spark):
     values = [0.1 * i for i in range(8)]
     df = spark.createDataFrame([("s", "p", "v", v, "AB"[i % 2], i) for i, v in enumerate(values)], LONG)
@@ -147,6 +162,38 @@ def test_differencing_ties():
     assert B._differencing([5, 5, 5, 5], 2, True) == [[0, 3], [1, 2]]
 
 
+def test_differencing_scales_in_items_and_sets():
+    """40,000 items over 1,500 sets, and one set heavier than all others; neither cost grows with items times sets."""
+    work = [(i * 7919) % 1009 + 1 for i in range(40_000)]
+    begun = time.process_time()
+    parts = B.ALGORITHMS["differencing"](work, 1500, False)
+    loads = [sum(work[i] for i in p) for p in parts]
+    assert sorted(i for p in parts for i in p) == list(range(40_000))
+    assert loads == sorted(loads, reverse=True) and loads[0] - loads[-1] <= max(work)
+    heavy = B.ALGORITHMS["differencing"]([10**9, *work], 4, False)
+    assert heavy[0] == [0] and sorted(map(len, heavy))[0] == 1
+    assert time.process_time() - begun < 20
+
+
+def test_groups_cross_batches_and_keep_null_keys(spark):
+    """Groups of 1 to 40 rows over batches of 7: every group is seen once, in order, null keys being a group."""
+    rows = [(None if k == 3 else k, i) for k in range(9) for i in range(1 if k % 2 else 40)]
+
+    def run(pieces):
+        ids = [i for p in pieces for i in p.column("i").to_pylist()]
+        columns = [pieces[0].column("k").slice(0, 1), pa.array([len(ids)]), pa.array([ids == sorted(ids)])]
+        yield pa.RecordBatch.from_arrays(columns, ["k", "n", "up"])
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        out = map_groups(spark.createDataFrame(rows, "k long, i long").repartition(3), ["k"], [F.col("i")], run, "k long, n long, up boolean").collect()
+    finally:
+        spark.conf.set(size, before)
+    assert len(out) == 9 and {r["k"]: (r["n"], r["up"]) for r in out} == {None if k == 3 else k: (1 if k % 2 else 40, True) for k in range(9)}
+
+
 def test_groups_stay_whole(items):
     parts = B.group_partitions(items, ["step"], "uid", 2)
     assert parts.count() == 4 and parts.groupBy("part").count().filter("count = 2").count() == 2

@@ -8,6 +8,10 @@ small, the optimiser's own size check turns the join into a broadcast and the ro
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,6 +256,74 @@ def with_quantile_bucket(
     return rows.withColumn(name, F.size(F.filter("__cuts", lambda c: c <= F.col(column)))).drop("__cuts")
 
 
+# --- one group after the other -----------------------------------------------------------------------------------
+
+PACKED = 10_000  # rows of small results that leave a task together
+
+
+def _changes(column: pa.Array) -> pa.Array:
+    """Whether each value after the first differs from the one before it; null is a value of its own."""
+    now, before = column.slice(1), column.slice(0, len(column) - 1)
+    return pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.xor(pc.is_null(now), pc.is_null(before)))
+
+
+def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """The groups of rows that arrive ordered by `keys`, each as the pieces of the batches that hold it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held:
+            last = held[-1].num_rows - 1
+            if any(held[-1].column(k)[last].as_py() != batch.column(k)[0].as_py() for k in keys):
+                yield held
+                held = []
+        changed = _changes(batch.column(keys[0]))
+        for k in keys[1:]:
+            changed = pc.or_(changed, _changes(batch.column(k)))
+        start = 0
+        for at in pc.indices_nonzero(changed).to_pylist():
+            yield [*held, batch.slice(start, at + 1 - start)]
+            held, start = [], at + 1
+        held.append(batch.slice(start))
+    if held:
+        yield held
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PACKED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def map_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    run: Callable[[list[pa.RecordBatch]], Iterable[pa.RecordBatch]],
+    schema: str,
+) -> DataFrame:
+    """`run` on the rows of each group in `order`, given as Arrow pieces; for rules that are sequential in a group.
+
+    Spark sorts the rows, spilling what memory does not hold; a task then walks through its groups, holding one at a
+    time, so that millions of small groups cost no call of their own and a large one is never copied into a frame.
+    The keys must be of a discrete type.
+    """
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(piece for group in _groups(batches, keys) for piece in run(group))
+
+    return rows.mapInArrow(task, schema)
+
+
 def seeded_hash(seed: int, *cols: Column | str) -> Column:
     """Order key for reproducible random choices at any partitioning."""
     return F.xxhash64(*cols, F.lit(seed))
