@@ -5,15 +5,19 @@ Input is long: (data_source, uid, var, value, pred, pos), `pos` being arrival or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grouping import scale_bucket, unit_hash, with_prefix_sum, with_rank
+from .grouping import map_groups, scale_bucket, unit_hash, with_prefix_sum, with_rank
 
 KEY = ["data_source", "uid", "var"]
 CELLS = 4_000_000  # draws held at once
+KEPT_CELLS, KEPT = 64_000, 200  # size of a draw that a task keeps for prompts of the same size, and how many
 
 
 def to_long(df: DataFrame, variables: list[str], pred: str | None = "pred", pos: str = "sample_id") -> DataFrame:
@@ -105,40 +109,52 @@ def _majority_positions(codes: np.ndarray, kinds: int) -> np.ndarray:
 
 
 def _resampler(rounds: int, seed: int, with_majority: bool):
-    def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        values = pdf["value"].to_numpy(dtype="float64")
-        codes = pd.factorize(pdf["pred"])[0]
+    kept: dict[tuple[int, int], np.ndarray] = {}
+
+    def picks_of(n: int, k: int, step: int) -> Iterator[np.ndarray]:
+        """The draws of k out of n, which depend on nothing else: small ones are kept for the next prompt."""
+        if (n, k) in kept:
+            yield kept[n, k]
+            return
+        draws = np.random.RandomState(seed)
+        # The generator fills a large draw and its consecutive pieces alike.
+        for at in range(0, rounds, step):
+            picks = draws.choice(n, size=(min(step, rounds - at), k), replace=True)
+            if picks.shape[0] == rounds and picks.size <= KEPT_CELLS and len(kept) < KEPT:
+                kept[n, k] = picks
+            yield picks
+
+    def one_group(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = np.concatenate([p.column("value").to_numpy(zero_copy_only=False) for p in pieces]).astype("float64")
         sizes, k = [], 2
         while k < len(values):
             sizes.append(k)
             k *= 2
         if len(values) > 1:
             sizes.append(len(values))
-        out = []
-        codes = codes if with_majority else np.zeros(0, dtype="int64")
+        codes = np.zeros(0, dtype="int64")
+        if with_majority:
+            codes = pd.factorize(np.array([v for p in pieces for v in p.column("pred").to_pylist()], dtype=object))[0]
         kinds = int(codes.max(initial=0)) + 1
+        metrics, stats = [], []
         for k in sizes:
-            draws = np.random.RandomState(seed)
             found: dict[str, list[np.ndarray]] = {}
-            # The generator fills a large draw and its consecutive pieces alike.
-            step = max(1, CELLS // max(k, kinds))
-            for at in range(0, rounds, step):
-                picks = draws.choice(len(values), size=(min(step, rounds - at), k), replace=True)
+            for picks in picks_of(len(values), k, max(1, CELLS // max(k, kinds))):
                 drawn = values[picks]
                 found.setdefault("best", []).append(drawn.max(axis=1))
                 found.setdefault("worst", []).append(drawn.min(axis=1))
                 if with_majority:
                     first = _majority_positions(codes[picks], kinds)
                     found.setdefault("maj", []).append(drawn[np.arange(len(drawn)), first])
-            for kind, pieces in found.items():
-                stat = np.concatenate(pieces)
-                out += [(f"{kind}@{k}/mean", stat.mean()), (f"{kind}@{k}/std", stat.std())]
-        head = pdf.iloc[0]
-        return pd.DataFrame(
-            [(head["data_source"], head["uid"], head["var"], m, v) for m, v in out],
-            columns=[*KEY, "metric", "value"],
-        )
+            for kind, parts in found.items():
+                stat = np.concatenate(parts)
+                metrics += [f"{kind}@{k}/mean", f"{kind}@{k}/std"]
+                stats += [stat.mean(), stat.std()]
+        head = pieces[0].slice(0, 1)
+        same = pa.array([0] * len(metrics), "int64")
+        columns = [head.column(name).take(same) for name in KEY]
+        # A statistic that is not a number leaves as null, as it does from a data frame.
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(metrics, "string"), pa.array(stats, "float64", from_pandas=True)], [*KEY, "metric", "value"])
 
     return one_group
 
@@ -149,10 +165,10 @@ def resampled_metrics(long: DataFrame, rounds: int = 1000, seed: int = 42, with_
     The responses of one prompt and variable (value and prediction code) meet in one task, as the generator's
     stream demands; `best_worst_closed_form` and `majority_by_draws` are the forms that spread a prompt.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in long.schema if f.name in KEY)
-    return long.groupBy(*KEY).applyInPandas(
-        _resampler(rounds, seed, with_majority), f"{schema}, metric string, value double"
-    )
+    schema = ", ".join(f"{k} {long.schema[k].dataType.simpleString()}" for k in KEY)
+    order = [F.col("pos").asc_nulls_last(), F.col("value"), F.col("pred")]
+    rows = long.select(*KEY, "value", "pred", "pos")
+    return map_groups(rows, KEY, order, _resampler(rounds, seed, with_majority), f"{schema}, metric string, value double")
 
 
 def majority_by_draws(rows: DataFrame, rounds: int, seed: int) -> DataFrame:
