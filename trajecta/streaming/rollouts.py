@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,23 +62,53 @@ PUT = "queue string, sample_id long, put_ok boolean, queue_size long, trigger_no
 PUT_STATE = "items array<long>, triggers long"
 
 
+CHUNK = 10_000  # events turned into rows at once
+LAST = 1 << 62  # where an event without a sample stands among those of its time
+
+
+def _whole(column: pd.Series, needed: np.ndarray, other: int) -> np.ndarray:
+    """The numbers of the rows that need them; `other` stands in where a row that needs none has none."""
+    missing = column.isna().to_numpy()
+    if (missing & needed).any():
+        raise ValueError(f"{column.name} is null")
+    return column.fillna(other).to_numpy().astype("int64")
+
+
+def _in_time_order(
+    frames: Iterator[pd.DataFrame], read: Callable[[pd.DataFrame], dict[str, np.ndarray]]
+) -> Iterator[dict[str, np.ndarray]]:
+    """The events of a trigger by time and sample, some at a time; a few numbers per event are all that is held."""
+    parts = [read(frame) for frame in frames]
+    columns = {name: np.concatenate([part.pop(name) for part in parts]) for name in list(parts[0])}
+    order = np.lexsort((columns["sample_id"], columns["ts"]))
+    for at in range(0, len(order), CHUNK):
+        taken = order[at : at + CHUNK]
+        yield {name: column[taken] for name, column in columns.items()}
+
+
+def _read_puts(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    put = (frame["op"] != "get").to_numpy()
+    return {"ts": frame["ts"].to_numpy(), "sample_id": _whole(frame["sample_id"], put, LAST), "put": put}
+
+
 def _put_step(capacity: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         items, triggers = ([], 0) if not state.exists else state.get
-        items, told = deque(items), []
-        events = pd.concat(list(frames)).sort_values(["ts", "sample_id"], kind="stable")
-        for op, sample in zip(events["op"], events["sample_id"]):
-            if op == "get":
-                if items:
+        items = deque(items)
+        for events in _in_time_order(frames, _read_puts):
+            told = []
+            for put, sample in zip(events["put"].tolist(), events["sample_id"].tolist()):
+                if not put:
+                    if items:
+                        items.popleft()
+                    continue
+                full = len(items) >= capacity
+                if full:
                     items.popleft()
-                continue
-            full = len(items) >= capacity
-            if full:
-                items.popleft()
-            items.append(int(sample))
-            told.append((key[0], int(sample), not full, len(items), triggers))
+                items.append(sample)
+                told.append((key[0], sample, not full, len(items), triggers))
+            yield pd.DataFrame(told, columns=["queue", "sample_id", "put_ok", "queue_size", "trigger_no"])
         state.update((list(items), triggers + 1))
-        yield pd.DataFrame(told, columns=["queue", "sample_id", "put_ok", "queue_size", "trigger_no"])
 
     return step
 
@@ -98,18 +129,18 @@ def _buffer_step(capacity: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         items, produced, consumed, dropped = ([], 0, 0, 0) if not state.exists else state.get
         items = list(items)
-        events = pd.concat(list(frames)).sort_values(["ts", "sample_id"], kind="stable")
-        for op, sample in zip(events["op"], events["sample_id"]):
-            if op == "get":
-                if items:
+        for events in _in_time_order(frames, _read_puts):
+            for put, sample in zip(events["put"].tolist(), events["sample_id"].tolist()):
+                if not put:
+                    if items:
+                        items.pop(0)
+                        consumed += 1
+                    continue
+                if len(items) >= capacity:
                     items.pop(0)
-                    consumed += 1
-                continue
-            if len(items) >= capacity:
-                items.pop(0)
-                dropped += 1
-            items.append(int(sample))
-            produced += 1
+                    dropped += 1
+                items.append(sample)
+                produced += 1
         state.update((items, produced, consumed, dropped))
         ends = (items[0], items[-1]) if items else (None, None)
         yield pd.DataFrame(
@@ -181,22 +212,37 @@ GATE = "queue string, sample_id long, staleness_samples long, pause boolean"
 GATE_STATE = "count long, queue_size long"
 
 
+def _read_gate(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    version = (frame["kind"] == "version").to_numpy()
+    queued = _whole(frame["queue_size"], np.ones(len(frame), dtype=bool), 0)
+    return {
+        "ts": frame["ts"].to_numpy(),
+        "sample_id": _whole(frame["sample_id"], ~version, LAST),
+        "version": version,
+        "start": (frame["kind"] == "start").to_numpy(),
+        "carried": _whole(frame["in_flight"], version, 0) + _whole(frame["cancelled"], version, 0) + queued,
+        "queued": queued,
+    }
+
+
 def _gate_step(limit: int, max_queue: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, queued = (0, 0) if not state.exists else state.get
-        told = []
-        events = pd.concat(list(frames)).sort_values(["ts", "sample_id"], kind="stable")
-        for kind, sample, active, cancelled, size in zip(
-            events["kind"], events["sample_id"], events["in_flight"], events["cancelled"], events["queue_size"]
-        ):
-            queued = int(size)
-            if kind == "version":
-                count = int(active) + int(cancelled) + queued
-                continue
-            count += kind == "start"
-            told.append((key[0], int(sample), count, queued >= max_queue or count >= limit))
-        state.update((int(count), queued))
-        yield pd.DataFrame(told, columns=["queue", "sample_id", "staleness_samples", "pause"])
+        for events in _in_time_order(frames, _read_gate):
+            started = np.cumsum(events["start"], dtype="int64")
+            at = np.maximum.accumulate(np.where(events["version"], np.arange(len(started)), -1))
+            counts = np.where(at < 0, count, events["carried"][at] - started[at]) + started
+            count, queued = int(counts[-1]), int(events["queued"][-1])
+            told = ~events["version"]
+            yield pd.DataFrame(
+                {
+                    "queue": key[0],
+                    "sample_id": events["sample_id"][told],
+                    "staleness_samples": counts[told],
+                    "pause": ((events["queued"] >= max_queue) | (counts >= limit))[told],
+                }
+            )
+        state.update((count, queued))
 
     return step
 
