@@ -132,25 +132,32 @@ def lexical_index(docs: DataFrame, only: DataFrame | None = None, k1: float = 0.
     # One pass over the texts for both.
     size = d.select(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
     n, avgdl = size["n"], size["avgdl"]
-    posts = d.select("doc_id", "dl", F.explode("t").alias("term"))
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(n / F.lit(block_rows)))
+    posts = d.select(block.alias("block"), "doc_id", "dl", F.explode("t").alias("term"))
     if only is not None:
         posts = posts.join(only.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Dealt by block, the words move once for both groupings.
+    posts = posts.repartition("block").groupBy("block", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     norm = F.lit(k1) * (1 - b + b * F.col("dl") / avgdl)
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(n / F.lit(block_rows)))
-    listed = posts.select(block.alias("block"), "term", F.struct("doc_id", gain.alias("gain")).alias("p"))
+    listed = posts.select("block", "term", F.struct("doc_id", gain.alias("gain")).alias("p"))
     index = staged(listed.groupBy("block", "term").agg(F.max("p.gain").alias("top"), F.collect_list("p").alias("posts")))
     df = index.groupBy("term").agg(F.sum(F.size("posts")).alias("df"))
     return index, df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def _score_blocks(index: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of all documents in the given (query_id, block)."""
-    lists = blocks.join(asked, "query_id").join(index.select("block", "term", "posts"), ["block", "term"])
-    rows = lists.select("query_id", "idf", F.explode("posts").alias("p"))
+    """(query_id, doc_id, score) of all documents in the given (query_id, block).
+
+    An index dealt by block has all terms of a document in one task, where its score is added up: what moves is then the
+    index, not every (query, term, document).
+    """
+    wanted = blocks.groupBy("block").agg(F.collect_set("query_id").alias("asked_by"))
+    lists = index.select("block", "term", "posts").join(wanted, "block").join(asked, "term")
+    rows = lists.filter(F.array_contains("asked_by", F.col("query_id"))).select("block", "query_id", "idf", F.explode("posts").alias("p"))
     points = F.sum((F.col("idf") * F.col("p.gain") * SCALE).cast("long"))
-    return rows.groupBy("query_id", F.col("p.doc_id").alias("doc_id")).agg((points / SCALE).alias("score"))
+    scores = rows.groupBy("block", "query_id", F.col("p.doc_id").alias("doc_id")).agg((points / SCALE).alias("score"))
+    return scores.drop("block")
 
 
 def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -173,7 +180,7 @@ def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 0.9,
     floor = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     open_blocks = ranked.filter(F.col("r") > SEEDS).join(floor, "query_id", "left")
     open_blocks = open_blocks.filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).select("query_id", "block")
-    rest = _score_blocks(index, asked, open_blocks).withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
+    rest = _score_blocks(index.repartition("block"), asked, open_blocks).withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
     near = best.select("query_id", "doc_id", "score").withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
     return _reduce(near.unionByName(rest), k)
 
