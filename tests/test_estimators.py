@@ -149,3 +149,35 @@ def test_adaptive_coefficient_matches_sequential_update(spark):
         assert abs(row["kl_coef"] - v) < 1e-12
         v *= 1 + min(max(kl / 0.2 - 1, -0.2), 0.2) * n / 1000
         assert abs(row["kl_coef_after"] - v) < 1e-12
+
+
+def leaves(df):
+    """How often a plan reads its input."""
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_passk_reads_its_rows_twice(rows):
+    """One join carries all statistics of a group: its table and the rows."""
+    assert leaves(A.grpo_passk(rows, single="zero")) == 2
+
+
+def test_tops_are_the_two_largest_distinct_values_over_all_buckets(spark):
+    data = [("a", i, float(v)) for i, v in enumerate([3, 9, 9, 4, 7])] + [("b", 9, 1.0), ("c", 10, None), ("c", 11, 2.0)]
+    df = spark.createDataFrame([*data, ("a", 1, 9.0), (None, 12, 5.0), (None, 13, 6.0)], "k string, i long, v double")
+    for buckets in (1, 3, 64):
+        out = with_group_stats(df, ["k"], "i", sums={"n": F.lit(1)}, tops={"t": F.struct("v", "i"), "u": F.col("v")}, buckets=buckets)
+        got = {(r["k"], r["n"], r["t"], r["t_next"], r["u"], r["u_next"]) for r in out.collect()}
+        assert got == {
+            ("a", 6, (9.0, 2), (9.0, 1), 9.0, 7.0),
+            ("b", 1, (1.0, 9), None, 1.0, None),
+            ("c", 2, (2.0, 11), (None, 10), 2.0, None),
+            (None, 2, (6.0, 13), (5.0, 12), 6.0, 5.0),
+        }
+        assert out.count() == df.count()
+
+
+def test_passk_credits_the_lead_over_the_second_of_another_score(spark, rows):
+    lone = rows.filter("sample_id in (0, 1, 6, 7)")
+    got = by_id(A.grpo_passk(lone, norm_by_std=False))
+    assert got[1] == [2.0, 0.0, 2.0] and got[0] == [0.0, 0.0, 0.0]
+    assert got[6] == [0.0, 0.0] and got[7] == [0.0, 0.0]  # the best row of the last pair has no valid token

@@ -106,16 +106,13 @@ def grpo_passk(
     """
     key = F.struct(F.col("seq_score"), -F.xxhash64(ROW), F.col(ROW))
     ranked = with_group_stats(
-        _scored(df), GROUP, ROW, maxs={"g_best": key}, moments={"g": F.col("seq_score")}
+        _scored(df), GROUP, ROW, tops={"g_best": key}, moments={"g": F.col("seq_score")}
     ).withColumn("is_best", key == F.col("g_best"))
-    ranked = with_group_stats(
-        ranked, GROUP, ROW, maxs={"g_second": F.when(~F.col("is_best"), F.col("seq_score"))}
-    )
-    lead = F.col("seq_score") - F.col("g_second")
+    lead = F.col("seq_score") - F.col("g_best_next.seq_score")
     lead = lead / (sample_std("g") + F.lit(epsilon)) if norm_by_std else lead
     alone = F.raise_error(F.lit("pass@k needs at least two samples per group")).cast("double")
     scalar = F.when(F.col("g_n") < 2, F.lit(0.0) if single == "zero" else alone).otherwise(F.when(F.col("is_best"), lead).otherwise(0.0))
-    return _laid(ranked, scalar, [*_G, "g_best", "g_second", "is_best"])
+    return _laid(ranked, scalar, [*_G, "g_best", "g_best_next", "is_best"])
 
 
 def reinforce_plus_plus_baseline(df: DataFrame) -> DataFrame:

@@ -33,15 +33,18 @@ def with_group_stats(
     moments: dict[str, Column] | None = None,
     buckets: int = BUCKETS,
     elements: Column | None = None,
+    tops: dict[str, Column] | None = None,
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """Attach group aggregates to every row.
 
-    `moments` adds `<name>_n`, `<name>_mean` and `<name>_m2` (sum of squared deviations, merged without
+    `tops` adds `<name>`, the largest value of the group, and `<name>_next`, its largest smaller value.  `table` has one
+    row per group; its columns come along in the same join.  `moments` adds `<name>_n`, `<name>_mean` and `<name>_m2` (sum of squared deviations, merged without
     subtracting large squares).  With `elements` (an array column) the aggregates range over the array
     elements, named `element`, instead of over the rows; a group without elements gets NULLs.
     """
     row_id = [row_id] if isinstance(row_id, str) else row_id
-    sums, maxs, mins, moments = sums or {}, maxs or {}, mins or {}, moments or {}
+    sums, maxs, mins, moments, tops = sums or {}, maxs or {}, mins or {}, moments or {}, tops or {}
     rows = _bucketed(df, row_id, buckets)
     aggs = [F.sum(c).alias(n) for n, c in sums.items()]
     aggs += [F.max(c).alias(n) for n, c in maxs.items()]
@@ -53,6 +56,11 @@ def with_group_stats(
             (F.var_pop(col) * F.count(col)).alias(f"__{name}_m2"),
         ]
     measured = rows if elements is None else rows.select(*keys, _BUCKET, F.explode(elements).alias("element"))
+    for n, c in tops.items():
+        measured = measured.withColumn(f"__{n}", c)
+        falling = Window.partitionBy(*keys, _BUCKET).orderBy(F.col(f"__{n}").desc())
+        measured = measured.withColumn(f"__{n}_place", F.dense_rank().over(falling))
+        aggs += [F.max(f"__{n}").alias(f"__{n}"), F.max(F.when(F.col(f"__{n}_place") == 2, F.col(f"__{n}"))).alias(f"__{n}_2")]
     partial = measured.groupBy(*keys, _BUCKET).agg(*aggs)
     if elements is not None:
         present = rows.select(*keys, _BUCKET).distinct()
@@ -64,6 +72,8 @@ def with_group_stats(
         *[F.sum(n).over(group).alias(n) for n in sums],
         *[F.max(n).over(group).alias(n) for n in maxs],
         *[F.min(n).over(group).alias(n) for n in mins],
+        *[c for n in tops for c in (f"__{n}", f"__{n}_2")],
+        *[F.max(f"__{n}").over(group).alias(n) for n in tops],
         *[c for n in moments for c in (f"__{n}_n", f"__{n}_mean", f"__{n}_m2")],
         *[F.sum(f"__{n}_n").over(group).alias(f"{n}_n") for n in moments],
         *[
@@ -78,7 +88,12 @@ def with_group_stats(
         merged = merged.withColumn(
             f"{n}_m2", F.sum(F.col(f"__{n}_m2") + F.col(f"__{n}_n") * shift * shift).over(group)
         )
-    merged = merged.drop(*[f"__{n}_{s}" for n in moments for s in ("n", "mean", "m2")])
+    for n in tops:
+        smaller = F.when(F.col(f"__{n}") < F.col(n), F.col(f"__{n}")).otherwise(F.col(f"__{n}_2"))
+        merged = merged.withColumn(f"{n}_next", F.max(smaller).over(group))
+    merged = merged.drop(*[f"__{n}_{s}" for n in moments for s in ("n", "mean", "m2")], *[c for n in tops for c in (f"__{n}", f"__{n}_2")])
+    if table is not None:
+        merged = merged.join(table, keys, "left")
     renamed = merged.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col(_BUCKET).alias("__k_bucket"),
