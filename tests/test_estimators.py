@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trajecta.functions.arrays import cumsum, reverse_cumsum
 from trajecta.operators import advantages as A
 from trajecta.operators.grouping import with_group_stats
 
@@ -181,3 +182,21 @@ def test_passk_credits_the_lead_over_the_second_of_another_score(spark, rows):
     got = by_id(A.grpo_passk(lone, norm_by_std=False))
     assert got[1] == [2.0, 0.0, 2.0] and got[0] == [0.0, 0.0, 0.0]
     assert got[6] == [0.0, 0.0] and got[7] == [0.0, 0.0]  # the best row of the last pair has no valid token
+
+
+def test_token_baselines_read_their_rows_three_times(rows):
+    """The statistics, the sums per position and the rows, which meet in one join."""
+    assert leaves(A.optimal_token_baseline(rows, zero_tail=True)) == 3
+    assert leaves(A.tir_optimal_token_baseline(rows)) == 3
+
+
+def test_running_sums_of_ragged_rows(spark):
+    data = [(0, [1.0, 2.0, 3.0]), (1, []), (2, None), (3, [0.1] * 40), (4, [5.0, None, 1.0]), (5, [2.0, 2.0, 2.0]), (6, [float("inf"), 1.0])]
+    df = spark.createDataFrame(data, "i long, x array<double>").repartition(1).orderBy("i")
+    got = df.select(cumsum("x").alias("up"), reverse_cumsum("x").alias("down")).collect()
+    assert [r["up"] for r in got] == [
+        [1.0, 3.0, 6.0], [], None, np.cumsum([0.1] * 40).tolist(), [5.0, None, None], [2.0, 4.0, 6.0], [float("inf")] * 2,
+    ]
+    assert [r["down"] for r in got] == [
+        [6.0, 5.0, 3.0], [], None, np.cumsum([0.1] * 40)[::-1].tolist(), [None, None, 1.0], [6.0, 4.0, 2.0], [float("inf"), 1.0],
+    ]

@@ -11,6 +11,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,14 +132,31 @@ def _ragged(table: np.ndarray, like: pd.Series) -> pd.Series:
     return pd.Series([None if row is None else table[i, : len(row)] for i, row in enumerate(like)])
 
 
-@F.pandas_udf(DOUBLES)
-def cumsum(x: pd.Series) -> pd.Series:
-    return pd.Series([None if row is None else np.cumsum(np.asarray(row, dtype="float64")) for row in x])
+def _running(column: pa.Array, backwards: bool) -> pa.Array:
+    """Prefix (or suffix) sums of each list; lists of one length are summed together, in the order of a single one.
 
+    A sum that is not a number is null.
+    """
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype("int64")
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    out = np.empty_like(values)
+    for n in np.unique(lengths[lengths > 0]):
+        cells = (ends - n)[lengths == n][:, None] + (np.arange(n)[::-1] if backwards else np.arange(n))
+        out[cells] = np.cumsum(values[cells], axis=1)
+    offsets = np.concatenate([[0], ends]).astype("int32")
+    none = column.is_null() if column.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, from_pandas=True), mask=none)
 
-@F.pandas_udf(DOUBLES)
-def reverse_cumsum(x: pd.Series) -> pd.Series:
-    return pd.Series([None if row is None else np.cumsum(np.asarray(row, dtype="float64")[::-1])[::-1] for row in x])
+
+@F.arrow_udf(DOUBLES)
+def cumsum(x: pa.Array) -> pa.Array:
+    return _running(x, False)
+
+
+@F.arrow_udf(DOUBLES)
+def reverse_cumsum(x: pa.Array) -> pa.Array:
+    return _running(x, True)
 
 
 @F.pandas_udf(DOUBLES)

@@ -27,7 +27,6 @@ from ..functions.arrays import (
 from ..functions.kl import kl_token
 from .grouping import (
     hash_bucket,
-    join_group_table,
     sample_std,
     seeded_hash,
     unit_hash,
@@ -200,7 +199,8 @@ def _position_baseline(df: DataFrame, zero_tail: bool, epsilon: float) -> DataFr
     """Baseline per (prompt, position) from `__g` (return), `__w` (path weight), `__m` (valid), `__len`.
 
     Tokens are exploded next to their row and combined map-side per (step, uid, pos); only the sums move.
-    The baseline of a prompt is re-collected to an array no longer than a response.
+    The baseline of a prompt is re-collected to an array no longer than a response and meets the rows together with
+    the counts of the group, in one join.
     """
     tokens = df.select(
         *GROUP, F.posexplode(F.arrays_zip("__g", "__w", "__m")).alias("pos", "t")
@@ -216,18 +216,15 @@ def _position_baseline(df: DataFrame, zero_tail: bool, epsilon: float) -> DataFr
         ).alias("__b")
     )
     counted = F.when(F.col("__len") >= F.col("__min_len"), 1)
+    longest = F.struct(F.col("__len"), F.xxhash64(ROW), F.col(ROW))
     rows = with_group_stats(
-        df, GROUP, ROW, sums={"__rows": counted}, maxs={"__max": F.struct(F.col("__len"), F.xxhash64(ROW), F.col(ROW))}
+        df, GROUP, ROW, sums={"__rows": counted}, tops={"__max": longest} if zero_tail else None, table=baseline
     )
-    best = F.struct(F.col("__len"), F.xxhash64(ROW), F.col(ROW)) == F.col("__max")
-    rows = rows.withColumn("__is_max", best)
+    cut = F.lit(None).cast("int")
     if zero_tail:
-        rows = with_group_stats(rows, GROUP, ROW, maxs={"__second": F.when(~F.col("__is_max"), F.col("__len"))})
-        cut = F.when(F.col("__is_max") & (F.col("__len") > F.col("__second")), F.col("__second"))
-    else:
-        cut = F.lit(None).cast("int")
+        second = F.col("__max_next.__len")
+        cut = F.when((longest == F.col("__max")) & (F.col("__len") > second), second)
     rows = rows.withColumn("__cut", cut)
-    rows = join_group_table(rows, baseline, GROUP, ROW)
     return rows.withColumn(
         "__b",
         F.transform(
@@ -239,7 +236,7 @@ def _position_baseline(df: DataFrame, zero_tail: bool, epsilon: float) -> DataFr
     )
 
 
-_OTB = ["__g", "__w", "__m", "__len", "__min_len", "__rows", "__max", "__is_max", "__second", "__cut", "__b"]
+_OTB = ["__g", "__w", "__m", "__len", "__min_len", "__rows", "__max", "__max_next", "__cut", "__b"]
 
 
 def optimal_token_baseline(
