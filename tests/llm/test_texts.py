@@ -326,4 +326,24 @@ def test_dropout_draws_anew_at_every_place():
     assert long not in encoder.memory and encoder.decode(encoder.encode(long)) == long and SPACED + long not in encoder.memory
 
 
+def test_words_of_a_batch_are_merged_side_by_side(monkeypatch):
+    """No word of usual length goes through the agenda for one word, which was most of the time; the results are its."""
+    encoder, one_by_one = sentencepiece_bpe.Encoder(seed=3), sentencepiece_bpe.merged
+    rng = random.Random(4)
+    texts = ["", "a", *["".join(rng.choices("abe thingor\né😀", k=rng.randrange(1, 300))) for _ in range(40)], "ti" * 60]
+    keys = [rng.randrange(-(1 << 63), 1 << 63) for _ in texts]
+    want = []
+    for text, key in zip(texts, keys):
+        words = re.findall("▁*[^▁]+|▁+", (" " + text).replace(" ", "▁")) if text else []
+        drawn = zip(words, encoder.word_keys(key, len(words)).tolist())
+        want.append([i for w, k in drawn for i in one_by_one(w, encoder.pieces, encoder.limit, k)])
+    for name in ("merged", "_short", "_long"):
+        monkeypatch.setattr(sentencepiece_bpe, name, None)
+    got = [encoder.encode(t, k) for t, k in zip(texts, keys)]
+    assert [g.tolist() for g in got] == want
+    ids, lengths = encoder.encode_all(texts, keys)
+    assert ids.tolist() == [i for w in want for i in w] and lengths.tolist() == [len(w) for w in want]
+    assert [t.decode() for t in encoder.decode_all(ids, lengths)] == texts
+
+
 SPACED = sentencepiece_bpe.SPACE

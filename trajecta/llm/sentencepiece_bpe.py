@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 11
-CACHED_BYTES = 64 << 20  # of a generation of words that a task remembers
+BATCH_CHARS = 2 << 20  # characters of the texts that are encoded together, if there is more than one
+CHUNK = 1 << 17  # characters of the words whose agendas are worked off together
 SPACE = "▁"
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-SHORT = 128  # characters; longer words are never remembered
+SHORT = WIDTH = 128  # characters; longer words are merged one by one
+NONE = (1 << 31) - WIDTH  # cost of no candidate, with room for a place below it
 _MASK, _STEP, _BITS = (1 << 64) - 1, 0x9E3779B97F4A7C15, 53
 
 
@@ -130,31 +131,61 @@ def _long(word: str, find, limit: int, key: int, done: list[int]) -> list[str]:
     return out
 
 
-class _Memory(dict):
-    """word -> (packed ids, packed spans) of the merges without dropout, computed on first use.
+class Merges:
+    """The vocabulary as arrays: symbols of characters, pairs of symbols that form a piece, bytes of pieces.
 
-    When full, the words of the last generation stay within reach and the older ones go; this bounds memory
-    and changes no result.
+    A symbol is the id of a piece, or `size` plus the code point of a character that is no piece.
     """
 
     def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces, self.older, self.held = pieces, {}, 0
-
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
-        found = self.older.get(word)
-        if found is None:
-            done: list[int] = []
-            ids = merged(word, self.pieces, done=done)
-            found = np.array(ids, np.int32).tobytes(), np.array(done, np.uint64).tobytes()
-        if len(word) <= SHORT:
-            size = 400 + 4 * len(word) + len(found[0]) + len(found[1])  # with the objects around them
-            if self.held + size > CACHED_BYTES:
-                self.older, self.held = dict(self), 0
-                self.clear()
-            self.held += size
-            self[word] = found
-        return found
+        self.size = size = len(pieces.text)
+        self.of_char = np.arange(size, size + 0x110000, dtype=np.int32)
+        for piece, i in pieces.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        symbol = lambda part: int(self.of_char[ord(part)]) if len(part) == 1 else pieces.ids.get(part)
+        found = [
+            (left << 32 | right, i)
+            for piece, i in pieces.ids.items()
+            for at in range(1, len(piece))
+            if (left := symbol(piece[:at])) is not None and (right := symbol(piece[at:])) is not None
+        ]
+        self._fill(*np.array(found, np.int64).reshape(-1, 2).T)
+        costs = [pieces.cost.get(t, 0.0) for t in pieces.text]
+        self.rank = np.append(np.unique(costs, return_inverse=True)[1] * WIDTH, NONE).astype(np.int32)
+        said = [pieces.raw.get(i) or t.replace(SPACE, " ").encode() for i, t in enumerate(pieces.text)]
+        self.lengths = np.array([len(t) for t in said])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(said), np.uint8)
+        self.byte_ids = np.array([pieces.byte[b] for b in range(256)], np.int32)
+
+    def _fill(self, keys: np.ndarray, joined: np.ndarray) -> None:
+        """An open table, at most an eighth full; pairs that meet in a place go to the next free one."""
+        self.shift = np.uint64(64 - max(10, int(8 * len(keys)).bit_length()))
+        self.keys = np.full((1 << 64 - int(self.shift)) + len(keys), -1, np.int64)
+        self.joined = np.full(len(self.keys), -1, np.int32)
+        for key, at, i in zip(keys.tolist(), self._place(keys).tolist(), joined.tolist()):
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.joined[at] = key, i
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(_STEP) >> self.shift).view(np.int64)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols form, -1 for none."""
+        keys = left.astype(np.int64) << 32 | right
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.joined[at], np.int32(-1))
+        more = np.flatnonzero((held != keys) & (held >= 0))
+        while len(more):
+            at[more] += 1
+            held = self.keys[at[more]]
+            met = held == keys[more]
+            out[more[met]] = self.joined[at[more[met]]]
+            more = more[~met & (held >= 0)]
+        return out
 
 
 class Encoder:
@@ -167,46 +198,157 @@ class Encoder:
 
     def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
         self.pieces = Pieces(path)
+        self.merges = Merges(self.pieces)
         self.limit, self.seed = int(dropout * (1 << _BITS)), seed
-        self.memory = _Memory(self.pieces)
-        self.mark = np.array([self.pieces.byte[b] for b in SPACE.encode()], np.int32).tobytes()
+        self.memory: frozenset[str] = frozenset()  # words remembered between texts: none
+
+    def starts(self, keys: np.ndarray) -> np.ndarray:
+        """From the key of a text what the keys of its words start from."""
+        return mixed(np.uint64(mixed(self.seed & _MASK)) + keys.astype(np.int64).view(np.uint64) * np.uint64(_STEP))
 
     def word_keys(self, key: int, n: int) -> np.ndarray:
         """Keys of the first n word places of the text with this key."""
-        start = np.uint64(mixed(mixed(self.seed & _MASK) + key * _STEP & _MASK))
-        return mixed(start + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP))
+        return mixed(self.starts(np.array([key])) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_STEP))
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
-        """Ids of the whole text; a candidate's draw is keyed by the seed, `key`, the word's place and the span.
-
-        Merges go as without dropout up to the first one that is skipped, so only words of which one of the
-        remembered merges is skipped are merged anew.
+        """Ids of the whole text; a candidate's draw is keyed by the seed, `key`, the word's place and the span."""
+        return self.encode_all([text], [key])[0]
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and their numbers; the words of all texts are merged side by side."""
+        whole = "".join([" " + t for t in texts if t])
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
+        if not len(codes):
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        space, mark = codes == ord(" "), codes == ord(SPACE)
+        symbols = self.merges.of_char[np.where(space, np.uint32(ord(SPACE)), codes)]
+        symbols[mark] = self.merges.size + ord(SPACE)
+        # A word is a run of spaces with what follows; a mark of the text stands alone and is not counted.
+        first = mark | space
+        first[1:] &= ~(space[1:] & space[:-1])
+        first[1:] |= mark[:-1]
+        begins = np.array([e - len(t) - 1 for t, e in zip(texts, ends.tolist()) if t])
+        first[begins] = True
+        at = np.flatnonzero(first)
+        size = np.diff(at, append=len(codes))
+        counted = ~mark[at]
+        number = np.cumsum(counted)
+        text = np.searchsorted(ends, at, "right")
+        before = np.zeros(len(texts), np.int64)
+        heads = np.searchsorted(at, begins)
+        before[text[heads]] = number[heads] - counted[heads]
+        places = (number - before[text]).astype(np.uint64)
+        word_keys = mixed(self.starts(np.array(keys, np.int64))[text] + places * np.uint64(_STEP))
+        drawn = self._merged(whole, symbols, at, size, word_keys)
+        lengths = np.diff(np.cumsum(np.append(0, drawn >= 0))[ends], prepend=0)
+        ids = drawn[drawn >= 0]
+        foreign = np.flatnonzero(ids >= self.merges.size)
+        if len(foreign):
+            ids, lengths = self._as_bytes(ids, foreign, lengths)
+        return ids, lengths
+
+    def _as_bytes(self, ids: np.ndarray, foreign: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that are no piece become their bytes."""
+        codes = (ids[foreign] - self.merges.size).astype(np.uint32)
+        said = codes.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        size = np.ones(len(ids), np.int64)
+        size[foreign] += (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        places = np.cumsum(size)
+        kept = np.zeros(len(ids), bool)
+        kept[foreign] = True
+        out, byte = np.repeat(ids, size), np.repeat(kept, size)
+        out[byte] = self.merges.byte_ids[np.frombuffer(said, np.uint8)]
+        return out, np.diff(np.append(0, places)[np.cumsum(lengths)], prepend=0)
+
+    def _merged(self, whole: str, symbols: np.ndarray, at: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The symbols after all merges, each where it begins; -1 where one has been merged into that before it."""
+        n = len(symbols)
+        live = np.append(symbols, np.int32(0))
+        pairs = np.append(self.merges.pair(symbols[:-1], symbols[1:]), np.int32(-1))
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        order = np.argsort(size, kind="stable")
+        lo = int(np.searchsorted(size[order], 2))
+        last = int(np.searchsorted(size[order], SHORT, "right"))
+        while lo < last:
+            width = int(size[order[lo]])
+            hi = min(last, int(np.searchsorted(size[order], width + width // 8, "right")), lo + max(64, CHUNK // width))
+            words = order[lo:hi]
+            self._agendas(live, pairs, after, before, at[words], size[words], keys[words])
+            lo = hi
+        for w in order[last:].tolist():
+            begin, stop, done = int(at[w]), int(at[w] + size[w]), []
+            word = whole[begin:stop].replace(" ", SPACE)
+            _long(word, self.pieces.cost.get, self.limit, int(keys[w]), done)
+            for span in done:  # a later span covers the earlier ones
+                left, right = span >> 32, span & 0xFFFFFFFF
+                live[begin + left : begin + right] = -1
+                live[begin + left] = self.pieces.ids[word[left:right]]
+        return live[:-1]
+
+    def _agendas(
+        self, live: np.ndarray, pairs: np.ndarray, after: np.ndarray, before: np.ndarray,
+        at: np.ndarray, size: np.ndarray, keys: np.ndarray,
+    ) -> None:
+        """One agenda a word, a step of all at once: its best candidate, leftmost of equals, is merged or skipped.
+
+        `live` has the symbols by the place of their first character, `pairs` the piece that a symbol forms with the
+        next, `after` and `before` the places of its neighbours.  An agenda is a column of costs by place in the word.
         """
-        words: list[str] = []
-        marks: list[int] = []  # numbers of words before each mark of the text itself
-        for i, part in enumerate((" " + text).split(SPACE) if text else []):
-            if i:
-                marks.append(len(words))
-            words.extend(_WORDS(part.replace(" ", SPACE)))
-        known = [self.memory[w] for w in words]
-        packed = [ids for ids, _ in known]
-        if self.limit and words:
-            keys = self.word_keys(key, len(words))
-            counts = np.array([len(s) for _, s in known]) // 8
-            spans = np.frombuffer(b"".join([s for _, s in known]), np.uint64)
-            draws = mixed(np.repeat(keys, counts) + spans * np.uint64(_STEP)) >> np.uint64(64 - _BITS)
-            places = np.repeat(np.arange(len(words)), counts)
-            for at in np.unique(places[draws < np.uint64(self.limit)]).tolist():
-                packed[at] = np.array(merged(words[at], self.pieces, self.limit, int(keys[at])), np.int32).tobytes()
-        if marks:
-            ends = [0, *marks, len(packed)]
-            packed = [self.mark.join(b"".join(packed[a:b]) for a, b in zip(ends, ends[1:]))]
-        return np.frombuffer(b"".join(packed), np.int32)
+        place = np.arange(size.max(), dtype=np.int32)[:, None]
+        end = at + size
+        # The last pair of a word reaches into the next word; shorter words do so beyond their last symbol as well.
+        inside = place < size.astype(np.int32) - 1
+        rank, pair = self.merges.rank, self.merges.pair
+        where = np.minimum(at + place, len(pairs) - 1)
+        costs = np.where(inside, rank[pairs[where]], NONE) | place
+        while True:
+            low = costs.min(axis=0)
+            on = np.flatnonzero(low < NONE)
+            if not len(on):
+                return
+            if len(on) < 0.8 * len(low):
+                costs, low, at, end, keys = costs[:, on], low[on], at[on], end[on], keys[on]
+                on = np.arange(len(on))
+            place = low[on] & (WIDTH - 1)
+            here = at[on] + place
+            middle = after[here]
+            stop = after[middle]
+            if self.limit:
+                span = place.astype(np.uint64) << np.uint64(32) | (stop - at[on]).astype(np.uint64)
+                skips = mixed(keys[on] + span * np.uint64(_STEP)) >> np.uint64(64 - _BITS) < np.uint64(self.limit)
+                costs[place[skips], on[skips]] = NONE
+                goes = ~skips
+                on, place, here, middle, stop = on[goes], place[goes], here[goes], middle[goes], stop[goes]
+            begin = at[on]
+            made = pairs[here]
+            live[here], live[middle] = made, -1
+            after[here], before[stop] = stop, here
+            costs[middle - begin, on] = NONE
+            ahead = pair(made, live[stop])
+            ahead[stop >= end[on]] = -1
+            pairs[here] = ahead
+            costs[place, on] = rank[ahead] | place
+            left = np.flatnonzero(place)
+            first = before[here[left]]
+            behind = pair(live[first], made[left])
+            pairs[first] = behind
+            place = (first - begin[left]).astype(np.int32)
+            costs[place, on[left]] = rank[behind] | place
 
     def decode(self, ids: np.ndarray) -> str:
         """The text whose encoding this is."""
         return decode(ids.tolist(), self.pieces)
 
+    def decode_all(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """UTF-8 of the texts whose encodings these are."""
+        sizes = self.merges.lengths[ids]
+        ends = np.append(0, np.cumsum(sizes))
+        places = np.repeat(self.merges.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+        whole = self.merges.bytes[places].tobytes()
+        cuts = ends[np.append(0, np.cumsum(lengths))].tolist()
+        return [whole[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
+
 
 def decode(ids: list[int], pieces: Pieces) -> str:
     """Pieces joined with marks as spaces, less the first mark; runs of byte pieces read as UTF-8."""
@@ -217,6 +359,17 @@ def decode(ids: list[int], pieces: Pieces) -> str:
     return whole.decode("utf-8", "surrogatepass")[1:]
 
 
+def parts(rows: pa.RecordBatch, batch: int) -> Iterator[pa.RecordBatch]:
+    """Slices of up to `batch` rows and about BATCH_CHARS bytes of text, at least one row each."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(rows.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < rows.num_rows:
+        room = (ends[at - 1] if at else 0) + BATCH_CHARS
+        stop = min(at + batch, max(at + 1, int(np.searchsorted(ends, room, "right"))))
+        yield rows.slice(at, stop - at)
+        at = stop
+
+
 def encode_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -238,14 +391,12 @@ def encode_texts(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, dropout, seed)
         for rows in batches:
-            for at in range(0, rows.num_rows, batch):
-                part = rows.slice(at, batch)
+            for part in parts(rows, batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [encoder.encode(t, k) for t, k in zip(texts, part.column(2).to_pylist())]
-                lossless = [encoder.decode(i) == t for i, t in zip(ids, texts)]
-                lengths = np.array([len(i) for i in ids], np.int64)
-                ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
-                tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
+                ids, lengths = encoder.encode_all(texts, part.column(2).to_pylist())
+                lossless = [a == t.encode() for a, t in zip(encoder.decode_all(ids, lengths), texts)]
+                ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+                tokens = pa.ListArray.from_arrays(ends, pa.array(ids))
                 made = [part.column(0), tokens, pa.array(lengths), pa.array(lossless)]
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
