@@ -175,6 +175,48 @@ def test_differencing_scales_in_items_and_sets():
     assert time.process_time() - begun < 20
 
 
+def _works(rng, n):
+    """Loads with ties, long tails, zeros and a few heavy items."""
+    return [
+        rng.randint(0, 5, n),
+        rng.randint(0, 10**6, n),
+        (rng.pareto(1, n) * 100).astype("int64"),
+        np.maximum(rng.poisson(4, n), 1) * 37 + rng.randint(10, 60, n),
+        np.zeros(n, dtype="int64"),
+        1000 + rng.randint(0, 40, n) + (rng.rand(n) < 0.01) * 10**5,
+    ]
+
+
+@pytest.mark.parametrize("few", [1, 8, 10**6])
+def test_sets_in_arrays_meet_like_sets_in_lists(monkeypatch, few):
+    """However many items a split takes in one by one, the parts are those of the lists."""
+    rng = np.random.RandomState(few % 97)
+    monkeypatch.setattr(B, "FEW", few)
+    for k in (2, 3, 17, 40, 90):
+        for n in (k, 2 * k, 11 * k + 1):
+            for work in _works(rng, n):
+                for equal in (False, True):
+                    some = work[: n // k * k] if equal else work
+                    monkeypatch.setattr(B, "WIDE", 10**9)
+                    want = B.PARTS["differencing"](some, k, equal)
+                    monkeypatch.setattr(B, "WIDE", 2)
+                    assert np.array_equal(B.PARTS["differencing"](some, k, equal), want)
+
+
+def test_differencing_does_not_move_all_sets_for_each_item():
+    """Ten times the items over ten times the sets: about ten times the work, long tails included."""
+    rng = np.random.RandomState(3)
+    spent = []
+    for n in (60_000, 600_000):
+        work = _works(rng, n)[3].astype("int64") ** 2
+        begun = time.process_time()
+        part = B.PARTS["differencing"](work, n // 10, False)
+        spent.append(time.process_time() - begun)
+        loads = np.bincount(part, work)
+        assert (np.diff(loads) <= 0).all() and loads[0] - loads[-1] <= work.max()
+    assert spent[1] < 25 * spent[0] + 1
+
+
 def test_groups_cross_batches_and_keep_null_keys(spark):
     """Groups of 1 to 40 rows over batches of 7: every group is seen once, in order, null keys being a group."""
     rows = [(None if k == 3 else k, i) for k in range(9) for i in range(1 if k % 2 else 40)]
@@ -210,6 +252,53 @@ def test_micro_batches_respect_budget_and_order(items):
         B.micro_batches(items, ["step"], 100).collect()
 
 
+@pytest.mark.parametrize("algorithm", ["differencing", "greedy"])
+def test_micro_batches_are_numbered_where_they_are_made(spark, algorithm):
+    """One pass through the rule, and the numbers the tables give: rows that share an id, rows without one."""
+    rng = np.random.RandomState(5)
+    rows = [(s, int(i) if i % 9 else None, int(n)) for s in (0, 1) for i, n in zip(rng.randint(0, 150, 400), rng.randint(5, 90, 400))]
+    df = spark.createDataFrame(rows, "step long, row_idx long, length long").repartition(3)
+    out = B.micro_batches(df, ["step"], 400, algorithm=algorithm)
+    counts = B.micro_batch_counts(df, ["step"], 400)
+    items = df.join(counts, "step").select("step", F.col("row_idx").alias("item_id"), B.workload(F.col("length")).alias("work"), "k")
+    want = B._placed_at_ends(B.balanced_partitions(items, ["step"], algorithm, equal=False), items, ["step"])
+    got, wanted = (sorted(map(tuple, x.collect()), key=str) for x in (out, want))
+    assert got == wanted and len(got) == 800 and any(r[1] is None for r in got)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_micro_batches_without_any_id(spark):
+    df = spark.range(10).select(F.lit(0).alias("step"), F.lit(None).cast("long").alias("row_idx"), F.lit(9).alias("length"))
+    assert [tuple(r) for r in B.micro_batches(df, ["step"], 20).collect()] == [(0, None, None)] * 10
+
+
+def test_micro_batches_by_the_rule_that_spreads_a_step(items):
+    out = B.micro_batches(items, ["step"], 600, algorithm="serpentine").collect()
+    assert sorted(r["row_idx"] for r in out) == list(range(16)) and {r["micro_batch"] for r in out} == {0, 1, 2, 3}
+
+
+def test_response_sizes_are_those_of_the_trajectories(spark, tmp_path):
+    """Orders without lines, lines without orders, null keys and rows that come twice."""
+    from trajecta import derive as D
+    from trajecta.plans import q_batches as Q
+
+    orders = [(1, 7), (1, 7), (2, None), (3, 61), (4, 8), (None, 9)]
+    lines = [1, 1, 1, 2, 3, 3, 5, None, None]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    spark.createDataFrame([(*o, "F", 4.0, "1-URGENT") for o in orders], schema).write.parquet(f"{tmp_path}/orders.parquet")
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_linestatus string"
+    spark.createDataFrame([(k, i, 1, None, 2.0, 0.1, None, "O") for i, k in enumerate(lines)], schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = D.trajectories(spark, str(tmp_path))
+    length = (F.size("response_mask") * 37 + F.col("prompt_len")).cast("long").alias("length")
+    want = whole.select("step", F.col("sample_id").alias("row_idx"), "uid", length)
+    got = Q.lengths(spark, str(tmp_path))
+    assert got.schema == want.schema
+    found = sorted(map(tuple, got.collect()), key=str)
+    assert found == sorted(map(tuple, want.collect()), key=str)
+    assert found == sorted([(7, 1, 7, 128)] * 2 + [(None, 2, None, None), (5, 3, 61, 95)], key=str)
+    assert "l_linenumber" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_step_layout_is_a_permutation(items):
     out = B.balance_step(items, ["step"], 4).collect()
     assert sorted(r["new_idx"] for r in out) == list(range(16))

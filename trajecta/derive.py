@@ -68,6 +68,20 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def response_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `trajectories` with the number of their tokens, of which nothing but the order key is read."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey").repartition("l_orderkey")
+    sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("response_size"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return sizes.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("o_custkey") % 8).alias("step"),
+        F.col("o_custkey").alias("uid"),
+        F.col("o_orderkey").alias("sample_id"),
+        (F.col("o_custkey") % 50 + 10).cast("int").alias("prompt_len"),
+        "response_size",
+    )
+
+
 # The same rows for DuckDB, one per token.
 TOKENS_SQL = """
 tok AS (

@@ -276,14 +276,17 @@ def with_quantile_bucket(
 PACKED = 10_000  # rows of small results that leave a task together
 
 
-def _changes(column: pa.Array) -> pa.Array:
+def changes(column: pa.Array) -> pa.Array:
     """Whether each value after the first differs from the one before it; null is a value of its own."""
     now, before = column.slice(1), column.slice(0, len(column) - 1)
     return pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.xor(pc.is_null(now), pc.is_null(before)))
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
-    """The groups of rows that arrive ordered by `keys`, each as the pieces of the batches that hold it."""
+    """The groups of rows that arrive ordered by `keys`, each as the pieces of the batches that hold it.
+
+    No piece of a group is kept here, so that a caller who empties the list lets go of them.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -293,12 +296,13 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[list
             if any(held[-1].column(k)[last].as_py() != batch.column(k)[0].as_py() for k in keys):
                 yield held
                 held = []
-        changed = _changes(batch.column(keys[0]))
+        changed = changes(batch.column(keys[0]))
         for k in keys[1:]:
-            changed = pc.or_(changed, _changes(batch.column(k)))
+            changed = pc.or_(changed, changes(batch.column(k)))
         start = 0
         for at in pc.indices_nonzero(changed).to_pylist():
-            yield [*held, batch.slice(start, at + 1 - start)]
+            held.append(batch.slice(start, at + 1 - start))
+            yield held
             held, start = [], at + 1
         held.append(batch.slice(start))
     if held:

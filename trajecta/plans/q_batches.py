@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..derive import SAMPLES_SQL, TOKENS_SQL, table, trajectories
+from ..derive import SAMPLES_SQL, TOKENS_SQL, response_sizes, table, trajectories
 from ..functions.arrays import asum, mask_count
 from ..operators import balance as B
 from ..operators import container as C
@@ -482,12 +482,12 @@ def source_rollout_cache(spark, sf):
 
 def lengths(spark, sf):
     """(step, row_idx, uid, length): customers are prompts, the line count and priority make the length."""
-    rows = trajectories(spark, sf)
+    rows = response_sizes(spark, sf)
     return rows.select(
         "step",
         F.col("sample_id").alias("row_idx"),
         "uid",
-        (F.size("response_mask") * 37 + F.col("prompt_len")).cast("long").alias("length"),
+        (F.col("response_size") * 37 + F.col("prompt_len")).cast("long").alias("length"),
     )
 
 
