@@ -272,6 +272,24 @@ def test_micro_batches_without_any_id(spark):
     assert [tuple(r) for r in B.micro_batches(df, ["step"], 20).collect()] == [(0, None, None)] * 10
 
 
+def test_micro_batch_coverage_runs_the_rule_once(spark, tmp_path):
+    """Two steps: every row is counted once, by one pass through the rule."""
+    from trajecta.plans import q_batches as Q
+
+    rows = [(i, 8 * (i % 40) if i % 6 else 1) for i in range(600)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long")
+    rest = [F.lit("F").alias("o_orderstatus"), F.lit(4.0).alias("o_totalprice"), F.lit("1-URGENT").alias("o_orderpriority")]
+    orders.select("*", *rest).write.parquet(f"{tmp_path}/orders.parquet")
+    # 20 tokens a response, so the lengths of a step follow from the prompts.
+    lines = spark.range(600).toDF("l_orderkey").crossJoin(spark.range(20).toDF("l_linenumber"))
+    rest = [F.lit(1).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")]
+    lines.select("*", *rest, F.lit("O").alias("l_linestatus")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = Q.balance_micro_batch_coverage(spark, str(tmp_path))
+    tokens = {s: [20 * 37 + c % 50 + 10 for _, c in rows if c % 8 == s] for s in (0, 1)}
+    assert sorted(map(tuple, out.collect())) == [(s, len(t), -(-sum(t) // 20000)) for s, t in tokens.items()]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_micro_batches_by_the_rule_that_spreads_a_step(items):
     out = B.micro_batches(items, ["step"], 600, algorithm="serpentine").collect()
     assert sorted(r["row_idx"] for r in out) == list(range(16)) and {r["micro_batch"] for r in out} == {0, 1, 2, 3}
